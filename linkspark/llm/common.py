@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a document's words are made of: anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,3 +73,28 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """What tells documents apart: id and a hash of the text. Rows equal in both are copies with equal results."""
     return [F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key")]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while ``df`` has a column of that name in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def appended(docs: DataFrame, name: str, kind: T.DataType, compute: Callable[[list], pa.Array], column: str = "text") -> DataFrame:
+    """``docs`` with a column computed from the list of values of ``column``, one Arrow batch at a time."""
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, compute(batch.column(at).to_pylist())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
+
+
+def training_ids(labels: DataFrame, label: str, held_out: Column, bound: int) -> DataFrame:
+    """At most ``bound`` rows (doc_id, label) that are not held out. A doc_id with several labels has the largest."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
+    return bounded_sample(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), F.col("doc_id"), bound)
