@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from linkspark.llm.common import table
+from linkspark.llm.language_id import identify_languages
 from linkspark.llm.quality_gam import score_quality
 from linkspark.llm.token_counts import token_counts
 from linkspark.llm.toxicity import score_toxicity
@@ -23,5 +24,9 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality_gam)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality_gam, op10_language_id)}
 SQL: dict[str, str] = {}
