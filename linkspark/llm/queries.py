@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from linkspark.llm.common import table
 from linkspark.llm.language_id import identify_languages
 from linkspark.llm.quality_gam import score_quality
+from linkspark.llm.simhash import simhash_components
 from linkspark.llm.token_counts import token_counts
 from linkspark.llm.toxicity import score_toxicity
 
@@ -24,9 +25,13 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality_gam, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality_gam, op7_simhash, op10_language_id)}
 SQL: dict[str, str] = {}
