@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from linkspark.llm import ball_tree
+from linkspark.llm.ball_tree import top_inner_products
 from linkspark.llm.common import table
 from linkspark.llm.language_id import identify_languages
 from linkspark.llm.quality_gam import score_quality
@@ -29,9 +32,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality_gam, op7_simhash, op10_language_id)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality_gam, op7_simhash, op9_ball_tree, op10_language_id)}
+SQL: dict[str, str] = {"op9_ball_tree": ball_tree.SQL}
