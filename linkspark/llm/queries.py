@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import ball_tree
+from linkspark.llm import ball_tree, quality_rules
 from linkspark.llm.ball_tree import top_inner_products
 from linkspark.llm.common import table
 from linkspark.llm.language_id import identify_languages
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("d2")
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,5 +44,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality_gam, op7_simhash, op9_ball_tree, op10_language_id)}
-SQL: dict[str, str] = {"op9_ball_tree": ball_tree.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_quality_rules, op5_quality_gam, op7_simhash, op9_ball_tree, op10_language_id)}
+SQL: dict[str, str] = {"op4_quality_rules": quality_rules.oracle(), "op9_ball_tree": ball_tree.SQL}
