@@ -10,6 +10,7 @@ from linkspark.llm import ball_tree, quality_rules
 from linkspark.llm.ball_tree import top_inner_products
 from linkspark.llm.common import table
 from linkspark.llm.language_id import identify_languages
+from linkspark.llm.packing import pack
 from linkspark.llm.quality_gam import score_quality
 from linkspark.llm.simhash import simhash_components
 from linkspark.llm.token_counts import token_counts
@@ -36,6 +37,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -44,5 +49,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_quality_rules, op5_quality_gam, op7_simhash, op9_ball_tree, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_quality_rules, op5_quality_gam, op7_simhash, op8_packing, op9_ball_tree, op10_language_id)}
 SQL: dict[str, str] = {"op4_quality_rules": quality_rules.oracle(), "op9_ball_tree": ball_tree.SQL}
