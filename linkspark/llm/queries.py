@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import ball_tree, quality_rules
+from linkspark.llm import ball_tree, mixing, quality_rules
 from linkspark.llm.ball_tree import top_inner_products
 from linkspark.llm.common import table
 from linkspark.llm.language_id import identify_languages
@@ -33,6 +33,10 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_quality_rules, op5_quality_gam, op7_simhash, op8_packing, op9_ball_tree, op10_language_id)}
-SQL: dict[str, str] = {"op4_quality_rules": quality_rules.oracle(), "op9_ball_tree": ball_tree.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_quality_rules, op5_quality_gam, op6_mixing, op7_simhash, op8_packing, op9_ball_tree, op10_language_id)}
+SQL: dict[str, str] = {"op4_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle(), "op9_ball_tree": ball_tree.SQL}
