@@ -55,12 +55,17 @@ def source_plan(rows: DataFrame, budget: float, repetition: float, entropy: floa
     row = row.selectExpr("ts", "CAST(aggregate(ts, 0L, (a, x) -> a + x) AS DOUBLE) AS total").selectExpr("ts", "total", f"floor(total * {float(budget)}D) AS wanted")
     mass = "aggregate(ts, 0.0D, (a, x) -> a + power(x / total, {0}))"
     most = "power(get(ts, 0) / total, {0}) / " + mass + " * wanted / get(ts, 0)"  # the smallest source is repeated most
-    feasible = f"{most} <= {float(repetition)}D"
-    if entropy is not None:
-        feasible += f" AND ln({mass}) - {{0}} * aggregate(ts, 0.0D, (a, x) -> a + power(x / total, {{0}}) * ln(x / total)) / {mass} <= {float(entropy)}D"
-    middle = "((s.lo + s.hi) / 2.0D)"
-    step = f"IF({feasible.format(middle)}, named_struct('lo', s.lo, 'hi', {middle}), named_struct('lo', {middle}, 'hi', s.hi))"
-    row = row.selectExpr("ts", "total", "wanted", f"ceil(aggregate(sequence(1, {STEPS}), named_struct('lo', 0.0D, 'hi', 1.0D), (s, i) -> {step}).hi * 1000000D) / 1000000D AS exponent")
+
+    def bisected(meets: str, high: float) -> str:
+        middle = "((s.lo + s.hi) / 2.0D)"
+        step = f"IF({meets.format(middle)}, named_struct('lo', s.lo, 'hi', {middle}), named_struct('lo', {middle}, 'hi', s.hi))"
+        return f"aggregate(sequence(1, {STEPS}), named_struct('lo', 0.0D, 'hi', {high}D), (s, i) -> {step}).hi"
+
+    exponent = bisected(f"{most} <= {float(repetition)}D", 1.0)
+    if entropy is not None:  # weights to the power of more than 1 where the sources as they are have more entropy
+        log_mean = f"aggregate(ts, 0.0D, (a, x) -> a + power(x / total, {{0}}) * ln(x / total)) / {mass}"
+        exponent = f"greatest({exponent}, {bisected(f'ln({mass}) - {{0}} * {log_mean} <= {float(entropy)}D', 16.0)})"
+    row = row.selectExpr("ts", "total", "wanted", f"ceil({exponent} * 1000000D) / 1000000D AS exponent")
     row = row.selectExpr("total", "wanted", "exponent", f"{mass.format('exponent')} AS mass", f"greatest(1L, CAST(ceil(wanted / {float(grain)}D) AS BIGINT)) AS blocks")
     one = {k: F.lit(v) for k, v in row.first().asDict().items()}  # a few numbers
     quota = sources.withColumns(one).selectExpr("source", "t", "places", "exponent", "blocks", "CAST(floor(power(t / total, exponent) / mass * wanted + 0.5D) AS BIGINT) AS quota")
@@ -74,7 +79,7 @@ def mixed(docs: DataFrame, budget: float = 1.0, repetition: float = 1.25, entrop
     hash that orders a block), once for every time that the mixture has the row.
 
     ``budget``: tokens of the mixture as a multiple of those there. ``repetition``: how often a source may be repeated at
-    most; below ``budget`` no exponent can meet it, and the exponent is 1. ``entropy``: target in nats, an upper bound.
+    most; below ``budget`` no exponent can meet it, and the exponent is 1. ``entropy``: in nats at most, before repetition.
     ``grain``: tokens of a block. A document counts its words, and 1 if it has none or its text is null. Null ids hash as
     the empty text; equal ids share a place in the order and are taken or left together. Null sources are one source. A
     source's part of a pass falls short of its budget by at most one bin of its hash. No rows: no rows.
