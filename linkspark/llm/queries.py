@@ -13,6 +13,7 @@ from linkspark.llm.language_id import identify_languages
 from linkspark.llm.packing import pack
 from linkspark.llm.quality_gam import score_quality
 from linkspark.llm.simhash import simhash_components
+from linkspark.llm.surrogates import surrogated
 from linkspark.llm.token_counts import token_counts
 from linkspark.llm.toxicity import score_toxicity
 
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogated(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,5 +58,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_quality_rules, op5_quality_gam, op6_mixing, op7_simhash, op8_packing, op9_ball_tree, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_surrogates, op3_toxicity, op4_quality_rules, op5_quality_gam, op6_mixing, op7_simhash, op8_packing, op9_ball_tree, op10_language_id)}
 SQL: dict[str, str] = {"op4_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle(), "op9_ball_tree": ball_tree.SQL}

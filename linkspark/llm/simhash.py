@@ -331,3 +331,55 @@ def _components(own: DataFrame, edges: DataFrame) -> DataFrame:
     ids = classes.join(roots, "fp").groupBy("root").agg(F.min("lowest").alias("reached"))
     merged = roots.join(ids, "root").select("fp", "reached")
     return classes.join(merged, "fp", "left").select("fp", F.coalesce("reached", "lowest").alias("component_id"))
+
+
+def _similar(left: str, right: str, similarity: float):
+    """Keeps the rows whose two sketches are alike, without the sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [likeness(x, y) >= similarity for x, y in zip(batch.column(left).to_pylist(), batch.column(right).to_pylist(), strict=True)]
+            rest = batch.select([c for c in batch.schema.names if c not in (left, right)])
+            yield rest.filter(pa.array(alike, pa.bool_()))
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 3, radius: int = 10, nearest: int = 4) -> DataFrame:
+    """null_id, doc_id (0 for null), text_key, component, keeper, n: each distinct (doc_id, text) of ``docs`` with its group.
+
+    Texts are near duplicates if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` at
+    least, to the precision of a sketch of 256 hashes (exact up to 256 shingles). Fingerprints of ``probe_words``-word
+    shingles within ``radius`` bits propose the pairs: shorter shingles move fewer bits for the same edit. Groups are
+    connected components. keeper: the one row of its group that stays, the smallest by (null id last, doc_id, text_key);
+    n: how often that row is there. Wordless and null texts are one group.
+    """
+    small_batches(docs.sparkSession)
+    keyed = docs.select(F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    made = appended(keyed, "made", T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())]), lambda texts: pa.array([{"fp": fingerprint(t, probe_words), "sketch": sketch(t, words)} for t in texts], pa.struct([("fp", pa.int64()), ("sketch", pa.binary())])))
+    own = written(made.select("null_id", "doc_id", "text_key", "made.*"), "sketches")
+    reps = written(own.groupBy("fp").agg(F.min(F.struct("null_id", "doc_id", "text_key", "sketch"))["sketch"].alias("rep")), "representatives")
+    proposed = links(reps.select("fp"), radius, nearest)
+    pairs = proposed.select("a", "b").join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
+    roots = written(components(pairs.mapInArrow(_similar("x", "y", similarity), "b long, a long")).withColumnRenamed("node", "fp"), "roots")
+    same = own.join(reps, "fp")
+    key = ["null_id", "doc_id", "text_key"]
+    agreed = same.where("sketch = rep").drop("sketch", "rep").select(*key, "fp").unionByName(same.where("sketch <> rep").select(*key, "fp", "sketch", "rep").mapInArrow(_similar("sketch", "rep", similarity), "null_id boolean, doc_id long, text_key long, fp long"))
+    counted = own.groupBy(*key).agg(F.count("*").alias("n")).join(agreed.distinct(), key, "left").join(roots, "fp", "left")
+    # a text unlike its fingerprint's representative is a group of its own
+    named = counted.select(*key, "n", F.struct(F.col("fp").isNull().alias("alone"), F.coalesce("root", "fp", "text_key").alias("id")).alias("component"))
+    lowest = named.groupBy("component").agg(F.min(F.struct(*key)).alias("lowest"))
+    return named.join(lowest, "component").select(*key, "component", (F.struct(*key) == F.col("lowest")).alias("keeper"), "n")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of near duplicates, with the columns that they had."""
+    groups = written(near_duplicates(docs.select("doc_id", "text"), **options), "groups")
+    names = [fresh(docs, c) for c in ("null_id", "id", "text_key")]
+    keyed = docs.withColumns({names[0]: F.col("doc_id").isNull(), names[1]: F.coalesce("doc_id", F.lit(0)).cast("long"), names[2]: F.xxhash64("text")})
+    group_keys = [F.col(c).alias(n) for c, n in zip(("null_id", "doc_id", "text_key"), names, strict=True)]
+    many = groups.where("keeper AND n > 1").select(*group_keys)
+    out = keyed.join(groups.where("NOT keeper OR n > 1").select(*group_keys), names, "left_anti")
+    if not many.isEmpty():  # equal rows of a keeper: one of them
+        out = out.unionByName(keyed.join(many, names, "left_semi").dropDuplicates(names))
+    return out.select(*docs.columns)
