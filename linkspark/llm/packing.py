@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,52 +32,83 @@ from linkspark.llm.common import small_batches
 FINEST = 128
 TAILS = (16, 20, 24, 32, 48, 64, 128, 256, 1024, 2048)
 #: Chunks whose ids a worker remembers before it starts anew.
-MEMO = 400_000
+MEMO = 800_000
+ONE_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 #: White space for Python alone: texts with it are encoded whole.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0᠎​﻿]")
 
 
 class Encoder:
-    """Ids of a text as the library gives them, without special tokens added."""
+    """Ids of texts as the library gives them, without special tokens added.
+
+    New chunks that are one word of Latin-1 letters, perhaps with a point or comma after it, are encoded many in a string:
+    word and stop are one pre-token each, of which the last piece, and no other, is one that ends a word.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.reset()
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.start = np.zeros(1 << 18, np.int64)
+        self.length = np.zeros(1 << 18, np.int64)
         self.used = 0
 
+    def _add(self, chunks: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        k, n = len(self.index), len(chunks)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        if k + n > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * (k + n)), np.resize(self.length, 2 * (k + n))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k : k + n] = self.used + np.cumsum(length) - length
+        self.length[k : k + n] = length
+        self.used += len(ids)
+        self.index.update(zip(chunks, range(k, k + n), strict=True))
+
     def _learn(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.index)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
-            if k >= len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * k + 2), np.resize(self.length, 2 * k + 2)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[chunk] = k
-
-    def ids(self, text: str) -> np.ndarray:
-        if ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        chunks = text.split()
-        if not chunks:
-            return np.zeros(0, np.uint32)
+        plain = list(map(ONE_WORD.fullmatch, chunks))
+        words = [c for c, m in zip(chunks, plain, strict=True) if m]
+        other = [c for c, m in zip(chunks, plain, strict=True) if not m]
+        if other:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self._add(other, np.array([i for x in ids for i in x], np.uint32), np.array(list(map(len, ids)), np.int64))
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self._whole(" ".join(some)), np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([1 + (c[-1] in ".,") for c in some]) - 1
+            if len(cut) != last[-1] + 1:
+                raise ValueError("the tokenizer does not mark the ends of words")
+            self._add(some, ids, np.diff(cut[last], prepend=0))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        chunks: list[str] = []
+        sizes = []
+        for text in texts:
+            own = [] if ODD_SPACE.search(text) else text.split()
+            sizes.append(len(own))
+            chunks += own
         if len(self.index) > MEMO:
             self.reset()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.index]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(new := np.flatnonzero(at < 0).tolist()):
+            self._learn(list(dict.fromkeys(chunks[i] for i in new)))
+            for i in new:
+                at[i] = self.index[chunks[i]]
         n = self.length[at]
         ends = np.cumsum(n)
-        return self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].tolist()
+        return [ids[a:b] if k or not ODD_SPACE.search(t) else np.array(self._whole(t), np.uint32) for t, k, a, b in zip(texts, sizes, bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(2)
@@ -161,8 +193,9 @@ def _packed(path: str, capacity: int, separator: int, with_ids: bool):
         kind = None
         for batch in batches:
             kind, done = batch.schema.field("doc_id").type, []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(own.ids(text or ""), np.uint32(separator)).astype("<u4")
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(texts), strict=True):
+                ids = np.append(ids, np.uint32(separator)).astype("<u4")
                 at = 0
                 for n in cuts(len(ids), capacity):
                     piece = ids[at : at + n]
