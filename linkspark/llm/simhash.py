@@ -254,12 +254,25 @@ def group_links(fp: np.ndarray, resident: np.ndarray, radius: int, nearest: int)
     return [(int(signed[a]), int(signed[b]), d) for (a, b), d in found.items()]
 
 
-def _compare(radius: int, nearest: int):
+def _first_met(found: list[tuple[int, int, int]], parts: Parts, part: int) -> list[tuple[int, int, int]]:
+    """The links whose ends meet in no part before ``part``. In the first part where the ends of a link meet, the forest
+    of their group joins them, so that what is left out here is joined there."""
+    if not found or not part:
+        return found
+    a, b = (np.array([f[k] for f in found], np.int64).view(np.uint64) for k in (0, 1))
+    again = np.zeros(len(found), bool)
+    for i in range(part):
+        if parts.thresholds[i] >= 0:
+            again |= np.bitwise_count(parts.values(a, i) ^ parts.values(b, i)) <= parts.thresholds[i]
+    return [f for f, seen in zip(found, again.tolist(), strict=True) if not seen]
+
+
+def _compare(parts: Parts, radius: int, nearest: int):
     """Over rows sorted by group: the links of each."""
 
-    def emit(fp: list[np.ndarray], resident: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    def emit(key: tuple, fp: list[np.ndarray], resident: list[np.ndarray]) -> list[tuple[int, int, int]]:
         x, r = np.concatenate(fp).view(np.uint64), np.concatenate(resident)
-        return group_links(x, r, radius, nearest) if len(x) > 1 else []
+        return _first_met(group_links(x, r, radius, nearest), parts, int(key[0]) >> 32) if len(x) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fps, residents = None, [], []
@@ -272,14 +285,14 @@ def _compare(radius: int, nearest: int):
                 if a == b:
                     continue
                 if key is not None and tuple(keys[a]) != key:
-                    links += emit(fps, residents)
+                    links += emit(key, fps, residents)
                     fps, residents = [], []
                 key = tuple(keys[a])
                 fps.append(fp[a:b])
                 residents.append(resident[a:b])
             yield _links(links)
         if key is not None:
-            yield _links(emit(fps, residents))
+            yield _links(emit(key, fps, residents))
 
     return run
 
@@ -297,7 +310,8 @@ def links(fps: DataFrame, radius: int = 3, nearest: int = 0, block: int = BLOCK)
     n = fps.count()
     if not n:
         return fps.sparkSession.createDataFrame([], "a long, b long, distance int")
-    rows = fps.mapInArrow(_spread(plan_parts(fps, n, radius)), "key long, fp long, resident boolean")
+    parts = plan_parts(fps, n, radius)
+    rows = fps.mapInArrow(_spread(parts), "key long, fp long, resident boolean")
     large = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
     zero = F.lit(0)
     if large.isEmpty():
@@ -309,7 +323,7 @@ def links(fps: DataFrame, radius: int = 3, nearest: int = 0, block: int = BLOCK)
         of = rows.join(large, "key", "left").select("key", "fp", "resident", F.coalesce(b, zero).alias("b"), partner)
         dealt = of.select("key", "fp", "resident", F.greatest("b", "x").alias("i"), F.least("b", "x").alias("j"))
     grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(_compare(radius, nearest), "a long, b long, distance int").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    return grouped.mapInArrow(_compare(parts, radius, nearest), "a long, b long, distance int").groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
