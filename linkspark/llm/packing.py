@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ from linkspark.llm.common import small_batches
 #: Tails are shorter than this; the classes of tails by how many of them fill a sequence of 2048 ids.
 FINEST = 128
 TAILS = (16, 20, 24, 32, 48, 64, 128, 256, 1024, 2048)
-#: Chunks whose ids a worker remembers before it starts anew.
-MEMO = 800_000
+#: Chunks whose ids a worker remembers in a task, and how many of them it keeps then: those it met first, as the frequent
+#: ones are met early.
+MEMO, KEEP = 500_000, 150_000
 ONE_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 #: White space for Python alone: texts with it are encoded whole.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0᠎​﻿]")
@@ -50,18 +51,23 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.reset()
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.start = np.zeros(1 << 18, np.int64)
         self.length = np.zeros(1 << 18, np.int64)
         self.used = 0
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def forget(self) -> None:
+        """Keep the first KEEP chunks, whose ids are the first of ``flat``."""
+        if len(self.index) > KEEP:
+            self.used = int(self.start[KEEP])
+            self.index = dict(islice(self.index.items(), KEEP))
+            self.flat = self.flat[: max(self.used, 1)].copy()
+            self.start, self.length = self.start[:KEEP].copy(), self.length[:KEEP].copy()
+
     def _add(self, chunks: list[str], ids: np.ndarray, length: np.ndarray) -> None:
         k, n = len(self.index), len(chunks)
         if self.used + len(ids) > len(self.flat):
@@ -98,7 +104,7 @@ class Encoder:
             sizes.append(len(own))
             chunks += own
         if len(self.index) > MEMO:
-            self.reset()
+            self.forget()
         at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         if len(new := np.flatnonzero(at < 0).tolist()):
             self._learn(list(dict.fromkeys(chunks[i] for i in new)))
@@ -209,6 +215,7 @@ def _packed(path: str, capacity: int, separator: int, with_ids: bool):
                     if k not in bins.open:
                         done += waiting.pop(sequence)
             yield batch_of(done)
+        own.forget()
         if kind is not None:
             to = bins.merged()
             yield batch_of([(*r[:5], to[s][0], to[s][1] + r[6], *r[7:]) for s, rows in waiting.items() for r in rows])
