@@ -56,9 +56,12 @@ def index_rows(records: DataFrame, variants: bool) -> DataFrame:
 
 
 def term_counts(rows: DataFrame, views: list[str]) -> DataFrame:
-    """entity_id, row, country, view, token, tf."""
+    """entity_id, row, country, view, token, tf. Rows are dealt by entity while they are few: the grouping of their many
+    tokens, and of all that is per entity later, then needs no exchange."""
     features = F.array(*[F.struct(F.lit(v).alias("view"), VIEWS[v](F.col("name"), F.col("address")).alias("tokens")) for v in views])
-    long = rows.select("entity_id", "row", "country", F.explode(features).alias("f")).select("entity_id", "row", "country", "f.view", F.explode("f.tokens").alias("token"))
+    # a number of partitions keeps adaptive execution from merging what grows so much in the next step
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = rows.repartition(n, "entity_id").select("entity_id", "row", "country", F.explode(features).alias("f")).select("entity_id", "row", "country", "f.view", F.explode("f.tokens").alias("token"))
     return long.groupBy("entity_id", "row", "country", "view", "token").agg(F.count("*").alias("tf"))
 
 
