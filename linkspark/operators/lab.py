@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linkspark.functions.hashing import lab_set
 from linkspark.operators.candidates import FAR, active, combine, is_rank, select_pairs
-from linkspark.operators.decisions import f05
+from linkspark.operators.decisions import entity_counts, f05
 
 PAIR = ["source1_id", "target_id"]
 # Depths and weights that are tried, and the resamples of the bootstrap.
@@ -133,3 +133,27 @@ def two_hops(missed: DataFrame, pairs: DataFrame, rank: str, depth: int = 3) ->
     nth = F.row_number().over(Window.partitionBy("source1_id", F.substring("target_id", 1, 2)).orderBy(rank, "target_id"))
     best = pairs.where(F.col(rank).isNotNull()).withColumn("nth", nth).where(F.col("nth") <= depth).select("source1_id", F.col("target_id").alias("via"))
     return missed.select(*PAIR).join(best, "source1_id").where(F.substring("via", 1, 2) != F.substring("target_id", 1, 2))
+
+
+def choose_text_form(entities: DataFrame, truth: DataFrame, forms: dict[str, DataFrame], config: dict) -> str:
+    """The form of text whose pairs give the best ceiling: the first, unless another beats it by two standard errors."""
+    names = list(forms)
+    best, own = names[0], entity_ceilings(entities, truth, forms[names[0]], config)
+    for name in names[1:]:
+        other = entity_ceilings(entities, truth, forms[name], config)
+        gain, se = paired_difference(own, other)
+        if gain > 2 * se:
+            best, own = name, other
+    return best
+
+
+def entity_scores(entities: DataFrame, truth: DataFrame, decided: DataFrame) -> DataFrame:
+    """source1_id, f05 of each entity."""
+    counts = entity_counts(entities, truth, decided)
+    return counts.select("source1_id", f05(F.col("n"), F.col("t"), F.col("hits")).alias("f05"))
+
+
+def end_to_end_gate(entities: DataFrame, truth: DataFrame, base: DataFrame, trial: DataFrame) -> dict:
+    """Whether the decided matches of a trial beat those of the base in macro F0.5 by two standard errors."""
+    gain, se = paired_difference(entity_scores(entities, truth, base), entity_scores(entities, truth, trial), "f05")
+    return {"gain": gain, "se": se, "passed": gain > 2 * se}

@@ -96,9 +96,9 @@ def q_features_of_text(spark, sf):
     return own.select("entity_id", F.size("n").cast("long").alias("name_features"), F.size("a").cast("long").alias("address_features"), F.size("c").cast("long").alias("address_char_features"), *[v.alias(k) for k, v in digest.items()])
 
 
-@query(f"WITH {REC} SELECT entity_id, len({q.gram_set('business_name')}) AS n_grams, CASE WHEN business_address = '' THEN 'query: ' || business_name ELSE 'query: ' || business_name || ', ' || business_address END AS form FROM rec")
+@query(f"WITH {REC} SELECT entity_id, len({q.gram_set('business_name')}) AS n_grams, 'query: ' || business_name AS name_form, 'query: ' || business_name || ', ' || business_address AS form FROM rec")
 def q_embedding_form(spark, sf):
-    return fx.records(spark, sf).select("entity_id", F.size(tx.gram_set(F.col("business_name"))).cast("long").alias("n_grams"), tx.embedding_text(F.col("business_name"), F.col("business_address")).alias("form"))
+    return fx.records(spark, sf).select("entity_id", F.size(tx.gram_set(F.col("business_name"))).cast("long").alias("n_grams"), tx.embedding_text(F.col("business_name")).alias("name_form"), tx.embedding_text(F.col("business_name"), F.col("business_address")).alias("form"))
 
 
 # ---------------------------------------------------------------- key blocking

@@ -193,3 +193,40 @@ def test_stream(spark, tmp_path, records):
     stream = spark.readStream.schema(others.schema).parquet(str(tmp_path / "in"))
     link_stream(stream, one, str(tmp_path / "out"), str(tmp_path / "check"), "name:3").awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("target_id = 'S2-1' AND source1_id = 'S1-1'").count() == 1
+
+
+def test_index_is_used_again(spark, tmp_path, records):
+    from linkspark.operators import index_store as store
+
+    path = str(tmp_path / "index")
+    assert store.build_index(records, path, ["name", "address"]) and not store.build_index(records, path, ["name", "address"])
+    assert store.build_index(records, path, ["name"])
+    postings, idf = store.load_index(spark, path)
+    assert postings.where("country = 'us'").count() > 0 and idf.select("view").distinct().count() == 1
+
+
+def test_linking_end_to_end(spark, tmp_path):
+    import random
+
+    from linkspark.plans import pipeline
+
+    rng = random.Random(0)
+    words = "acme delta river stone hill green north star blue oak metro union royal prime".split()
+    rows, links = [], []
+    for i in range(60):
+        name, address = " ".join(rng.sample(words, 3)), f"{rng.randint(1, 99)} {rng.choice(words)} street"
+        rows.append((f"S1-{i}", name, address, "US"))
+        for s in ("S2", "S3"):
+            rows.append((f"{s}-{i}", name + rng.choice(["", " inc", " ltd"]), address.replace("street", rng.choice(["st", "street"])), "us"))
+            links.append((f"S1-{i}", f"{s}-{i}"))
+    df = spark.createDataFrame(rows, RECORD)
+    one, others = sides(df)
+    truth = spark.createDataFrame(links, PAIR)
+    config = {"rank_name": 3, "rank_combined_060": 3, "rev_rank_name": 3}
+    models, setting = pipeline.train(one, others, truth, config, rounds=2, depth=2)
+    pipeline.link(one, others, models, setting, config, str(tmp_path / "out"))
+    entities, found = tsv.read_links(spark, str(tmp_path / "out" / "matching_results"))
+    report = dc.score_report(entities, truth, found).first()
+    assert report.entities == 60 and report.macro_f05 > 0.9
+    base = found.where("target_id LIKE 'S2%'")
+    assert lab.end_to_end_gate(entities, truth, base, found)["passed"]
