@@ -70,11 +70,6 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * bound / n)).limit(bound)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """What tells documents apart: id and a hash of the text. Rows equal in both are copies with equal results."""
-    return [F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key")]
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it while ``df`` has a column of that name in any case."""
     have = {c.lower() for c in df.columns}

@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from linkspark.llm.common import bounded_sample, row_key, small_batches, written
+from linkspark.llm.common import bounded_sample, small_batches, written
 
 #: The split of the byte-level scheme.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,27 +78,28 @@ def _frequencies(path: str, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = hot.value, splitter(path)
         for batch in batches:
-            at, size, words, ns = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            rows, words, ns, size = [], [], [], []
+            numbers = batch.column("row").to_pylist()
+            at = []  # where each document's own row is: only that has its id
+            for number, text in zip(numbers, batch.column("text").to_pylist(), strict=True):
                 counts, total = split.counts(text or "")
                 for word, n in counts.items():
                     p = known.get(word)
                     if p is None:
-                        at.append(i)
-                        size.append(0)
+                        rows.append(number)
                         words.append(word)
                         ns.append(n)
                     else:
                         total += n * p
-                at.append(i)
+                at.append(len(rows))
+                rows.append(number)
                 size.append(len((text or "").encode()))
                 words.append(None)
                 ns.append(total)
-            rows = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(size, pa.int64()), pa.array(words, pa.string()), pa.array(ns, pa.int64())],
-                ["doc_id", "text_key", "n_bytes", "pretoken", "n"],
-            )
+            place = np.full(len(rows), -1, np.int64)
+            place[at] = np.arange(len(at))
+            own = pa.array(place, mask=place < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column("doc_id").take(own), pa.array(size, pa.int64()).take(own), pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["row", "doc_id", "n_bytes", "pretoken", "n"])
 
     return run
 
@@ -124,13 +126,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, hot: int = 2
     top = [r[0] for r in picked.groupBy("pretoken").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "pretoken").limit(hot).select("pretoken").toLocalIterator()]
     known = spark.sparkContext.broadcast(dict(zip(top, splitter(tokenizer).pieces(top), strict=True)))
 
-    keyed = docs.select(*row_key(), "text")
-    schema = T.StructType([*keyed.schema.fields[:2], T.StructField("n_bytes", T.LongType()), T.StructField("pretoken", T.StringType()), T.StructField("n", T.LongType())])
-    freq = written(keyed.mapInArrow(_frequencies(tokenizer, known), schema), "pretokens")
-    pieces = freq.where("pretoken IS NOT NULL").select("pretoken").distinct().mapInArrow(_pieces(tokenizer), "pretoken string, pieces long")
-    rare = freq.where("pretoken IS NOT NULL").join(pieces, "pretoken").groupBy("doc_id", "text_key").agg(F.sum(F.col("n") * F.col("pieces")).alias("n"))
-    parts = freq.where("pretoken IS NULL").select("doc_id", "text_key", "n_bytes", "n", F.lit(1).alias("copies")).unionByName(rare.select("doc_id", "text_key", F.lit(0).cast("long").alias("n_bytes"), "n", F.lit(0).alias("copies")))
-    sums = parts.groupBy("doc_id", "text_key").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
-    # each of k equal rows brought its own frequencies
-    each = sums.select("doc_id", "n_bytes", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # a row's number is made and used within one written table: all that a document yields comes from one task
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    schema = T.StructType([T.StructField("row", T.LongType()), docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("pretoken", T.StringType()), T.StructField("n", T.LongType())])
+    freq = written(numbered.mapInArrow(_frequencies(tokenizer, known), schema), "pretokens")
+    rare = freq.where("pretoken IS NOT NULL").select("row", "pretoken", "n")
+    pieces = rare.select("pretoken").distinct().mapInArrow(_pieces(tokenizer), "pretoken string, pieces long")
+    sums = rare.join(pieces, "pretoken").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("rare"))
+    each = freq.where("pretoken IS NULL").join(sums, "row", "left")
+    n_tokens = F.col("n") + F.coalesce("rare", F.lit(0))
+    return each.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
