@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from linkspark.llm.common import small_batches
 
@@ -33,7 +33,7 @@ FINEST = 128
 TAILS = (16, 20, 24, 32, 48, 64, 128, 256, 1024, 2048)
 #: Chunks whose ids a worker remembers in a task, and how many of them it keeps then: those it met first, as the frequent
 #: ones are met early.
-MEMO, KEEP = 500_000, 150_000
+MEMO, KEEP = 500_000, 200_000
 ONE_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 #: White space for Python alone: texts with it are encoded whole.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0᠎​﻿]")
@@ -51,6 +51,12 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        # single words need neither the normalizer's nor the splitter's expressions, if this one lowers and splits alike
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = ["Word.", "été,", "Straße", "ÀÖØ", "a"]
+        self.lowers = self._whole(" ".join(probe)) == self._of_words(probe)
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.start = np.zeros(1 << 18, np.int64)
@@ -60,6 +66,10 @@ class Encoder:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _of_words(self, words: list[str]) -> list[int]:
+        text = " ".join(words).lower().replace(".", " .").replace(",", " ,")
+        return self.of_words.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def forget(self) -> None:
         """Keep the first KEEP chunks, whose ids are the first of ``flat``."""
         if len(self.index) > KEEP:
@@ -89,7 +99,7 @@ class Encoder:
             self._add(other, np.array([i for x in ids for i in x], np.uint32), np.array(list(map(len, ids)), np.int64))
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
-            ids = np.array(self._whole(" ".join(some)), np.uint32)
+            ids = np.array(self._of_words(some) if self.lowers else self._whole(" ".join(some)), np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
             last = np.cumsum([1 + (c[-1] in ".,") for c in some]) - 1
             if len(cut) != last[-1] + 1:
@@ -108,8 +118,7 @@ class Encoder:
         at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         if len(new := np.flatnonzero(at < 0).tolist()):
             self._learn(list(dict.fromkeys(chunks[i] for i in new)))
-            for i in new:
-                at[i] = self.index[chunks[i]]
+            at[new] = [self.index[chunks[i]] for i in new]
         n = self.length[at]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
