@@ -230,3 +230,49 @@ def test_linking_end_to_end(spark, tmp_path):
     assert report.entities == 60 and report.macro_f05 > 0.9
     base = found.where("target_id LIKE 'S2%'")
     assert lab.end_to_end_gate(entities, truth, base, found)["passed"]
+
+
+def test_store_split_and_report(spark, tmp_path, records):
+    import json
+
+    tsv.write_record_store(records, "record_store", 4)
+    assert spark.table("record_store").count() == records.count()
+    with pytest.raises(ValueError, match="repeated id"):
+        tsv.write_record_store(records.union(records.limit(1)), "record_store_2", 4)
+    rows = spark.createDataFrame([(f"S1-{i}", "S2-1") for i in range(200)], "source1_entity_id string, matched_entity_ids string")
+    tsv.split_truth(rows, str(tmp_path / "split"))
+    parts = {p: tsv.read_links(spark, str(tmp_path / "split" / p))[0].count() for p in ("train", "validation")}
+    assert sum(parts.values()) == 200 and 5 < parts["validation"] < 40
+    tsv.write_report({"a": 1}, str(tmp_path / "report"))
+    assert json.loads((tmp_path / "report.json").read_text()) == {"a": 1}
+
+
+def test_lab_choices(spark):
+    rows, links = [], []
+    for i in range(60):
+        links.append((f"e{i}", f"S2-{i}"))
+        rows.append((f"e{i}", f"S2-{i}", 40 if i % 2 else 5, 3, 25, True))
+        rows.append((f"e{i}", f"S3-{i}", 1, 50, 60, False))
+    pairs = spark.createDataFrame(rows, f"{PAIR}, rank_name short, rank_combined_060 short, rank_combined_040 short, is_true boolean")
+    entities, truth = spark.createDataFrame([(f"e{i}",) for i in range(60)], "source1_id string"), spark.createDataFrame(links, PAIR)
+    best = lab.choose_weight(entities, truth, pairs, 10).first()
+    assert best.config == "0.6" and best.recall == 1
+    steps = lab.greedy_configuration(entities, truth, pairs, budget=5.0, limit=2)
+    assert steps[0][0] == {"rank_combined_060": 10} and steps[0][1] == 1.0
+    gate = lab.gate(entities, truth, pairs, {"rank_name": 10}, {"rank_combined_060": 10})
+    assert gate["passed"] and gate["recall_base"] == 0.5
+    assert lab.choose_text_form(entities, truth, {"short": pairs.where("rank_name < 10"), "long": pairs}, {"rank_name": 50}) == "long"
+
+
+def test_folds_and_curve(spark):
+    import random
+
+    rng = random.Random(0)
+    rows = [(f"e{i % 150}", f"S2-{i}", rng.random(), int(i % 3 == 0)) for i in range(900)]
+    pairs = spark.createDataFrame([(s, t, x + y, y) for s, t, x, y in rows], f"{PAIR}, x double, label int")
+    entities = pairs.select("source1_id").distinct()
+    truth = pairs.where("label = 1").select("source1_id", "target_id")
+    curve = mt.learning_curve(pairs, ["x"], 0.5, entities, truth, rounds=2, depth=2)
+    assert curve["all"] > 0.9
+    scores = mt.score_pairs(pairs, ["x"], mt.train_folds(mt.shuffled_labels(pairs), ["x"], rounds=2, depth=2))
+    assert dc.score_report(entities, truth, dc.decide(scores, 0.5, one_owner=False)).first().macro_f05 < 0.7
