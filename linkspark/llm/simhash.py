@@ -6,9 +6,8 @@ unequal: dynamic programming takes those with the lowest cost, from exact counts
 each part, taken over all fingerprints. Each fingerprint resides under its value of every used part and visits all values
 within t_i; visitors and residents of a value are compared in full, in blocks of bounded size.
 
-Equal fingerprints are one node from the start. What a value's group emits is a spanning forest of its links, with each
-fingerprint's nearest few on demand, never all pairs; a group of any size is compared whole, in pairs of blocks over many
-tasks.
+Equal fingerprints are one node from the start. What a value's group emits is a spanning forest of its links, never all
+pairs; a group of any size is compared whole, in pairs of blocks over many tasks.
 """
 
 from __future__ import annotations
@@ -65,10 +64,15 @@ def likeness(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    union = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        union = union[:SKETCH]
-    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True)).mean())
+    both = np.concatenate((x, y))
+    both.sort()
+    again = np.append(both[1:] == both[:-1], False)  # the first of an equal pair
+    n = len(both) - int(again.sum())
+    if n > SKETCH and (len(x) == SKETCH or len(y) == SKETCH):
+        first = np.append(True, both[1:] != both[:-1])
+        end = np.flatnonzero(np.cumsum(first) > SKETCH)[0]
+        return float(again[:end].sum() / SKETCH)
+    return float(again.sum() / n)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -199,8 +203,8 @@ def _spread(parts: Parts):
     return run
 
 
-def group_links(fp: np.ndarray, resident: np.ndarray, radius: int, nearest: int) -> list[tuple[int, int, int]]:
-    """(a, b, distance): a spanning forest, of least distance, of the links of a group, and each member's ``nearest``.
+def group_links(fp: np.ndarray, resident: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+    """(a, b, distance): a spanning forest, of least distance, of the links of a group.
 
     Visitors are compared with residents alone: two visitors meet elsewhere.
     """
@@ -215,17 +219,11 @@ def group_links(fp: np.ndarray, resident: np.ndarray, radius: int, nearest: int)
     n = len(fp)
     found: dict[tuple[int, int], int] = {}
     comp = np.arange(n)
-    first = True
     while n > 1:
         best: dict[int, tuple[int, int, int]] = {}
         for k in range(0, n, 512):
             d = np.bitwise_count(fp[k : k + 512, None] ^ fp[None, :]).astype(np.int16)
             d[np.arange(len(d)), np.arange(k, k + len(d))] = 99
-            if first and nearest:
-                for col in np.argpartition(d, min(nearest, n - 1) - 1, axis=1)[:, :nearest].T:
-                    for i in np.flatnonzero(d[np.arange(len(d)), col] <= radius):
-                        a, b = sorted((int(i) + k, int(col[i])))
-                        found[a, b] = int(d[i, col[i]])
             d[comp[k : k + 512, None] == comp[None, :]] = 99
             j = d.argmin(1)
             for i in np.flatnonzero(d[np.arange(len(d)), j] <= radius):
@@ -233,7 +231,6 @@ def group_links(fp: np.ndarray, resident: np.ndarray, radius: int, nearest: int)
                 c = int(comp[i + k])
                 if c not in best or edge < best[c]:
                     best[c] = edge
-        first = False
         if not best:
             break
         parent = {int(c): int(c) for c in np.unique(comp)}
@@ -267,32 +264,106 @@ def _first_met(found: list[tuple[int, int, int]], parts: Parts, part: int) -> li
     return [f for f, seen in zip(found, again.tolist(), strict=True) if not seen]
 
 
-def _compare(parts: Parts, radius: int, nearest: int):
-    """Over rows sorted by group: the links of each."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows sorted by key, i, j as (key, i, j) and the group's rows, across the borders of batches."""
+    key, own = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            now = tuple(keys[a].tolist())
+            if key is not None and now != key:
+                yield key, pa.Table.from_batches(own)
+                own = []
+            key = now
+            own.append(batch.slice(a, b - a))
+    if key is not None:
+        yield key, pa.Table.from_batches(own)
 
-    def emit(key: tuple, fp: list[np.ndarray], resident: list[np.ndarray]) -> list[tuple[int, int, int]]:
-        x, r = np.concatenate(fp).view(np.uint64), np.concatenate(resident)
-        return _first_met(group_links(x, r, radius, nearest), parts, int(key[0]) >> 32) if len(x) > 1 else []
+
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return rows["fp"].to_numpy().view(np.uint64), rows["resident"].to_numpy()
+
+
+def _compare(parts: Parts, radius: int):
+    """Over rows sorted by group: the links of each, some thousand at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, residents = None, [], []
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")], 1)
-            fp, resident = batch.column("fp").to_numpy(zero_copy_only=False), batch.column("resident").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            links: list[tuple[int, int, int]] = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if key is not None and tuple(keys[a]) != key:
-                    links += emit(key, fps, residents)
-                    fps, residents = [], []
-                key = tuple(keys[a])
-                fps.append(fp[a:b])
-                residents.append(resident[a:b])
-            yield _links(links)
-        if key is not None:
-            yield _links(emit(key, fps, residents))
+        found: list[tuple[int, int, int]] = []
+        for key, rows in _groups(batches):
+            if len(rows) > 1:
+                found += _first_met(group_links(*_arrays(rows), radius), parts, key[0] >> 32)
+            if len(found) > BLOCK:
+                yield _links(found)
+                found = []
+        yield _links(found)
+
+    return run
+
+
+def met_pairs(fp: np.ndarray, resident: np.ndarray, radius: int, parts: Parts, part: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and distance of all pairs of a group within ``radius`` that meet in no earlier part, some rows at a time."""
+    rows = np.flatnonzero(resident)
+    for k in range(0, len(rows), 256):
+        d = np.bitwise_count(fp[rows[k : k + 256], None] ^ fp[None, :])
+        x, y = np.nonzero(d <= radius)
+        a, b, d = rows[k + x], y, d[x, y]
+        fresh_ = (a < b) | ~resident[b]  # two residents once, a visitor with each resident
+        fresh_ &= fp[a] != fp[b]
+        for i in range(part):
+            if parts.thresholds[i] >= 0:
+                fresh_ &= np.bitwise_count(parts.values(fp[a], i) ^ parts.values(fp[b], i)) > parts.thresholds[i]
+        yield a[fresh_], b[fresh_], d[fresh_]
+
+
+def _with_partners(parts: Parts, radius: int):
+    """Of each group the rows that have a pair to verify there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _groups(batches):
+            if len(rows) < 2:
+                continue
+            fp, resident = _arrays(rows)
+            has = np.zeros(len(fp), bool)
+            for a, b, _ in met_pairs(fp, resident, radius, parts, key[0] >> 32):
+                has[a] = has[b] = True
+            if has.any():
+                yield from rows.filter(pa.array(has)).combine_chunks().to_batches()
+
+    return run
+
+
+def _verified(parts: Parts, radius: int, similarity: float):
+    """Over rows sorted by group: links whose sketches are alike. Every pair is verified but those already joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int, int]] = []
+        for key, rows in _groups(batches):
+            fp, resident = _arrays(rows)
+            sketches, parent = rows["sketch"].to_pylist(), list(range(len(fp)))
+
+            def top(i: int, parent: list[int] = parent) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            same: dict[int, int] = {}  # rows of one fingerprint
+            for i, f in enumerate(fp.tolist()):
+                parent[i] = same.setdefault(f, i)
+            for a, b, d in met_pairs(fp, resident, radius, parts, key[0] >> 32):
+                nearest_first = np.argsort(d, kind="stable")
+                for i, j, n in zip(a[nearest_first].tolist(), b[nearest_first].tolist(), d[nearest_first].tolist(), strict=True):
+                    x, y = top(i), top(j)
+                    if x != y and likeness(sketches[i], sketches[j]) >= similarity:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((int(fp.view(np.int64)[i]), int(fp.view(np.int64)[j]), n))
+            if len(found) > BLOCK:
+                yield _links(found)
+                found = []
+        yield _links(found)
 
     return run
 
@@ -302,15 +373,9 @@ def _links(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array(d, pa.int32())})
 
 
-def links(fps: DataFrame, radius: int = 3, nearest: int = 0, block: int = BLOCK) -> DataFrame:
-    """(a, b, distance) of distinct ``fps`` (fp long): links within ``radius`` that join what is joined within it.
-
-    A group of over ``block`` fingerprints is dealt into blocks, and every pair of blocks is a group of its own.
-    """
-    n = fps.count()
-    if not n:
-        return fps.sparkSession.createDataFrame([], "a long, b long, distance int")
-    parts = plan_parts(fps, n, radius)
+def _dealt(fps: DataFrame, parts: Parts, block: int) -> DataFrame:
+    """key, fp, resident, i, j, sorted by group (key, i, j). A group of over ``block`` fingerprints is dealt into blocks, and
+    every pair of blocks is a group of its own."""
     rows = fps.mapInArrow(_spread(parts), "key long, fp long, resident boolean")
     large = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
     zero = F.lit(0)
@@ -322,8 +387,37 @@ def links(fps: DataFrame, radius: int = 3, nearest: int = 0, block: int = BLOCK)
         partner = F.explode(F.sequence(zero, F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("x")
         of = rows.join(large, "key", "left").select("key", "fp", "resident", F.coalesce(b, zero).alias("b"), partner)
         dealt = of.select("key", "fp", "resident", F.greatest("b", "x").alias("i"), F.least("b", "x").alias("j"))
-    grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(_compare(parts, radius, nearest), "a long, b long, distance int").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    return _sorted(dealt)
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+LINK = "a long, b long, distance int"
+
+
+def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """(a, b, distance) of distinct ``fps`` (fp long): links within ``radius`` that join what is joined within it."""
+    n = fps.count()
+    if not n:
+        return fps.sparkSession.createDataFrame([], LINK)
+    parts = plan_parts(fps, n, radius)
+    return _dealt(fps, parts, block).mapInArrow(_compare(parts, radius), LINK).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def verified_links(reps: DataFrame, radius: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, distance) of distinct ``reps`` (fp long, sketch binary): links within ``radius`` whose sketches are alike by
+    ``similarity``, and which join what such links join. Each pair is verified in the one group where it first meets, unless
+    verified links have joined it there; sketches go only to the groups where their fingerprint has a partner."""
+    fps = reps.select("fp")
+    n = fps.count()
+    if not n:
+        return fps.sparkSession.createDataFrame([], LINK)
+    parts = plan_parts(fps, n, radius)
+    shape = "key long, fp long, resident boolean, i int, j int"
+    partners = written(_dealt(fps, parts, block).mapInArrow(_with_partners(parts, radius), shape), "partners")
+    return _sorted(partners.join(reps, "fp")).mapInArrow(_verified(parts, radius, similarity), LINK)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -359,7 +453,7 @@ def _similar(left: str, right: str, similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 3, radius: int = 10, nearest: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 3, radius: int = 10) -> DataFrame:
     """null_id, doc_id (0 for null), text_key, component, keeper, n: each distinct (doc_id, text) of ``docs`` with its group.
 
     Texts are near duplicates if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` at
@@ -373,9 +467,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pr
     made = appended(keyed, "made", T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())]), lambda texts: pa.array([{"fp": fingerprint(t, probe_words), "sketch": sketch(t, words)} for t in texts], pa.struct([("fp", pa.int64()), ("sketch", pa.binary())])))
     own = written(made.select("null_id", "doc_id", "text_key", "made.*"), "sketches")
     reps = written(own.groupBy("fp").agg(F.min(F.struct("null_id", "doc_id", "text_key", "sketch"))["sketch"].alias("rep")), "representatives")
-    proposed = links(reps.select("fp"), radius, nearest)
-    pairs = proposed.select("a", "b").join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
-    roots = written(components(pairs.mapInArrow(_similar("x", "y", similarity), "b long, a long")).withColumnRenamed("node", "fp"), "roots")
+    alike = verified_links(reps.withColumnRenamed("rep", "sketch"), radius, similarity)
+    roots = written(components(alike.select("a", "b")).withColumnRenamed("node", "fp"), "roots")
     same = own.join(reps, "fp")
     key = ["null_id", "doc_id", "text_key"]
     agreed = same.where("sketch = rep").drop("sketch", "rep").select(*key, "fp").unionByName(same.where("sketch <> rep").select(*key, "fp", "sketch", "rep").mapInArrow(_similar("sketch", "rep", similarity), "null_id boolean, doc_id long, text_key long, fp long"))

@@ -350,7 +350,7 @@ def test_links_join_all_that_is_linked(spark, radius, block):
         values.add(v)
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius, 0, block).collect()
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius, block).collect()
     place = {v: i for i, v in enumerate(signed)}
     assert all((values[place[e.a]] ^ values[place[e.b]]).bit_count() == e.distance <= radius for e in edges)
     parent = list(range(len(values)))
@@ -545,3 +545,36 @@ def test_pipeline(spark, docs, empty, sf):
     toxic = [i for i in marks if marks[i]]
     assert sum(i in gone for i in toxic) >= 0.85 * len(toxic) and sum(i in gone for i in marks if not marks[i]) <= 0.01 * len(marks)
     assert c.run(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_every_alike_pair_is_joined(spark, block):
+    """A dense group in which what is alike is alike through others alone: against all pairs."""
+    rng = random.Random(9)
+    centre, rows = rng.getrandbits(64), {}
+    for _ in range(160):
+        v = centre
+        for _ in range(rng.randint(0, 6)):
+            v ^= 1 << rng.randrange(64)
+        at = rng.randrange(0, 400, 7)
+        rows[v - (1 << 64) if v >> 63 else v] = np.arange(at, at + 60, dtype=np.uint32).tobytes()
+    own = list(rows)
+    df = spark.createDataFrame([(v, bytearray(rows[v])) for v in own], "fp long, sketch binary")
+    edges = simhash.verified_links(df, 9, 0.7, block).collect()
+
+    def joined(pairs):
+        parent = {v: v for v in own}
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+        return {v: top(v) for v in own}
+
+    want = joined((a, b) for a in own for b in own if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 9 and simhash.likeness(rows[a], rows[b]) >= 0.7)
+    assert joined((e.a, e.b) for e in edges) == want and 1 < len(set(want.values())) < len(own)
+    assert all(simhash.likeness(rows[e.a], rows[e.b]) >= 0.7 for e in edges)
