@@ -275,4 +275,5 @@ def test_folds_and_curve(spark):
     curve = mt.learning_curve(pairs, ["x"], 0.5, entities, truth, rounds=2, depth=2)
     assert curve["all"] > 0.9
     scores = mt.score_pairs(pairs, ["x"], mt.train_folds(mt.shuffled_labels(pairs), ["x"], rounds=2, depth=2))
-    assert dc.score_report(entities, truth, dc.decide(scores, 0.5, one_owner=False)).first().macro_f05 < 0.7
+    shuffled = dc.score_report(entities, truth, dc.decide(scores, 0.5, one_owner=False)).first()
+    assert shuffled.macro_f05 < shuffled.singletons / shuffled.entities + 0.1 < curve["all"]  # near what no link at all scores
