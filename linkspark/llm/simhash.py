@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkspark.llm.common import appended, fresh, small_batches, written
+from linkspark.llm.common import appended, bounded_sample, fresh, small_batches, written
 from linkspark.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -35,6 +35,8 @@ CHUNK, BLOCK = 65_536, 4096
 PROBE = 300
 #: 32-bit hashes in a document's sketch.
 SKETCH = 256
+#: Documents from which common shingles are picked, the fewest of them with a common one, and how many are kept.
+PICK, OFTEN, COMMON = 4000, 3, 100_000
 
 
 def shingles(text: str | None, words: int) -> Iterator[bytes]:
@@ -53,10 +55,35 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * total > n).view(">i8")[0]) if n else 0
 
 
+def sketch_hashes(text: str | None, words: int) -> np.ndarray:
+    """The SKETCH smallest 64-bit hashes of the shingles that differ in their upper halves, in order."""
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)), np.uint64))
+    upper = h >> np.uint64(32)
+    return h[np.append(True, upper[1:] != upper[:-1])[: len(h)]][:SKETCH]
+
+
+def upper_halves(hashes: np.ndarray) -> bytes:
+    return (hashes >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
 def sketch(text: str | None, words: int) -> bytes:
     """The smallest SKETCH distinct 32-bit hashes of the shingles: all of them in a shorter text."""
-    h = np.unique(np.fromiter((xxhash.xxh32_intdigest(s, SEED) for s in shingles(text, words)), np.uint32))
-    return h[:SKETCH].tobytes()
+    return upper_halves(sketch_hashes(text, words))
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest of a sketch's hashes, one more than may be missing in a sketch alike by ``similarity``.
+
+    Of m hashes at most (1 - similarity) m are not among those that make two sketches alike: ``likeness`` divides by m at
+    least. The first, in any order common to all sketches, of those they share is thus in the prefix of both. The order is
+    by how ``often`` a hash was seen (``common``, sorted), then by the hash; it sets the cost, not what is found.
+    """
+    seen = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        seen = np.where(common[at] == hashes, often[at], 0)
+    n = int((1 - similarity) * len(hashes) + 1e-9) + 1
+    return hashes[np.lexsort((hashes, seen))[:n]]
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -420,6 +447,80 @@ def verified_links(reps: DataFrame, radius: int, similarity: float, block: int =
     return _sorted(partners.join(reps, "fp")).mapInArrow(_verified(parts, radius, similarity), LINK)
 
 
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of at most COMMON shingles that about PICK documents of ``docs`` (text_key, text) have most often, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"h": pa.array(sketch_hashes(text, words).view(np.int64), pa.int64())})
+
+    counts = bounded_sample(docs, F.col("text_key"), PICK).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = np.array(top["h"], np.int64).view(np.uint64), np.array(top["n"], np.int64)
+    return h[np.argsort(h)], n[np.argsort(h)]
+
+
+def group_alike(sketches: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of ``sketches`` (none empty) that are alike: all pairs are compared but those already joined."""
+    n, found = len(sketches), []
+    own = [np.frombuffer(s, np.uint32) for s in sketches]
+    size = np.array([len(x) for x in own])
+    start = np.cumsum(size) - size
+    codes = np.unique(np.concatenate(own), return_inverse=True)[1]
+    comp, mark = np.arange(n), np.zeros(int(codes.max()) + 1, bool)
+    for i in range(n - 1):
+        if not (comp[i + 1 :] != comp[i]).any():
+            continue
+        mine = codes[start[i] : start[i] + size[i]]
+        mark[mine] = True
+        shared = np.add.reduceat(mark[codes[start[i + 1] :]], start[i + 1 :] - start[i + 1], dtype=np.int64)
+        mark[mine] = False
+        # what two sketches share is divided by no less than the larger of them
+        for j in (np.flatnonzero(shared + 1e-6 >= similarity * np.maximum(size[i], size[i + 1 :])) + i + 1).tolist():
+            if comp[i] != comp[j] and likeness(sketches[i], sketches[j]) >= similarity:
+                comp[comp == comp[j]] = comp[i]
+                found.append((i, j))
+    return found
+
+
+def _alike(similarity: float):
+    """Over rows sorted by group: links whose sketches are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        for _, rows in _groups(batches):
+            node = rows["node"].to_pylist()
+            for i, j in group_alike(rows["sketch"].to_pylist(), similarity) if len(node) > 1 else ():
+                a.append(node[i])
+                b.append(node[j])
+            if len(a) > BLOCK:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                a, b = [], []
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def alike_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) of ``nodes`` (node long, distinct; sketch binary; prefix array of long): links whose sketches are alike by
+    ``similarity``, and which join all that such links join.
+
+    Nodes with a hash of their prefixes in common are a group, and every alike pair is in one. Of groups with the same
+    members one is compared (count and 128 bits over the members tell). A group of over ``block`` nodes is dealt into
+    blocks, and every pair of blocks is a group of its own. Sketches go only to groups of two or more.
+    """
+    rows = nodes.select(F.explode("prefix").alias("key"), "node")
+    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    several = rows.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1")
+    groups = written(several.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "groups")
+    b = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("b")
+    of = rows.join(groups, "key").select("key", "node", b, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    dealt = of.select("key", "node", F.greatest("b", "x").alias("i"), F.least("b", "x").alias("j"))
+    return _sorted(dealt.join(nodes.select("node", "sketch"), "node")).mapInArrow(_alike(similarity), "a long, b long")
+
+
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links within ``radius``).
 
@@ -453,21 +554,30 @@ def _similar(left: str, right: str, similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 3, radius: int = 10) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 3) -> DataFrame:
     """null_id, doc_id (0 for null), text_key, component, keeper, n: each distinct (doc_id, text) of ``docs`` with its group.
 
     Texts are near duplicates if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` at
-    least, to the precision of a sketch of 256 hashes (exact up to 256 shingles). Fingerprints of ``probe_words``-word
-    shingles within ``radius`` bits propose the pairs: shorter shingles move fewer bits for the same edit. Groups are
+    least, to the precision of a sketch of 256 hashes (exact up to 256 shingles). Every pair of representatives of a
+    fingerprint (of ``probe_words``-word shingles) that is alike shares a hash of its prefixes, and all that do are compared. Groups are
     connected components. keeper: the one row of its group that stays, the smallest by (null id last, doc_id, text_key);
     n: how often that row is there. Wordless and null texts are one group.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    made = appended(keyed, "made", T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())]), lambda texts: pa.array([{"fp": fingerprint(t, probe_words), "sketch": sketch(t, words)} for t in texts], pa.struct([("fp", pa.int64()), ("sketch", pa.binary())])))
+    common, often = common_shingles(keyed, words)
+
+    def make(texts: list) -> pa.Array:
+        hashes = [sketch_hashes(t, words) for t in texts]
+        out = [{"fp": fingerprint(t, probe_words), "sketch": upper_halves(h), "prefix": prefix(h, similarity, common, often).view(np.int64) if len(h) else []} for t, h in zip(texts, hashes, strict=True)]
+        return pa.array(out, pa.struct([("fp", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
+
+    made = appended(keyed, "made", T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]), make)
     own = written(made.select("null_id", "doc_id", "text_key", "made.*"), "sketches")
-    reps = written(own.groupBy("fp").agg(F.min(F.struct("null_id", "doc_id", "text_key", "sketch"))["sketch"].alias("rep")), "representatives")
-    alike = verified_links(reps.withColumnRenamed("rep", "sketch"), radius, similarity)
+    reps = written(own.groupBy("fp").agg(F.min(F.struct("null_id", "doc_id", "text_key", "sketch", "prefix")).alias("r")).select("fp", F.col("r.sketch").alias("rep"), "r.prefix"), "representatives")
+    own = own.drop("prefix")
+    alike = alike_links(reps.select(F.col("fp").alias("node"), F.col("rep").alias("sketch"), "prefix"), similarity)
+    reps = reps.drop("prefix")
     roots = written(components(alike.select("a", "b")).withColumnRenamed("node", "fp"), "roots")
     same = own.join(reps, "fp")
     key = ["null_id", "doc_id", "text_key"]

@@ -399,6 +399,54 @@ def test_near_duplicates(spark, docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_edited_blocks(spark):
+    rng = random.Random(21)
+    rows, tally = [], Counter()
+    for i in range(80):
+        n = rng.randint(100, 250)
+        words = [f"w{rng.randrange(50_000)}" for _ in range(n)]
+        cut, at = rng.randint(n // 22, n // 10), rng.randrange(n - n // 10)
+        other = [f"w{rng.randrange(50_000)}" for _ in range(cut)]
+        edited = words[:at] + other + words[at + cut :] if i % 2 else [*words, *other, *other]
+        a, b = (set(simhash.shingles(" ".join(w), 5)) for w in (words, edited))
+        tally[i] = alike = len(a & b) / len(a | b) >= 0.8
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    assert sum(tally.values()) > 40
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {d for i in range(80) for d in ((2 * i,) if tally[i] else (2 * i, 2 * i + 1))}
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_alike_links(spark, block):
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:k] + [f"n{rng.randrange(10**6)}" for _ in range(rng.randint(1, 60))] + base[k + 60 :]) for k in (rng.randrange(240) for _ in range(80))]
+    texts += [" ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randint(1, 500))) for _ in range(40)]
+    hashes = [simhash.sketch_hashes(t, 5) for t in texts]
+    common, often = np.unique(np.concatenate(hashes), return_counts=True)
+    sketches = [simhash.upper_halves(h) for h in hashes]
+    assert sketches == [simhash.sketch(t, 5) for t in texts]
+    rows = [(i, bytearray(s), simhash.prefix(h, 0.7, common, often).view(np.int64).tolist()) for i, (h, s) in enumerate(zip(hashes, sketches, strict=True))]
+    edges = simhash.alike_links(spark.createDataFrame(rows, "node long, sketch binary, prefix array<long>"), 0.7, block).collect()
+
+    def joined(pairs):
+        parent = list(range(len(texts)))
+
+        def top(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+        return [top(i) for i in range(len(texts))]
+
+    want = joined((a, b) for b in range(len(texts)) for a in range(b) if simhash.likeness(sketches[a], sketches[b]) >= 0.7)
+    assert joined((e.a, e.b) for e in edges) == want and len(set(want)) < len(texts)
+    assert all(simhash.likeness(sketches[e.a], sketches[e.b]) >= 0.7 for e in edges)
+
+
 def test_likeness():
     a, b = " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(20, 120))
     own = [set(simhash.shingles(t, 5)) for t in (a, b)]
