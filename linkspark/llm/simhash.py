@@ -542,26 +542,14 @@ def _components(own: DataFrame, edges: DataFrame) -> DataFrame:
     return classes.join(merged, "fp", "left").select("fp", F.coalesce("reached", "lowest").alias("component_id"))
 
 
-def _similar(left: str, right: str, similarity: float):
-    """Keeps the rows whose two sketches are alike, without the sketches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = [likeness(x, y) >= similarity for x, y in zip(batch.column(left).to_pylist(), batch.column(right).to_pylist(), strict=True)]
-            rest = batch.select([c for c in batch.schema.names if c not in (left, right)])
-            yield rest.filter(pa.array(alike, pa.bool_()))
-
-    return run
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """null_id, doc_id (0 for null), text_key, component, keeper, n: each distinct (doc_id, text) of ``docs`` with its group.
 
     Texts are near duplicates if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` at
-    least, to the precision of a sketch of 256 hashes (exact up to 256 shingles). Every pair of representatives of a
-    fingerprint (of ``probe_words``-word shingles) that is alike shares a hash of its prefixes, and all that do are compared. Groups are
-    connected components. keeper: the one row of its group that stays, the smallest by (null id last, doc_id, text_key);
-    n: how often that row is there. Wordless and null texts are one group.
+    least, to the precision of a sketch of 256 hashes (exact up to 256 shingles). Each distinct sketch is a node, every
+    alike pair of them shares a hash of its prefixes, and all that do are compared. Groups are connected components.
+    keeper: the one row of its group that stays, the smallest by (null id last, doc_id, text_key); n: how often that row is
+    there. Wordless and null texts are one group.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
@@ -569,22 +557,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pr
 
     def make(texts: list) -> pa.Array:
         hashes = [sketch_hashes(t, words) for t in texts]
-        out = [{"fp": fingerprint(t, probe_words), "sketch": upper_halves(h), "prefix": prefix(h, similarity, common, often).view(np.int64) if len(h) else []} for t, h in zip(texts, hashes, strict=True)]
-        return pa.array(out, pa.struct([("fp", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
-
-    made = appended(keyed, "made", T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]), make)
-    own = written(made.select("null_id", "doc_id", "text_key", "made.*"), "sketches")
-    reps = written(own.groupBy("fp").agg(F.min(F.struct("null_id", "doc_id", "text_key", "sketch", "prefix")).alias("r")).select("fp", F.col("r.sketch").alias("rep"), "r.prefix"), "representatives")
-    own = own.drop("prefix")
-    alike = alike_links(reps.select(F.col("fp").alias("node"), F.col("rep").alias("sketch"), "prefix"), similarity)
-    reps = reps.drop("prefix")
-    roots = written(components(alike.select("a", "b")).withColumnRenamed("node", "fp"), "roots")
-    same = own.join(reps, "fp")
+        out = [{"sketch": upper_halves(h), "prefix": prefix(h, similarity, common, often).view(np.int64) if len(h) else []} for h in hashes]
+        return pa.array(out, pa.struct([("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
+
+    made = appended(keyed, "made", T.StructType([T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]), make)
+    own = written(made.select("null_id", "doc_id", "text_key", F.xxhash64("made.sketch").alias("node"), "made.*"), "sketches")
+    nodes = written(own.groupBy("node").agg(F.min(F.struct("sketch", "prefix")).alias("r")).select("node", "r.*"), "nodes")
+    roots = written(components(alike_links(nodes, similarity)), "roots")
     key = ["null_id", "doc_id", "text_key"]
-    agreed = same.where("sketch = rep").drop("sketch", "rep").select(*key, "fp").unionByName(same.where("sketch <> rep").select(*key, "fp", "sketch", "rep").mapInArrow(_similar("sketch", "rep", similarity), "null_id boolean, doc_id long, text_key long, fp long"))
-    counted = own.groupBy(*key).agg(F.count("*").alias("n")).join(agreed.distinct(), key, "left").join(roots, "fp", "left")
-    # a text unlike its fingerprint's representative is a group of its own
-    named = counted.select(*key, "n", F.struct(F.col("fp").isNull().alias("alone"), F.coalesce("root", "fp", "text_key").alias("id")).alias("component"))
+    counted = own.groupBy(*key, "node").agg(F.count("*").alias("n"))
+    named = counted.join(roots, "node", "left").select(*key, "n", F.coalesce("root", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min(F.struct(*key)).alias("lowest"))
     return named.join(lowest, "component").select(*key, "component", (F.struct(*key) == F.col("lowest")).alias("keeper"), "n")
 

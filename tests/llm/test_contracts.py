@@ -416,6 +416,19 @@ def test_near_duplicates_with_edited_blocks(spark):
     assert kept == {d for i in range(80) for d in ((2 * i,) if tally[i] else (2 * i, 2 * i + 1))}
 
 
+def test_near_duplicates_of_one_fingerprint(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(8):  # a passage so often that it decides the bits of all that contain it
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(61)] * 400
+        a, b = ([f"t{rng.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+        rows += [(3 * g + i, " ".join(passage + tail)) for i, tail in enumerate((a, b, [*b[:-1], "other"]))]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    assert all(prints[k] == prints[k + 1] == prints[k + 2] for k in range(0, 24, 3))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {3 * g + i for g in range(8) for i in (0, 1)}
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_alike_links(spark, block):
     rng = random.Random(block)
