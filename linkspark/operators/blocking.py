@@ -192,18 +192,38 @@ def vector_neighbours(queries: DataFrame, index: DataFrame, k: int = 10) -> Data
     return scored.withColumn("emb_rank", rank).where(F.col("emb_rank") <= k)
 
 
-def approximate_neighbours(queries: DataFrame, index: DataFrame, k: int = 10, probes: int = 3, cells: int = 16, seed: int = 7) -> DataFrame:
+#: Queries on which probes are chosen, and the recall that they must reach.
+MEASURED, RECALL = 1000, 0.9
+
+
+def approximate_neighbours(queries: DataFrame, index: DataFrame, k: int = 10, probes: int | None = None, cells: int = 16, seed: int = 7) -> DataFrame:
     """As ``vector_neighbours`` within the ``probes`` nearest of ``cells`` centres, taken from the index by a hash.
 
-    Centres are a bounded sample; every vector is in the cell of its nearest centre, and a query visits several.
+    Centres are a bounded sample; every vector is in the cell of its nearest centre, and a query visits several. Without
+    ``probes``: the fewest with which about MEASURED queries reach RECALL against all vectors. Of more queries they are
+    picked by a hash, and two standard errors of their recall are taken off.
     """
     centres = index.orderBy(F.xxhash64("id", F.lit(seed))).limit(cells).select(F.col("id").alias("cell"), F.col("vector").alias("c"))
     listed = F.broadcast(centres.agg(F.collect_list(F.struct("cell", "c")).alias("centres")))
 
     def near(df: DataFrame, n: int) -> DataFrame:
         ordered = F.reverse(F.array_sort(F.transform("centres", lambda c: F.struct(dot(F.col("vector"), c["c"]).alias("s"), c["cell"].alias("cell")))))
-        return df.crossJoin(listed).select("id", "country", "vector", F.explode(F.slice(ordered, 1, n)).alias("near")).select("id", "country", "vector", "near.cell")
-
+        return df.crossJoin(listed).select("id", "country", "vector", F.posexplode(F.slice(ordered, 1, n)).alias("place", "near")).select("id", "country", "vector", "place", "near.cell")
+
+    def measured() -> int:
+        """From the place, in a query's order of cells, of the cell that has each true neighbour."""
+        n = queries.count()
+        asked = queries if n <= MEASURED else queries.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * MEASURED / n))
+        exact = vector_neighbours(asked, index, k).select("query_id", "index_id")
+        at = near(index, 1).select(F.col("id").alias("index_id"), "cell")
+        places = near(asked, cells).select(F.col("id").alias("query_id"), "cell", "place")
+        shares = [F.avg((F.col("place") < p).cast("double")) for p in range(1, cells + 1)]
+        by_query = exact.join(at, "index_id").join(places, ["query_id", "cell"]).groupBy("query_id").agg(*[s.alias(f"r{p}") for p, s in enumerate(shares, 1)])
+        stats = by_query.agg(F.count("*").alias("n"), *[f(f"r{p}").alias(f"{t}{p}") for p in range(1, cells + 1) for t, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
+        less = 2 / max(stats["n"], 1) ** 0.5 if n > MEASURED else 0.0
+        return next((p for p in range(1, cells + 1) if stats["n"] and stats[f"mean{p}"] - less * stats[f"sd{p}"] >= RECALL), cells)
+
+    probes = measured() if probes is None else probes
     q, x = near(queries, probes).select(F.col("id").alias("query_id"), "country", "cell", F.col("vector").alias("q")), near(index, 1).select(F.col("id").alias("index_id"), "country", "cell", F.col("vector").alias("x"))
     scored = q.join(x, ["country", "cell"]).select("query_id", "index_id", F.round(dot(F.col("q"), F.col("x")), DIGITS).alias("emb_score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("emb_score"), "index_id"))

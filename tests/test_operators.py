@@ -134,6 +134,18 @@ def test_vector_search(spark):
     assert near == exact
 
 
+def test_approximate_recall(spark, sf, monkeypatch):
+    from linkspark.plans import queries as plans
+
+    q, index = plans._vector_sides(spark, sf)
+    exact = {(r.query_id, r.index_id) for r in bk.vector_neighbours(q, index).collect()}
+    for most in (1000, 200):  # all queries measured, and some
+        monkeypatch.setattr(bk, "MEASURED", most, raising=False)
+        near = {(r.query_id, r.index_id) for r in plans.q_vec_topk_approximate(spark, sf).collect()}
+        assert len(near & exact) >= 0.9 * len(exact)
+    assert bk.approximate_neighbours(q.limit(0), index).count() == bk.approximate_neighbours(q, index.limit(0)).count() == 0
+
+
 def test_loss_report(spark, scored):
     truth = spark.createDataFrame([("a", "S2-1"), ("b", "S2-7"), ("b", "S3-3")], PAIR)
     entities = spark.createDataFrame([("a", "us"), ("b", "us"), ("c", "fr")], "source1_id string, country string")
