@@ -15,7 +15,7 @@ from linkspark.llm.common import fresh, table, written
 from linkspark.llm.mixing import mixed_documents
 from linkspark.llm.packing import pack
 from linkspark.llm.simhash import drop_near_duplicates
-from linkspark.llm.surrogates import with_surrogates
+from linkspark.llm.surrogates import session_key, with_surrogates
 from linkspark.llm.toxicity import drop_toxic, train_toxicity
 
 
@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     columns = {"text": F.col(name)["text"]}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.length(F.col(name)["text"]).cast(docs.schema["n_chars"].dataType)
-    return with_surrogates(docs, name).withColumns(columns).select(*docs.columns)
+    return with_surrogates(docs, name, session_key(spark)).withColumns(columns).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from linkspark.llm.language_id import identify_languages
 from linkspark.llm.packing import pack
 from linkspark.llm.quality_gam import score_quality
 from linkspark.llm.simhash import simhash_components
-from linkspark.llm.surrogates import surrogated
+from linkspark.llm.surrogates import session_key, surrogated
 from linkspark.llm.token_counts import token_counts
 from linkspark.llm.toxicity import score_toxicity
 
@@ -23,7 +23,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogated(table(spark, sf_dir, "documents"))
+    return surrogated(table(spark, sf_dir, "documents"), session_key(spark))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,299 +1,154 @@
 """Surrogates for personal data.
 
 Detected entities are replaced by keyed surrogates of the same type, script and format: e-mail for e-mail, a card number
-with the same check for a card number, a given name of the same gender for a given name. A surrogate is the image of the
-entity's normal form under a keyed permutation of all strings of that format (a Feistel network over mixed radices), so
-that equal entities stay equal however they are written, in all documents, and different ones stay different without any
-table. What a permutation cannot rule out, a surrogate that is itself somebody's real value, is checked over the whole
-corpus: such entities move to the key's next permutation until no surrogate is real and no two are equal.
+with the same check for a card number, a given name of the gender that its title tells for a given name. A surrogate is a
+function of the key and the entity's normal form, so that equal entities stay equal however they are written, in all
+documents. Over the whole corpus it is then checked that no surrogate is somebody's real value and no two are equal: such
+entities move on, to other permutations of their format and then to a wider format or a reserved range (``pii_forms``).
+Data never make it fail: what still clashes after all attempts keeps its last surrogate and is marked ``unmet``.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkspark.llm.common import appended, forget, fresh, small_batches, written
+from linkspark.llm.pii_detect import GIVEN, NAMES, detect
+from linkspark.llm.pii_forms import laid_out, surrogate, tweaked
 
-#: Given names by gender and script; a name maps to another of its list.
-GIVEN = {
-    ("f", "latin"): "anna maria elena laura julia sophie claire marie lucie emma olivia alice sarah jane mary susan linda karen nancy lisa carmen lucia isabel pilar ingrid helga petra sabine monika greta".split(),
-    ("m", "latin"): "john james robert michael david thomas peter paul mark george henry jack daniel martin simon jean pierre luc michel louis jose juan carlos luis pablo hans karl otto fritz stefan".split(),
-    ("f", "cyrillic"): "анна мария елена ольга наталья ирина татьяна светлана юлия екатерина".split(),
-    ("m", "cyrillic"): "иван пётр сергей алексей дмитрий андрей михаил николай владимир павел".split(),
-}
-#: Titles by gender.
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mlle", "г-жа"], "m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "г-н"], "": ["Dr", "Prof"]}
-#: Vowels of the scripts in which names are made pronounceable; the other letters count as consonants.
-VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуыэюя", "greek": "αεηιουω"}
-CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзйклмнпрстфхцчшщ", "greek": "βγδζθκλμνξπρσςτφχψ"}
-DIGITS, LOW, UP, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-
-GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_NAME = r"[^\W\d_a-zß-öø-ÿа-яё][\w'’-]+"
-PATTERNS = [
-    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]{6,})"), "=:"),
-    ("secret", re.compile(r"\b((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})\b"), ("AKIA", "ASIA", "gh", "sk-")),
-    ("email", re.compile(r"(?<![\w.+-])([A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"), "@"),
-    ("iban", re.compile(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"), DIGITS),
-    ("card", re.compile(r"(?<![\d.+-])([3-6](?:[ -]?\d){12,18})(?![\d-])"), DIGITS),
-    ("phone", re.compile(r"(?<![\w+])(\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4})(?!\d)"), "+"),
-    ("phone", re.compile(r"(?<![\w+.-])((?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4})(?![\d-])"), DIGITS),
-    ("ssn", re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])"), "-"),
-    ("ip", re.compile(r"(?<![\w.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d)"), "."),
-    ("name", re.compile(rf"(?<!\w)(?:(?:{'|'.join(map(re.escape, sorted(GENDER, key=len, reverse=True)))})\.?|M\.) +({_NAME}(?: {_NAME}){{0,2}})"), None),
-]
-
-
-def permute(value: int, a: int, b: int, key: bytes) -> int:
-    """A keyed permutation of the whole numbers below a * b: eight Feistel rounds on the two digits to radices a and b."""
-    left, right = divmod(value, b)
-    for r in range(8):
-        x = right if r % 2 == 0 else left
-        h = int.from_bytes(hashlib.blake2b(b"%d:%d" % (r, x), key=key, digest_size=32).digest(), "big")
-        if r % 2 == 0:
-            left = (left + h) % a
-        else:
-            right = (right + h) % b
-    return left * b + right
-
-
-def permuted(text: str, alphabets: list[str], key: bytes) -> str:
-    """The image of ``text`` under a keyed permutation of all texts with these alphabets by position ('': fixed)."""
-    free = [i for i, a in enumerate(alphabets) if len(a) > 1]
-    value, sizes = 0, [len(alphabets[i]) for i in free]
-    for i in free:
-        value = value * len(alphabets[i]) + alphabets[i].index(text[i])
-    half = (len(free) + 1) // 2
-    a = b = 1
-    for s in sizes[:half]:
-        a *= s
-    for s in sizes[half:]:
-        b *= s
-    shape = "|".join(a if len(a) > 1 else c for a, c in zip(alphabets, text, strict=True))
-    value = permute(value, a, b, hashlib.blake2b(shape.encode(), key=key, digest_size=32).digest())
-    out = list(text)
-    for i, s in zip(reversed(free), reversed(sizes), strict=True):
-        value, k = divmod(value, s)
-        out[i] = alphabets[i][k]
-    return "".join(out)
-
-
-def _by_class(text: str, hexadecimal: bool = False) -> list[str]:
-    return [HEX if hexadecimal and c in HEX else DIGITS if c in DIGITS else LOW if c in LOW else UP if c in UP else "" for c in text]
-
-
-def luhn(digits: str) -> int:
-    """The check digit that ``digits`` want."""
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c) * (2 if i % 2 == 0 else 1)
-        total += d - 9 if d > 9 else d
-    return -total % 10
-
-
-def script_of(word: str) -> str:
-    for c in word:
-        if c.isalpha():
-            return "latin" if c < "ɐ" else "greek" if "Ͱ" <= c < "Ѐ" else "cyrillic" if "Ѐ" <= c < "԰" else "other"
-    return "other"
-
-
-@lru_cache(4096)
-def _block(c: str) -> str:
-    """The letters without case of the 128 code points around ``c``."""
-    first = ord(c) & ~127
-    return "".join(x for x in map(chr, range(first, first + 128)) if x.isalpha() and x.lower() == x)
-
-
-def normal(kind: str, found: str) -> str:
-    """What makes two mentions the same entity."""
-    if kind in ("card", "ssn"):
-        return re.sub(r"\D", "", found)
-    if kind == "phone":
-        digits = re.sub(r"\D", "", found)
-        return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
-    if kind == "iban":
-        return found.replace(" ", "")
-    if kind == "secret":
-        return found
-    return found.lower() if len(found.lower()) == len(found) else found
-
-
-def surrogate(kind: str, entity: str, key: bytes) -> str:
-    """The replacement of a normal form, in the same format."""
-    if kind == "card":
-        body = permuted(entity[:-1], ["", *[DIGITS] * (len(entity) - 2)], key)
-        return body + str((luhn(body) + int(entity[-1]) - luhn(entity[:-1])) % 10)
-    if kind == "phone":
-        fixed = {0, 3} if len(entity) == 10 else {0, 1}
-        return permuted(entity, ["" if i in fixed else DIGITS for i in range(len(entity))], key)
-    if kind == "ssn":
-        return permuted(entity, ["", *[DIGITS] * (len(entity) - 1)], key)
-    if kind == "ip":
-        value = int.from_bytes(bytes(map(int, entity.split("."))), "big")
-
-        def public(v: int) -> bool:
-            return 1 <= v >> 24 <= 223 and v >> 24 not in (10, 127) and v >> 16 not in (0xC0A8, 0xA9FE) and not 0xAC10 <= v >> 16 < 0xAC20
-
-        if public(value):  # walk the permutation until it is public again
-            out = permute(value, 1 << 16, 1 << 16, key)
-            while not public(out):
-                out = permute(out, 1 << 16, 1 << 16, key)
-        else:
-            out = (value & ~0xFFFF) | permute(value & 0xFFFF, 256, 256, key)
-        return ".".join(map(str, out.to_bytes(4, "big")))
-    if kind == "email":
-        user, _, host = entity.rpartition("@")
-        name, _, top = host.rpartition(".")
-        return permuted(user + name, _by_class(user + name), key)[: len(user)] + "@" + permuted(user + name, _by_class(user + name), key)[len(user) :] + "." + top
-    if kind == "iban":
-        return permuted(entity, ["", "", *_by_class(entity)[2:]], key)
-    if kind == "name":
-        for names in GIVEN.values():
-            if entity in names:
-                return names[permute(names.index(entity), len(names), 1, key)]
-        script = script_of(entity)
-        last = len(entity) - 1  # the ending often tells the gender: it stays
-        v, c = VOWELS.get(script, ""), CONSONANTS.get(script, "")
-        return permuted(entity, ["" if not x.isalpha() or (i == last and last > 1) else v if x in v else c if x in c else "" if script != "other" else (_block(x) if x in _block(x) else "") for i, x in enumerate(entity)], key)
-    fixed = 4 if entity[:4] in ("AKIA", "ASIA", "ghp_") else 3 if entity[:3] == "sk-" else 0
-    whole_hex = all(x in HEX for x in entity)
-    return permuted(entity, [""] * fixed + _by_class(entity[fixed:], whole_hex), key)
+#: Moved entities that are sent to every worker; beyond, they are joined to the texts that have them, over salts.
+MAX_BROADCAST, SALTS = 200_000, 16
+#: The setting with the key of the registered query and the pipeline.
+KEY_SETTING = "spark.linkspark.surrogates.key"
 
+MENTIONS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("entity", T.StringType())]))
+FOUND = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("kind", T.StringType()),
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
+            T.StructField("surrogate", T.StringType()),
+            T.StructField("unmet", T.BooleanType()),
+        ]
+    )
+)
+REWRITTEN = T.StructType([T.StructField("text", T.StringType()), T.StructField("entities", FOUND)])
+_PA_PAIR = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string())]))
+_PA_FOUND = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string()), ("unmet", pa.bool_())])
+_PA_REWRITTEN = pa.struct([("text", pa.string()), ("entities", pa.list_(_PA_FOUND))])
 
-def laid_out(kind: str, found: str, entity: str) -> str:
-    """A surrogate's normal form, written as the mention is: its separators, country code and capitals."""
-    if kind in ("card", "ssn", "phone", "iban"):
-        out, left = list(found), list(entity)
-        for i in range(len(found) - 1, -1, -1):
-            if left and found[i].isalnum():
-                out[i] = left.pop()
-        return "".join(out)
-    if kind in ("email", "name") and len(found) == len(entity):
-        return "".join(e.upper() if f.isupper() else e for f, e in zip(found, entity, strict=True))
-    return entity.capitalize() if kind == "name" and found[:1].isupper() else entity
+Moves = dict[tuple[str, str], tuple[int, bool]]
 
 
-def detect(text: str | None) -> list[tuple[int, int, str]]:
-    """Start, end and kind of each entity, without overlaps; names word by word, also where they are repeated bare."""
-    taken: list[tuple[int, int, str]] = []
-    if not text:
-        return taken
+def session_key(spark: SparkSession) -> str:
+    """The key that ``KEY_SETTING`` holds; without one a secret is drawn and kept there, so that a session has one key."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
-    def add(start: int, end: int, kind: str) -> None:
-        if all(end <= a or start >= b for a, b, _ in taken):
-            taken.append((start, end, kind))
 
-    has_digit = re.search(r"\d\D{0,2}\d", text) is not None
-    names: set[str] = set()
-    for kind, pattern, hint in PATTERNS:
-        if hint is DIGITS:
-            if not has_digit:
-                continue
-        elif hint and not any(h in text for h in hint):
-            continue
-        for m in pattern.finditer(text):
-            if kind == "name":
-                for w in re.finditer(r"\S+", m.group(1)):
-                    add(m.start(1) + w.start(), m.start(1) + w.end(), kind)
-                    if len(w.group()) > 2:
-                        names.add(w.group())
-            else:
-                add(m.start(1), m.end(1), kind)
-    if names:
-        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names)))})(?!\w)", text):
-            add(m.start(), m.end(), "name")
-    return sorted(taken)
+@lru_cache(100_000)
+def _surrogate(kind: str, entity: str, key: str, attempt: int) -> str:
+    return surrogate(kind, entity, tweaked(key, kind, attempt), attempt)
 
 
 def entities_of(text: str | None) -> list[tuple[str, str]]:
-    return sorted({(kind, normal(kind, text[a:b])) for a, b, kind in detect(text)})
-
+    return sorted({(kind, entity) for _, _, kind, entity in detect(text)})
 
-def tweaked(key: str, kind: str, attempt: int) -> bytes:
-    return hashlib.blake2b(f"{kind}:{attempt}".encode(), key=key.encode()[:64], digest_size=32).digest()
 
-
-MENTIONS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("entity", T.StringType())]))
-FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surrogate", T.StringType())]))
-REWRITTEN = T.StructType([T.StructField("text", T.StringType()), T.StructField("entities", FOUND)])
-_PA_PAIR = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string())]))
-_PA_REWRITTEN = pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())])))])
-
-
-def rewrite(text: str | None, key: str, attempts: dict[tuple[str, str], int]) -> dict:
+def rewrite(text: str | None, key: str, moves: Moves) -> dict:
     """The text with its entities replaced, and where (in the text as it was) by what."""
     out, at, found = [], 0, []
-    for a, b, kind in detect(text):
-        entity = normal(kind, text[a:b])
-        new = laid_out(kind, text[a:b], surrogate(kind, entity, tweaked(key, kind, attempts.get((kind, entity), 0))))
+    for a, b, kind, entity in detect(text):
+        attempt, unmet = moves.get((kind, entity), (0, False))
+        new = laid_out(kind, text[a:b], _surrogate(kind, entity, key, attempt))
         out += [text[at:a], new]
         at = b
-        found.append({"kind": kind, "start": a, "end": b, "surrogate": new})
+        found.append({"kind": kind, "start": a, "end": b, "surrogate": new, "unmet": unmet})
     return {"text": None if text is None else "".join(out) + text[at:], "entities": found}
 
 
+def _class(kind: Column) -> Column:
+    """Kinds that a reader cannot tell apart must differ from each other too."""
+    return F.when(kind.isin(*NAMES), F.lit("name")).otherwise(kind)
+
+
 def moved_entities(entities: DataFrame, key: str, rounds: int = 24) -> DataFrame:
-    """kind, entity, attempt of those distinct ``entities`` (kind, entity) whose first surrogate is real or taken."""
+    """kind, entity, attempt, unmet of those distinct ``entities`` (kind, entity) whose first surrogate is real or taken.
+
+    Dates, and listed names within their list, are permuted among real values and need only be distinct.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, own, attempts = (batch.column(c).to_pylist() for c in ("kind", "entity", "attempt"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(k, e, tweaked(key, k, n)) for k, e, n in zip(kinds, own, attempts, strict=True)], pa.string())], ["kind", "entity", "attempt", "surrogate"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "entity", "attempt")), strict=True)
+            new = pa.array([surrogate(k, e, tweaked(key, k, n), n) for k, e, n in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], ["kind", "entity", "attempt", "surrogate"])
 
     shape = "kind string, entity string, attempt int, surrogate string"
     now = written(entities.select("kind", "entity", F.lit(0).alias("attempt")).mapInArrow(made, shape), "surrogates")
-    real = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-    # names of a closed list are permuted within it: there a surrogate may well be a real name, of someone else
-    lists = sorted({n for names in GIVEN.values() for n in names})
-    for _ in range(rounds):
-        first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity")
-        checked = now.join(real, ["kind", "surrogate"], "left").withColumn("nth", F.row_number().over(first))
-        bad = (F.col("nth") > 1) | (F.col("real").isNotNull() & ~((F.col("kind") == "name") & F.col("entity").isin(lists) & (F.col("entity") != F.col("surrogate"))))
+    real = entities.select(_class(F.col("kind")).alias("class"), F.col("entity").alias("surrogate")).distinct().withColumn("real", F.lit(True))
+    listed = F.lit(False)
+    for (gender, _), names in GIVEN.items():
+        listed = listed | ((F.col("kind") == f"given_{gender}") & F.col("entity").isin(names))
+    among_real = (F.col("kind") == "birth_date") | (listed & (F.col("attempt") == 0) & (F.col("entity") != F.col("surrogate")))
+    first = Window.partitionBy("class", "surrogate").orderBy("attempt", F.desc(among_real), "kind", "entity")
+    for attempt in range(rounds + 1):
+        checked = now.withColumn("class", _class(F.col("kind"))).join(real, ["class", "surrogate"], "left")
+        bad = (F.row_number().over(first) > 1) | (F.col("real").isNotNull() & ~among_real)
         marked = written(checked.select("kind", "entity", "attempt", "surrogate", bad.alias("bad")), "checked")
-        if marked.where("bad").isEmpty():
-            return marked.where("attempt > 0").select("kind", "entity", "attempt")
-        moved = marked.where("bad").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInArrow(made, shape)
-        after = written(marked.where("NOT bad").select("kind", "entity", "attempt", "surrogate").unionByName(moved), "surrogates")
         forget(now)
+        if attempt == rounds or marked.where("bad").isEmpty():
+            break
+        moved = marked.where("bad").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInArrow(made, shape)
+        now = written(marked.where("NOT bad").select("kind", "entity", "attempt", "surrogate").unionByName(moved), "surrogates")
         forget(marked)
-        now = after
-    raise RuntimeError(f"surrogates still meet real values after {rounds} permutations: their format is all but used up")
+    return marked.where("attempt > 0 OR bad").select("kind", "entity", "attempt", F.col("bad").alias("unmet"))
 
 
-def with_surrogates(docs: DataFrame, name: str, key: str = "linkspark") -> DataFrame:
-    """``docs`` with a struct column ``name``: the rewritten text, and entities (kind, start, end, surrogate).
+def with_surrogates(docs: DataFrame, name: str, key: str) -> DataFrame:
+    """``docs`` with a struct column ``name``: the rewritten text, and entities (kind, start, end, surrogate, unmet).
 
-    A null text stays null and has no entities. Texts without any stay as they are. Null ids and repeated rows do not
-    matter; no rows: no rows.
+    ``key`` is the caller's secret: who has it can tell which entity a surrogate stands for. A null text stays null and has
+    no entities; texts without any, empty ones among them, stay as they are. Long texts take time and memory in proportion.
+    Equal texts, repeated rows and null ids do not matter: each row is rewritten by itself. Of two entities with one
+    surrogate, the later by (attempt, kind, entity) moves. Other columns are kept, whatever their names. No rows: no rows.
     """
     small_batches(docs.sparkSession)
-    mention, k, o = fresh(docs, "mentions"), fresh(docs, "text_key"), fresh(docs, "overrides")
-    found = appended(docs.select("text"), "mentions", MENTIONS, lambda texts: pa.array([[{"kind": a, "entity": b} for a, b in entities_of(t)] for t in texts], _PA_PAIR))
-    mentions = written(found.where(F.size("mentions") > 0).select(F.xxhash64("text").alias(k), F.explode("mentions").alias(mention)).select(k, f"{mention}.*").distinct(), "mentions")
-    moved = moved_entities(mentions.select("kind", "entity").distinct(), key)
-    if moved.isEmpty():
-        return appended(docs, name, REWRITTEN, lambda texts: pa.array([rewrite(t, key, {}) for t in texts], _PA_REWRITTEN))
-    # each text with such entities, by its hash, gets what they moved to
-    own = mentions.join(moved, ["kind", "entity"]).groupBy(k).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(o))
-    pair = fresh(docs, "pair")
-    joined = docs.withColumn(k, F.xxhash64("text")).join(own, k, "left").withColumn(pair, F.struct("text", o)).drop(k, o)
+    k = fresh(docs, "text_key")
+    pairs = lambda texts: pa.array([[{"kind": a, "entity": b} for a, b in entities_of(t)] for t in texts], _PA_PAIR)
+    found = appended(docs.select("text"), "mentions", MENTIONS, pairs).where(F.size("mentions") > 0)
+    mentions = written(found.select(F.xxhash64("text").alias(k), F.explode("mentions").alias("m")).select(k, "m.*").distinct(), "mentions")
+    moved = written(moved_entities(mentions.select("kind", "entity").distinct(), key), "moved")
+    if moved.count() <= MAX_BROADCAST:
+        moves = {(r.kind, r.entity): (r.attempt, r.unmet) for r in moved.collect()}
+        shared = docs.sparkSession.sparkContext.broadcast(moves)
+        return appended(docs, name, REWRITTEN, lambda texts: pa.array([rewrite(t, key, shared.value) for t in texts], _PA_REWRITTEN))
+    # each text with moved entities, by its hash, gets what they moved to; a text may be in many rows
+    o, s, pair = fresh(docs, "overrides"), fresh(docs, "salt"), fresh(docs, "pair")
+    own = mentions.join(moved, ["kind", "entity"]).groupBy(k).agg(F.collect_list(F.struct("kind", "entity", "attempt", "unmet")).alias(o))
+    own = own.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = docs.withColumns({k: F.xxhash64("text"), s: F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
+    joined = keyed.join(own, [k, s], "left").withColumn(pair, F.struct(F.col("text").alias("text"), F.col(o).alias("own"))).drop(k, s, o)
 
     def both(values: list) -> pa.Array:
-        return pa.array([rewrite(v["text"], key, {(x["kind"], x["entity"]): x["attempt"] for x in v[o] or ()}) for v in values], _PA_REWRITTEN)
+        moves = ({(x["kind"], x["entity"]): (x["attempt"], x["unmet"]) for x in v["own"] or ()} for v in values)
+        return pa.array([rewrite(v["text"], key, m) for v, m in zip(values, moves, strict=True)], _PA_REWRITTEN)
 
     return appended(joined, name, REWRITTEN, both, pair).drop(pair)
 
 
-def surrogated(docs: DataFrame, key: str = "linkspark") -> DataFrame:
+def surrogated(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (rewritten), n_entities, entities of each row of ``docs``; see ``with_surrogates``."""
     out = with_surrogates(docs.select("doc_id", "text"), "new", key)
     return out.select("doc_id", "new.text", F.size("new.entities").cast("long").alias("n_entities"), "new.entities")
