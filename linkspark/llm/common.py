@@ -62,12 +62,24 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def hash_limit(n: int, bound: int) -> int:
+    """The signed 64-bit number that about ``bound`` of ``n`` uniform 64-bit hashes do not exceed."""
+    return -(1 << 63) + min((1 << 64) - 1, (bound << 64) // max(n, 1))
+
+
 def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, drawn by a hash of ``key``: the same rows in every run."""
+    """The ``bound`` rows of ``df`` with the least 64-bit hashes of ``key``, all of them if there are no more.
+
+    Which rows these are depends on the rows alone, not on how they are dealt: ties go by all columns. A limit on the hash
+    leaves about twice as many to be ordered, however many there are; where a key that repeats leaves fewer, the sample is
+    smaller.
+    """
     n = df.count()
     if n <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * bound / n)).limit(bound)
+    h = fresh(df, "sample_hash")
+    near = df.withColumn(h, F.xxhash64(key, F.lit("sample"))).where(F.col(h) <= hash_limit(n, 2 * bound + 100))
+    return near.orderBy(h, *[c for c in df.columns if c != h]).limit(bound).drop(h)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -89,7 +101,12 @@ def appended(docs: DataFrame, name: str, kind: T.DataType, compute: Callable[[li
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
-def training_ids(labels: DataFrame, label: str, held_out: Column, bound: int) -> DataFrame:
-    """At most ``bound`` rows (doc_id, label) that are not held out. A doc_id with several labels has the largest."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, bound: int) -> DataFrame:
+    """text, label of at most ``bound`` documents that are not held out, drawn by a hash of the id.
+
+    A doc_id counts once: with its largest label, and its least text where rows repeat it.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
-    return bounded_sample(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), F.col("doc_id"), bound)
+    ids = bounded_sample(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), F.col("doc_id"), bound)
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")

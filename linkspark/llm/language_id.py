@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkspark.llm.common import appended, fold, small_batches
+from linkspark.llm.common import appended, fold, hash_limit, small_batches
 
 #: First and last code point of scripts.
 SCRIPTS = [
@@ -33,6 +33,8 @@ SCRIPTS = [
 ]
 NAMES = ["other", *dict.fromkeys(s[0] for s in SCRIPTS)]
 BUCKETS = 1 << 16
+#: Characters whose words are made and scored at once.
+SLICE = 1 << 20
 #: A language has a script if so large a share of its letters is in it.
 SHARE = 0.01
 NEVER = -1e4
@@ -101,6 +103,40 @@ def words_of(texts: list[str | None]) -> Words:
     return Words(at, start, end, doc, has, script[cp[start]] if len(start) else np.zeros(0, np.uint8), letters, pairs, triples, first, base)
 
 
+def sliced(texts: list[str | None], size: int | None = None) -> Iterator[tuple[np.ndarray, Words]]:
+    """The words of ``texts`` by slices of about SLICE characters, with the number of the text of each slice's parts.
+
+    A long text is cut before a character that is neither letter nor mark; a word is never cut. Places are in the whole text.
+    """
+    size = size or SLICE
+    doc: list[int] = []
+    parts: list[tuple[str, int]] = []
+    room = size
+
+    def words() -> tuple[np.ndarray, Words]:
+        w = words_of([p for p, _ in parts])
+        w.base = w.base - np.array([at for _, at in parts], np.int64)
+        return np.array(doc, np.int64), w
+
+    for i, text in enumerate(texts):
+        at, text = 0, text or ""
+        while True:
+            end = at + room
+            if end < len(text):
+                end = next((k for k in range(end, len(text)) if unicodedata.category(text[k])[0] not in "LM"), len(text))
+            doc.append(i)
+            parts.append((text[at:end], at))
+            room -= len(text[at:end])
+            at = end
+            if room <= 0:
+                yield words()
+                doc, parts, room = [], [], size
+            if at >= len(text):
+                break
+    if parts:
+        yield words()
+
+
 @dataclass
 class Languages:
     names: list[str] = field(default_factory=list)
@@ -110,16 +146,19 @@ class Languages:
 
     def word_scores(self, w: Words) -> np.ndarray:
         if not len(w.start):
-            return np.zeros((0, len(self.names)))
-        sums = np.add.reduceat(self.table[w.pairs] + self.table[w.triples], w.first, axis=0, dtype=np.float32).astype(np.float64)
-        return np.where(self.allowed[w.script], sums, NEVER)
+            return np.zeros((0, len(self.names)), np.float32)
+        sums = np.zeros((len(w.start), len(self.names)), np.float32)
+        for j in range(len(self.names)):  # a language at a time: letters by languages would be a large array
+            own = self.table[:, j]
+            sums[:, j] = np.add.reduceat(own[w.pairs] + own[w.triples], w.first, dtype=np.float32)
+        return np.where(self.allowed[w.script], sums, np.float32(NEVER))
 
     def paths(self, scores: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
         """The language of each word: the best path of each document under the switching penalty."""
         out = np.zeros(len(scores), np.int64)
         hard = []
         for a, b in bounds:
-            s = scores[a:b]
+            s = scores[a:b].astype(np.float64)
             one = int(np.argmax(s.sum(0)))
             out[a:b] = one
             if s.shape[1] > 1:
@@ -136,33 +175,39 @@ class Languages:
         """bounds by falling length, so that those still under way are a prefix."""
         a = np.array([x[0] for x in bounds])
         n = np.array([x[1] - x[0] for x in bounds])
-        best = scores[a].copy()
-        back: list[np.ndarray] = []
+        best = scores[a].astype(np.float64)
+        back: list[tuple[np.ndarray, np.ndarray]] = []  # of each word: the best language, and which others come from it
         live = [int(np.searchsorted(-n, -t, side="left")) for t in range(int(n[0]) + 1)]  # documents longer than t words
-        own = np.arange(scores.shape[1], dtype=np.int16)
         for t in range(1, int(n[0])):
             k = live[t]
             now = best[:k]
             top = now.argmax(1)
             other = now[np.arange(k), top] - self.penalty
             switch = other[:, None] > now
-            back.append(np.where(switch, top[:, None], own).astype(np.int16))
+            back.append((top.astype(np.int16), np.packbits(switch, axis=1)))
             best[:k] = np.where(switch, other[:, None], now) + scores[a[:k] + t]
         state = best.argmax(1)
         out[a + n - 1] = state
         for t in range(int(n[0]) - 1, 0, -1):
             k = live[t]
-            state[:k] = back[t - 1][np.arange(k), state[:k]]
+            top, switch = back[t - 1]
+            moved = switch[np.arange(k), state[:k] >> 3] >> (7 - (state[:k] & 7)) & 1
+            state[:k] = np.where(moved, top, state[:k])
             out[a[:k] + t - 1] = state[:k]
 
     def identify(self, texts: list[str | None]) -> list[dict]:
-        w = words_of(texts)
-        keep = w.has_letter
+        """Language, score and spans of each text. A text takes, for each word, a number per language and a few more."""
         result = [UNKNOWN] * len(texts)
-        if not self.names or not keep.any():
+        if not self.names:
+            return result
+        own = []
+        for part, w in sliced(texts):
+            k = w.has_letter
+            base = w.base[w.doc[k]]
+            own.append((self.word_scores(w)[k], w.start[k] - base, w.end[k] - base, part[w.doc[k]], w.letters[k]))
+        scores, start, end, doc, letters = (np.concatenate(x) for x in zip(*own, strict=True)) if own else [np.zeros(0)] * 5
+        if not len(scores):
             return result
-        scores = self.word_scores(w)[keep]
-        start, end, doc, letters = w.start[keep], w.end[keep], w.doc[keep], w.letters[keep]
         edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
         bounds = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         path = self.paths(scores, bounds)
@@ -171,14 +216,15 @@ class Languages:
             sums = np.bincount(own, letters[a:b], len(self.names))
             lang = int(np.argmax(sums))
             cut = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [b - a]])
-            spans = [{"start": int(start[a + x] - w.base[i]), "end": int(end[a + y - 1] - w.base[i]), "lang": self.names[own[x]]} for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            spans = [{"start": int(start[a + x]), "end": int(end[a + y - 1]), "lang": self.names[own[x]]} for x, y in zip(cut[:-1], cut[1:], strict=True)]
             result[i] = {"lang_pred": self.names[lang], "score": float(sums[lang] / sums.sum()), "spans": spans}
         return result
 
 
 def train_languages(docs: DataFrame, folds: int = 4, out_fold: int = 2, per_language: int = 4000, penalty: float = 12.0) -> Languages:
     """Learn from text and lang of the documents whose id's fold is not ``out_fold``: about ``per_language`` of each
-    language at most, drawn by a hash of the text. Rows without a lang or a text teach nothing."""
+    language at most, drawn by a hash of the text, so that the same rows give the same model however they are dealt. Rows
+    without a lang or a text teach nothing. The model has BUCKETS numbers for each distinct lang."""
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != out_fold))
@@ -186,26 +232,24 @@ def train_languages(docs: DataFrame, folds: int = 4, out_fold: int = 2, per_lang
     names = sorted(sizes)
     if not names:
         return Languages()
-    limit = F.coalesce(*[F.when(F.col("lang") == n, int(1_000_000 * min(1.0, per_language / sizes[n]))) for n in names])
-    sample = known.where(F.pmod(F.xxhash64("text", F.lit("lang")), F.lit(1_000_000)) < limit).select("lang", "text")
+    limits = spark.createDataFrame([(n, hash_limit(sizes[n], per_language)) for n in names], "lang string, upto long")
+    sample = known.join(F.broadcast(limits), "lang").where(F.xxhash64("text", F.lit("lang")) <= F.col("upto")).select("lang", "text")
     index = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = np.zeros((len(names), BUCKETS), np.int64)
-        scripts = np.zeros((len(names), len(NAMES)), np.int64)
         for batch in batches:
             which = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
-            w = words_of(batch.column("text").to_pylist())
-            if not len(w.start):
-                continue
-            of_word = np.repeat(np.arange(len(w.start)), np.diff(np.append(w.first, len(w.at))))
-            lang = which[w.doc[of_word]]
-            for g in (w.pairs, w.triples):
-                grams += np.bincount(lang * BUCKETS + g, minlength=grams.size).reshape(grams.shape)
-            scripts += np.bincount(which[w.doc] * len(NAMES) + w.script, w.letters, scripts.size).astype(np.int64).reshape(scripts.shape)
-        for kind, m in (("gram", grams), ("script", scripts)):
-            i, j = np.nonzero(m)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(i), pa.string()), "lang": pa.array(i, pa.int32()), "cell": pa.array(j, pa.int32()), "n": pa.array(m[i, j], pa.int64())})
+            for doc, w in sliced(batch.column("text").to_pylist()):
+                if not len(w.start):
+                    continue
+                of_word = np.repeat(np.arange(len(w.start)), np.diff(np.append(w.first, len(w.at))))
+                lang = which[doc[w.doc]]
+                grams = np.concatenate([lang[of_word] * BUCKETS + g for g in (w.pairs, w.triples)])
+                scripts = np.repeat(lang * len(NAMES) + w.script, w.letters)
+                for kind, cells, width in (("gram", grams, BUCKETS), ("script", scripts, len(NAMES))):
+                    cell, n = np.unique(cells, return_counts=True)
+                    columns = [pa.array([kind] * len(cell), pa.string()), pa.array(cell // width, pa.int32()), pa.array(cell % width, pa.int32()), pa.array(n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["kind", "lang", "cell", "n"])
 
     counts = sample.mapInArrow(count, "kind string, lang int, cell int, n long").groupBy("kind", "lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     grams, scripts = np.zeros((BUCKETS, len(names))), np.zeros((len(NAMES), len(names)))
@@ -231,7 +275,9 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score (share of the letters in that language), spans of each row of ``docs``.
 
     A null, empty or letterless text is ``und`` with score 0, and so is any text if nothing could be learned. A null id's
-    fold is that of the empty text. Repeated rows each give a row. Other columns are ignored. An empty table: no rows.
+    fold is that of the empty text. Repeated rows each give a row. Of equally good languages the first by name is taken.
+    Long texts are read whole, SLICE characters at a time; what remains of them is a few numbers and one per language for
+    each word. Other columns are ignored. An empty table: no rows.
     """
     out = identified(docs.select("doc_id", "text"), train_languages(docs), "found")
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "found.*")

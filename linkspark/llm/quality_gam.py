@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkspark.llm.common import appended, fold, small_batches, training_ids
+from linkspark.llm.common import appended, fold, small_batches, training_rows
 
 FEATURES = (
     "log_words", "word_length", "distinct_words", "distinct_trigrams", "top_word", "symbols_per_word", "upper_share", "exclamations_per_word", "digit_share",
@@ -171,14 +171,17 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, out_fold: int = 0, max_documents: int = 20_000) -> Additive:
-    """Fit on labelled documents whose id's fold is not ``out_fold``: at most ``max_documents``, drawn by hash.
+    """Fit on labelled documents whose id's fold is not ``out_fold``: at most ``max_documents``, drawn by hash, an id once.
 
-    Without any the score is 0.5; with labels of one kind alone it is near that label.
+    The same rows give the same model, however they are dealt; of each only its statistics reach the driver. Without any the score is 0.5; with labels of one kind alone it is near that label.
     """
     small_batches(docs.sparkSession)
-    ids = training_ids(labels, "quality", fold(F.col("doc_id"), folds) == out_fold, max_documents)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label").mapInArrow(_sampled, "label int, x array<double>").orderBy("label", "x").collect()
-    return fit_additive(np.array([r[1] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[0] > 0 for r in rows], float))
+    sample = training_rows(docs, labels, "quality", fold(F.col("doc_id"), folds) == out_fold, max_documents)
+    rows = sample.mapInArrow(_sampled, "label int, x array<double>").toArrow()
+    x = np.array(rows["x"].combine_chunks().flatten(), float).reshape(-1, len(FEATURES))
+    y = np.array(rows["label"].to_numpy() > 0, float)
+    order = np.lexsort((*x.T[::-1], y))  # sums of floats depend on the order of rows
+    return fit_additive(x[order], y[order])
 
 
 def scored(docs: DataFrame, model: Additive, name: str) -> DataFrame:
@@ -192,7 +195,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     """doc_id, held_out, score, predicted (score >= ``threshold``) of each row of ``docs``.
 
     Null and empty texts have zeros for features and are scored as such. A null id's fold is that of the empty text.
-    Repeated rows each give a row. Other columns are ignored. An empty table gives no rows.
+    Repeated rows each give a row; ties cannot matter, as each row is scored by itself. Long texts are measured whole, in
+    time and memory in proportion. Other columns are ignored. An empty table gives no rows.
     """
     out = scored(docs.select("doc_id", "text"), train_quality(docs, labels), "score")
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, hot: int = 2
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    picked = bounded_sample(docs.select("text"), F.col("text"), sample).mapInArrow(_sampled(tokenizer), "pretoken string, n long")
+    picked = bounded_sample(docs, F.struct("doc_id", "text"), sample).select("text").mapInArrow(_sampled(tokenizer), "pretoken string, n long")
     top = [r[0] for r in picked.groupBy("pretoken").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "pretoken").limit(hot).select("pretoken").toLocalIterator()]
     known = spark.sparkContext.broadcast(dict(zip(top, splitter(tokenizer).pieces(top), strict=True)))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkspark.llm.common import appended, fold, small_batches, training_ids
+from linkspark.llm.common import appended, fold, forget, small_batches, training_rows, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[^.!?\n]+")
@@ -117,16 +117,17 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, out_fold: int = 0, max_documents: int = 12_000, max_features: int = 20_000, least_documents: int = 5, least_z: float = 3.5) -> NoisyOr:
-    """Fit on labelled documents whose id's fold is not ``out_fold``: at most ``max_documents``, drawn by hash.
+    """Fit on labelled documents whose id's fold is not ``out_fold``: at most ``max_documents``, drawn by hash, an id once.
 
-    Features are in ``least_documents`` of them at least and have a log odds ratio of ``least_z`` standard errors at
+    The same rows give the same model, however they are dealt. A document brings its marked sentences to the driver, so a
+    sampled text takes memory there in proportion to how many sentences hold a feature. Features are in ``least_documents`` of them at least and have a log odds ratio of ``least_z`` standard errors at
     least; the ``max_features`` clearest are kept. Without labelled documents of both kinds no text is toxic.
     """
     small_batches(docs.sparkSession)
-    ids = training_ids(labels, "toxic", fold(F.col("doc_id"), folds) == out_fold, max_documents)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label")
+    sample = written(training_rows(docs, labels, "toxic", fold(F.col("doc_id"), folds) == out_fold, max_documents), "training")
     sums = sample.agg(F.sum((F.col("label") > 0).cast("int")).alias("pos"), F.count("*").alias("n")).first()
     if not sums["n"] or not sums["pos"] or sums["pos"] == sums["n"]:
+        forget(sample)
         return NoisyOr()
     pos, neg = float(sums["pos"]), float(sums["n"] - sums["pos"])
     counts = sample.mapInArrow(_document_counts, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
@@ -142,11 +143,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, out_fold:
             for text in batch.column("text").to_pylist():
                 found = sentences(text or "")
                 n.append(max(1, len(found)))
-                own.append([ids for _, _, words in found if (ids := [index[f] for w in words for f in features(w) if f in index])])
+                own.append([ids for _, _, words in found if (ids := sorted(index[f] for w in words for f in features(w) if f in index))])
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(n, pa.int32()), pa.array(own, pa.list_(pa.list_(pa.int32())))], ["label", "n", "own"])
 
     rows = sample.mapInArrow(bags, "label int, n int, own array<array<int>>").toLocalIterator()
-    bias, weights = fit_noisy_or([(int(r[0] > 0), r[1], r[2]) for r in rows], len(names))
+    bias, weights = fit_noisy_or(sorted((int(r[0] > 0), r[1], r[2]) for r in rows), len(names))  # sums of floats depend on the order
+    forget(sample)
     return NoisyOr(bias, {f: float(w) for f, w in zip(names, weights, strict=True) if w})
 
 
@@ -161,7 +163,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences, spans of each row of ``docs``.
 
     Null and empty texts are scored like one plain sentence. Null ids are held out or not as the empty text is (its
-    crc32 is 0: held out). Repeated rows each give a row. Other columns are ignored. An empty table gives no rows.
+    crc32 is 0: held out). Repeated rows each give a row; ties cannot matter, as each row is scored by itself. Long texts
+    are scored whole, in time and memory in proportion. Other columns are ignored. An empty table gives no rows.
     """
     model = train_toxicity(docs, labels)
     return judged(docs.select("doc_id", "text"), model, "verdict").select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "verdict.*")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from linkspark.llm import ball_tree, language_id, mixing, packing, pii_detect, pii_forms, quality_gam, quality_rules, simhash, surrogates, token_counts, toxicity
+from linkspark.llm.common import bounded_sample, hash_limit, training_rows
 from linkspark.llm.components import components
 from linkspark.llm.queries import QUERIES, SQL
 
@@ -337,6 +338,41 @@ def test_languages(written_docs):
     assert [o["lang_pred"] for o in out[1:]] == ["und"] * 3
 
 
+def test_slices_change_nothing(written_docs, monkeypatch):
+    """Long texts by parts, as if they were read at once; places are those of the whole text."""
+    model = language_id.train_languages(written_docs[0])
+    texts = ["the river with the hill " * 200 + "der fluss über dem hügel und " * 300, None, "", "x" * 500 + " the " + "é" * 400, "ein hügel", "日本 " * 200]
+    whole = model.identify(texts)
+    w = language_id.words_of(texts)
+    for size in (1, 7, 100, 4096):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        assert model.identify(texts) == whole
+        assert sum(len(x.start) for _, x in language_id.sliced(texts)) == len(w.start)
+
+
+def test_samples_depend_on_rows_alone(spark, written_docs):
+    df = spark.range(40_000).selectExpr("id", "id % 7 AS other", "'x' AS sample_hash")
+    some = [sorted(map(tuple, bounded_sample(df.repartition(n), F.col("id"), 4000).collect())) for n in (1, 7, 40)]
+    assert len(some[0]) == 4000 and some[0] == some[1] == some[2]
+    h = {r[0]: r[1] for r in df.select("id", F.xxhash64("id", F.lit("sample"))).collect()}
+    assert [r[0] for r in some[0]] == sorted(sorted(h, key=h.get)[:4000])
+    for n in (10**11, 10**12):
+        assert 0 < (hash_limit(n, 4000) + 2**63) * n / 2**64 <= 4000 < (hash_limit(n, 4000) + 2**63 + 2) * n / 2**64 + 1
+    assert hash_limit(10, 4000) == 2**63 - 1
+    docs, labels = written_docs
+    again = docs.unionByName(docs.where("doc_id < 50")).unionByName(docs.where("doc_id = 3").withColumn("text", F.lit("another text")))
+    scores = []
+    for n in (1, 6):
+        d, y = again.repartition(n), labels.repartition(n)
+        model = toxicity.train_toxicity(d, y, max_documents=300)
+        quality = quality_gam.train_quality(d, y, max_documents=300)
+        languages = language_id.train_languages(d, per_language=100)
+        scores.append((model.bias, model.weights, [t.tolist() for t in quality.tables], languages.table.tolist()))
+    assert scores[0] == scores[1]
+    rows = training_rows(again, labels, "toxic", F.lit(False), 10**6)
+    assert rows.count() == 900
+
+
 def test_models_on_odd_tables(docs, empty, labels):
     n = docs.count()
     for run in (lambda d: toxicity.score_toxicity(d, labels), lambda d: quality_gam.score_quality(d, labels), language_id.identify_languages):
