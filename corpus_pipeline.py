@@ -11,10 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import fresh, table, written
+from linkspark.llm.common import forget, fresh, table, written
 from linkspark.llm.mixing import mixed_documents
 from linkspark.llm.packing import pack
-from linkspark.llm.simhash import drop_near_duplicates
+from linkspark.llm.near_duplicates import drop_near_duplicates
 from linkspark.llm.surrogates import session_key, with_surrogates
 from linkspark.llm.toxicity import drop_toxic, train_toxicity
 
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(before)  # nothing reads it any more; the input itself is not a written table
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -101,6 +101,28 @@ def appended(docs: DataFrame, name: str, kind: T.DataType, compute: Callable[[li
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
+#: A key with over one in HOT of the rows, and more than LEAST of them, is hot: there are fewer than HOT such keys, and the
+#: rows of each are dealt over SALTS tasks.
+HOT, LEAST, SALTS = 2000, 1000, 64
+
+
+def salted_join(rows: DataFrame, other: DataFrame, key: str, counts: DataFrame, how: str = "inner", salt: Column | None = None) -> DataFrame:
+    """``rows`` joined with ``other``, which has a row per ``key`` at most, without all rows of a hot key in one task.
+
+    ``counts`` (``key``, n): how many rows each key has. ``salt``: any number that differs among the rows of a key; by
+    default a hash of the row.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(total // HOT, LEAST)).select(key, F.lit(True).alias("hot"))
+    if hot.isEmpty():
+        return rows.join(other, key, how)
+    hot, part = F.broadcast(hot), F.pmod(F.xxhash64(*rows.columns) if salt is None else salt, F.lit(SALTS)).cast("int")
+    many = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = other.join(hot, key, "left").withColumn("salt", F.explode(many)).drop("hot")
+    dealt = rows.withColumn("salt", part).join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(F.lit(0))).drop("hot")
+    return dealt.join(copied, [key, "salt"], how).drop("salt")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, bound: int) -> DataFrame:
     """text, label of at most ``bound`` documents that are not held out, drawn by a hash of the id.
 

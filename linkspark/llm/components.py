@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import forget, written
+from linkspark.llm.common import forget, salted_join, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -15,8 +15,9 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long, not null): root is the smallest node of its component.
 
-    Each round is two grouped minima and joins back, so no component meets in one task; a round's edges are a written
-    table, and the previous one's is deleted. Self-loops and repeated edges do not matter. No edges: no rows.
+    Each round is two grouped minima and joins back. The neighbours of a hub, which the root of a large component becomes,
+    are dealt over many tasks, so that no component meets in one. A round's edges are a written table, and the previous
+    one's is deleted. Self-loops and repeated edges do not matter. No edges: no rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(pairs, "edges")
@@ -25,12 +26,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        after = written(small.where("a <> b").distinct(), "edges")
-        forget(now)
+        lowest = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lowest")
+        large = salted_join(both, lowest.select("a", F.least("a", "m").alias("m")), "a", lowest).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large, "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = salted_join(large, low.select("a", "m"), "a", low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = written(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        for done in (now, lowest, large, low):
+            forget(done)
         now, mark = after, _mark(after)
         if mark == before:
             break

@@ -2,8 +2,8 @@
 
 Bits that correlate are put into the same part of the fingerprint. If part i gets the threshold t_i and the t_i + 1 add up
 to radius + 1, then two fingerprints within the radius are within t_i of each other in some part i. Thresholds are
-unequal: dynamic programming takes those with the lowest cost, from exact counts of how many pairs agree to within t in
-each part, taken over all fingerprints. Each fingerprint resides under its value of every used part and visits all values
+unequal: dynamic programming takes those with the lowest cost, from counts of how many pairs agree to within t in each
+part: of parts of up to COUNTED bits taken over all fingerprints, of wider ones estimated. Each fingerprint resides under its value of every used part and visits all values
 within t_i; visitors and residents of a value are compared in full, in blocks of bounded size.
 
 Equal fingerprints are one node from the start. What a value's group emits is a spanning forest of its links, never all
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkspark.llm.common import appended, bounded_sample, fresh, small_batches, written
+from linkspark.llm.common import appended, bounded_sample, salted_join, small_batches, written
 from linkspark.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -33,10 +33,8 @@ SEED = 42
 CHUNK, BLOCK = 65_536, 4096
 #: What a probe row costs, in comparisons of two fingerprints.
 PROBE = 300
-#: 32-bit hashes in a document's sketch.
-SKETCH = 256
-#: Documents from which common shingles are picked, the fewest of them with a common one, and how many are kept.
-PICK, OFTEN, COMMON = 4000, 3, 100_000
+#: Bits of a part whose values are counted one by one; of a wider one the counts are estimated from so many fingerprints.
+COUNTED, ESTIMATED = 22, 16_384
 
 
 def shingles(text: str | None, words: int) -> Iterator[bytes]:
@@ -46,60 +44,25 @@ def shingles(text: str | None, words: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False))
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Signed 64-bit SimHash: a bit is 1 if set in over half of the shingles' XXH64. No word: 0."""
-    stream, total, n = shingles(text, words), np.zeros(64, np.int64), 0
+def hashed(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, repeats included, some at a time."""
+    stream = shingles(text, words)
     while len(h := np.array([xxhash.xxh64_intdigest(s, SEED) for s in islice(stream, CHUNK)], np.uint64)):
+        yield h
+
+
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """Signed 64 bits: each is 1 if set in over half of the hashes. No hash: 0."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in parts:
         total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * total > n).view(">i8")[0]) if n else 0
 
 
-def sketch_hashes(text: str | None, words: int) -> np.ndarray:
-    """The SKETCH smallest 64-bit hashes of the shingles that differ in their upper halves, in order."""
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)), np.uint64))
-    upper = h >> np.uint64(32)
-    return h[np.append(True, upper[1:] != upper[:-1])[: len(h)]][:SKETCH]
-
-
-def upper_halves(hashes: np.ndarray) -> bytes:
-    return (hashes >> np.uint64(32)).astype(np.uint32).tobytes()
-
-
-def sketch(text: str | None, words: int) -> bytes:
-    """The smallest SKETCH distinct 32-bit hashes of the shingles: all of them in a shorter text."""
-    return upper_halves(sketch_hashes(text, words))
-
-
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The rarest of a sketch's hashes, one more than may be missing in a sketch alike by ``similarity``.
-
-    Of m hashes at most (1 - similarity) m are not among those that make two sketches alike: ``likeness`` divides by m at
-    least. The first, in any order common to all sketches, of those they share is thus in the prefix of both. The order is
-    by how ``often`` a hash was seen (``common``, sorted), then by the hash; it sets the cost, not what is found.
-    """
-    seen = np.zeros(len(hashes), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        seen = np.where(common[at] == hashes, often[at], 0)
-    n = int((1 - similarity) * len(hashes) + 1e-9) + 1
-    return hashes[np.lexsort((hashes, seen))[:n]]
-
-
-def likeness(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sketches' shingle sets: exact for whole sets, else from the smallest of the union."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.concatenate((x, y))
-    both.sort()
-    again = np.append(both[1:] == both[:-1], False)  # the first of an equal pair
-    n = len(both) - int(again.sum())
-    if n > SKETCH and (len(x) == SKETCH or len(y) == SKETCH):
-        first = np.append(True, both[1:] != both[:-1])
-        end = np.flatnonzero(np.cumsum(first) > SKETCH)[0]
-        return float(again[:end].sum() / SKETCH)
-    return float(again.sum() / n)
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Signed 64-bit SimHash of the shingles. No word: 0."""
+    return majority(hashed(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -180,12 +143,27 @@ def number_of_parts(n: int, radius: int) -> int:
         ts = [units // m - 1 + (k < units % m) for k in range(m)]
         return sum(sum(comb(width, j) for j in range(t + 1)) * (n * PROBE + n * n / 2**width) for t in ts)
 
-    return min(range(max(3, (radius + 2) // 3), radius + 2), key=cost)
+    return min(range(max(2, (radius + 2) // 3), radius + 2), key=cost)
+
+
+def estimated_pairs(sample: np.ndarray, n: int, width: int, most: int) -> list[float]:
+    """Of a part's values in a sample of fingerprints: the ordered pairs of all ``n`` that differ in t bits at most.
+
+    Even bits would give n^2 C(width, t) / 2^width, which is the least that is counted on: a sample sees too few pairs.
+    """
+    near = np.zeros(width + 1)
+    for k in range(0, len(sample), 256):
+        near += np.bincount(np.bitwise_count(sample[k : k + 256, None] ^ sample[None, :]).ravel(), minlength=width + 1)[: width + 1]
+    near[0] -= len(sample)  # each with itself
+    seen = np.cumsum(near) * (n / max(len(sample), 1)) ** 2
+    even = np.cumsum([float(n) ** 2 * comb(width, t) / 2.0**width for t in range(width + 1)])
+    return (np.maximum(seen, even)[: most + 1] + n).tolist()
 
 
 def plan_parts(fps: DataFrame, n: int, radius: int) -> Parts:
     """Group the bits and allocate thresholds from statistics over all of ``fps`` (fp). What comes to the driver is one
-    number for each pair of bits and for each value of a part, of which there are 2^22 at most whatever the input."""
+    number for each pair of bits, and for each value of a part of up to COUNTED bits, of which there are 2^22 at most; for
+    wider parts ESTIMATED fingerprints. Only the cost depends on the estimate."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((64, 64), np.int64)
@@ -199,15 +177,22 @@ def plan_parts(fps: DataFrame, n: int, radius: int) -> Parts:
     together = np.zeros(4096)
     together[np.array(cells["cell"])] = np.array(cells["n"])
     groups = correlated_groups(together.reshape(64, 64), n, number_of_parts(n, radius))
-    own = Parts(groups, (0,) * len(groups))
+    counted = len(groups[0]) <= COUNTED
+    own = Parts(groups, (0 if counted else -1,) * len(groups))
+    sample = np.zeros(0, np.uint64)
+    if not counted:
+        sample = np.array(bounded_sample(fps, F.col("fp"), ESTIMATED).toArrow()["fp"], np.int64).view(np.uint64)
     keys = fps.mapInArrow(_spread(own), "key long, fp long, resident boolean").groupBy("key").agg(F.count("*").alias("n")).toArrow()
     key, count = np.array(keys["key"]), np.array(keys["n"])
     costs = []
     for i, g in enumerate(groups):
-        counts = np.zeros(1 << len(g))
-        mine = key >> 32 == i
-        counts[key[mine] & 0xFFFFFFFF] = count[mine]
-        near = pairs_within(counts)
+        if counted:
+            counts = np.zeros(1 << len(g))
+            mine = key >> 32 == i
+            counts[key[mine] & 0xFFFFFFFF] = count[mine]
+            near = pairs_within(counts)
+        else:
+            near = estimated_pairs(own.values(sample, i), n, len(g), min(radius, len(g)))
         costs.append([0.0, *(PROBE * n * sum(comb(len(g), j) for j in range(t + 1)) + near[t] for t in range(min(radius, len(g)) + 1))])
     return Parts(groups, allocate(costs, radius + 1))
 
@@ -330,71 +315,6 @@ def _compare(parts: Parts, radius: int):
     return run
 
 
-def met_pairs(fp: np.ndarray, resident: np.ndarray, radius: int, parts: Parts, part: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places and distance of all pairs of a group within ``radius`` that meet in no earlier part, some rows at a time."""
-    rows = np.flatnonzero(resident)
-    for k in range(0, len(rows), 256):
-        d = np.bitwise_count(fp[rows[k : k + 256], None] ^ fp[None, :])
-        x, y = np.nonzero(d <= radius)
-        a, b, d = rows[k + x], y, d[x, y]
-        fresh_ = (a < b) | ~resident[b]  # two residents once, a visitor with each resident
-        fresh_ &= fp[a] != fp[b]
-        for i in range(part):
-            if parts.thresholds[i] >= 0:
-                fresh_ &= np.bitwise_count(parts.values(fp[a], i) ^ parts.values(fp[b], i)) > parts.thresholds[i]
-        yield a[fresh_], b[fresh_], d[fresh_]
-
-
-def _with_partners(parts: Parts, radius: int):
-    """Of each group the rows that have a pair to verify there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _groups(batches):
-            if len(rows) < 2:
-                continue
-            fp, resident = _arrays(rows)
-            has = np.zeros(len(fp), bool)
-            for a, b, _ in met_pairs(fp, resident, radius, parts, key[0] >> 32):
-                has[a] = has[b] = True
-            if has.any():
-                yield from rows.filter(pa.array(has)).combine_chunks().to_batches()
-
-    return run
-
-
-def _verified(parts: Parts, radius: int, similarity: float):
-    """Over rows sorted by group: links whose sketches are alike. Every pair is verified but those already joined."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int, int]] = []
-        for key, rows in _groups(batches):
-            fp, resident = _arrays(rows)
-            sketches, parent = rows["sketch"].to_pylist(), list(range(len(fp)))
-
-            def top(i: int, parent: list[int] = parent) -> int:
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
-            same: dict[int, int] = {}  # rows of one fingerprint
-            for i, f in enumerate(fp.tolist()):
-                parent[i] = same.setdefault(f, i)
-            for a, b, d in met_pairs(fp, resident, radius, parts, key[0] >> 32):
-                nearest_first = np.argsort(d, kind="stable")
-                for i, j, n in zip(a[nearest_first].tolist(), b[nearest_first].tolist(), d[nearest_first].tolist(), strict=True):
-                    x, y = top(i), top(j)
-                    if x != y and likeness(sketches[i], sketches[j]) >= similarity:
-                        parent[max(x, y)] = min(x, y)
-                        found.append((int(fp.view(np.int64)[i]), int(fp.view(np.int64)[j]), n))
-            if len(found) > BLOCK:
-                yield _links(found)
-                found = []
-        yield _links(found)
-
-    return run
-
-
 def _links(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
     a, b, d = zip(*found, strict=True) if found else ((), (), ())
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array(d, pa.int32())})
@@ -433,152 +353,19 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     return _dealt(fps, parts, block).mapInArrow(_compare(parts, radius), LINK).groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
-def verified_links(reps: DataFrame, radius: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, distance) of distinct ``reps`` (fp long, sketch binary): links within ``radius`` whose sketches are alike by
-    ``similarity``, and which join what such links join. Each pair is verified in the one group where it first meets, unless
-    verified links have joined it there; sketches go only to the groups where their fingerprint has a partner."""
-    fps = reps.select("fp")
-    n = fps.count()
-    if not n:
-        return fps.sparkSession.createDataFrame([], LINK)
-    parts = plan_parts(fps, n, radius)
-    shape = "key long, fp long, resident boolean, i int, j int"
-    partners = written(_dealt(fps, parts, block).mapInArrow(_with_partners(parts, radius), shape), "partners")
-    return _sorted(partners.join(reps, "fp")).mapInArrow(_verified(parts, radius, similarity), LINK)
-
-
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of at most COMMON shingles that about PICK documents of ``docs`` (text_key, text) have most often, and how often."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"h": pa.array(sketch_hashes(text, words).view(np.int64), pa.int64())})
-
-    counts = bounded_sample(docs, F.col("text_key"), PICK).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = np.array(top["h"], np.int64).view(np.uint64), np.array(top["n"], np.int64)
-    return h[np.argsort(h)], n[np.argsort(h)]
-
-
-def group_alike(sketches: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of ``sketches`` (none empty) that are alike: all pairs are compared but those already joined."""
-    n, found = len(sketches), []
-    own = [np.frombuffer(s, np.uint32) for s in sketches]
-    size = np.array([len(x) for x in own])
-    start = np.cumsum(size) - size
-    codes = np.unique(np.concatenate(own), return_inverse=True)[1]
-    comp, mark = np.arange(n), np.zeros(int(codes.max()) + 1, bool)
-    for i in range(n - 1):
-        if not (comp[i + 1 :] != comp[i]).any():
-            continue
-        mine = codes[start[i] : start[i] + size[i]]
-        mark[mine] = True
-        shared = np.add.reduceat(mark[codes[start[i + 1] :]], start[i + 1 :] - start[i + 1], dtype=np.int64)
-        mark[mine] = False
-        # what two sketches share is divided by no less than the larger of them
-        for j in (np.flatnonzero(shared + 1e-6 >= similarity * np.maximum(size[i], size[i + 1 :])) + i + 1).tolist():
-            if comp[i] != comp[j] and likeness(sketches[i], sketches[j]) >= similarity:
-                comp[comp == comp[j]] = comp[i]
-                found.append((i, j))
-    return found
-
-
-def _alike(similarity: float):
-    """Over rows sorted by group: links whose sketches are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        b: list[int] = []
-        for _, rows in _groups(batches):
-            node = rows["node"].to_pylist()
-            for i, j in group_alike(rows["sketch"].to_pylist(), similarity) if len(node) > 1 else ():
-                a.append(node[i])
-                b.append(node[j])
-            if len(a) > BLOCK:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-                a, b = [], []
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def alike_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b) of ``nodes`` (node long, distinct; sketch binary; prefix array of long): links whose sketches are alike by
-    ``similarity``, and which join all that such links join.
-
-    Nodes with a hash of their prefixes in common are a group, and every alike pair is in one. Of groups with the same
-    members one is compared (count and 128 bits over the members tell). A group of over ``block`` nodes is dealt into
-    blocks, and every pair of blocks is a group of its own. Sketches go only to groups of two or more.
-    """
-    rows = nodes.select(F.explode("prefix").alias("key"), "node")
-    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    several = rows.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1")
-    groups = written(several.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "groups")
-    b = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("b")
-    of = rows.join(groups, "key").select("key", "node", b, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    dealt = of.select("key", "node", F.greatest("b", "x").alias("i"), F.least("b", "x").alias("j"))
-    return _sorted(dealt.join(nodes.select("node", "sketch"), "node")).mapInArrow(_alike(similarity), "a long, b long")
-
-
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links within ``radius``).
 
     One row for each row of ``docs``. Null, empty and wordless texts have the fingerprint zero, linked like any other. A
-    null doc_id is never a component's id unless all its ids are null. An empty table gives no rows; other columns are
-    ignored.
+    null doc_id is never a component's id unless all its ids are null. Long texts are hashed whole, CHUNK shingles at a
+    time. Equal texts and repeated rows share a fingerprint, ties cannot matter. An empty table gives no rows; other columns
+    are ignored. Rows of one fingerprint, and fingerprints of one component, are dealt over many tasks where they are many.
     """
     own = written(fingerprints(docs.select("doc_id", "text"), words), "fingerprints")
-    found = _components(own, links(own.select("fp").distinct(), radius))
-    return own.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def _components(own: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, component_id) of each fingerprint of ``own`` (doc_id, fp)."""
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("lowest"))
-    roots = written(components(edges.select("a", "b")).withColumnRenamed("node", "fp"), "roots")
+    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")), "classes")
+    roots = written(components(links(classes.select("fp"), radius).select("a", "b")).withColumnRenamed("node", "fp"), "roots")
     ids = classes.join(roots, "fp").groupBy("root").agg(F.min("lowest").alias("reached"))
-    merged = roots.join(ids, "root").select("fp", "reached")
-    return classes.join(merged, "fp", "left").select("fp", F.coalesce("reached", "lowest").alias("component_id"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """null_id, doc_id (0 for null), text_key, component, keeper, n: each distinct (doc_id, text) of ``docs`` with its group.
-
-    Texts are near duplicates if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` at
-    least, to the precision of a sketch of 256 hashes (exact up to 256 shingles). Each distinct sketch is a node, every
-    alike pair of them shares a hash of its prefixes, and all that do are compared. Groups are connected components.
-    keeper: the one row of its group that stays, the smallest by (null id last, doc_id, text_key); n: how often that row is
-    there. Wordless and null texts are one group.
-    """
-    small_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    common, often = common_shingles(keyed, words)
-
-    def make(texts: list) -> pa.Array:
-        hashes = [sketch_hashes(t, words) for t in texts]
-        out = [{"sketch": upper_halves(h), "prefix": prefix(h, similarity, common, often).view(np.int64) if len(h) else []} for h in hashes]
-        return pa.array(out, pa.struct([("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
-
-    made = appended(keyed, "made", T.StructType([T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]), make)
-    own = written(made.select("null_id", "doc_id", "text_key", F.xxhash64("made.sketch").alias("node"), "made.*"), "sketches")
-    nodes = written(own.groupBy("node").agg(F.min(F.struct("sketch", "prefix")).alias("r")).select("node", "r.*"), "nodes")
-    roots = written(components(alike_links(nodes, similarity)), "roots")
-    key = ["null_id", "doc_id", "text_key"]
-    counted = own.groupBy(*key, "node").agg(F.count("*").alias("n"))
-    named = counted.join(roots, "node", "left").select(*key, "n", F.coalesce("root", "node").alias("component"))
-    lowest = named.groupBy("component").agg(F.min(F.struct(*key)).alias("lowest"))
-    return named.join(lowest, "component").select(*key, "component", (F.struct(*key) == F.col("lowest")).alias("keeper"), "n")
-
-
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of near duplicates, with the columns that they had."""
-    groups = written(near_duplicates(docs.select("doc_id", "text"), **options), "groups")
-    names = [fresh(docs, c) for c in ("null_id", "id", "text_key")]
-    keyed = docs.withColumns({names[0]: F.col("doc_id").isNull(), names[1]: F.coalesce("doc_id", F.lit(0)).cast("long"), names[2]: F.xxhash64("text")})
-    group_keys = [F.col(c).alias(n) for c, n in zip(("null_id", "doc_id", "text_key"), names, strict=True)]
-    many = groups.where("keeper AND n > 1").select(*group_keys)
-    out = keyed.join(groups.where("NOT keeper OR n > 1").select(*group_keys), names, "left_anti")
-    if not many.isEmpty():  # equal rows of a keeper: one of them
-        out = out.unionByName(keyed.join(many, names, "left_semi").dropDuplicates(names))
-    return out.select(*docs.columns)
+    merged = salted_join(roots, ids, "root", roots.groupBy("root").agg(F.count("*").alias("n"))).select("fp", "reached")
+    found = classes.join(merged, "fp", "left").select("fp", F.coalesce("reached", "lowest").alias("component_id"))
+    named = salted_join(own, found, "fp", classes, salt=F.monotonically_increasing_id())
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

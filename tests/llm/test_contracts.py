@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkspark.llm import ball_tree, language_id, mixing, packing, pii_detect, pii_forms, quality_gam, quality_rules, simhash, surrogates, token_counts, toxicity
+from linkspark.llm import ball_tree, common, language_id, mixing, near_duplicates, packing, pii_detect, pii_forms, quality_gam, quality_rules, simhash, surrogates, token_counts, toxicity
 from linkspark.llm.common import bounded_sample, hash_limit, training_rows
 from linkspark.llm.components import components
 from linkspark.llm.queries import QUERIES, SQL
@@ -536,12 +536,12 @@ def test_near_duplicates(spark, docs, empty):
             rows.append((100 * g + k, " ".join(own)))
     rows += [(9000 + i, " ".join(rng.choice(vocabulary) for _ in range(200))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit(1))
-    kept = simhash.drop_near_duplicates(df)
+    kept = near_duplicates.drop_near_duplicates(df)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == df.columns and ids == {100 * g for g in range(12)} | {9000 + i for i in range(60)}
-    odd = simhash.drop_near_duplicates(docs)
+    odd = near_duplicates.drop_near_duplicates(docs)
     assert odd.columns == docs.columns and odd.where("doc_id = 1").count() == 1 and odd.where("text IS NULL OR trim(text) = ''").count() == 1
-    assert simhash.drop_near_duplicates(empty).count() == 0
+    assert near_duplicates.drop_near_duplicates(empty).count() == 0
 
 
 def test_near_duplicates_with_edited_blocks(spark):
@@ -557,7 +557,7 @@ def test_near_duplicates_with_edited_blocks(spark):
         tally[i] = alike = len(a & b) / len(a | b) >= 0.8
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
     assert sum(tally.values()) > 40
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {d for i in range(80) for d in ((2 * i,) if tally[i] else (2 * i, 2 * i + 1))}
 
 
@@ -570,48 +570,105 @@ def test_near_duplicates_of_one_fingerprint(spark):
         rows += [(3 * g + i, " ".join(passage + tail)) for i, tail in enumerate((a, b, [*b[:-1], "other"]))]
     prints = [simhash.fingerprint(t) for _, t in rows]
     assert all(prints[k] == prints[k + 1] == prints[k + 2] for k in range(0, 24, 3))
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {3 * g + i for g in range(8) for i in (0, 1)}
 
 
+def joined(n, pairs):
+    parent = list(range(n))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        parent[y] = x
+    return [top(i) for i in range(n)]
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_alike_links(spark, block):
+    """Of texts with more shingles than a sketch holds, many of them about the limit: against all pairs of whole sets."""
     rng = random.Random(block)
-    base = [f"w{i}" for i in range(300)]
-    texts = [" ".join(base[:k] + [f"n{rng.randrange(10**6)}" for _ in range(rng.randint(1, 60))] + base[k + 60 :]) for k in (rng.randrange(240) for _ in range(80))]
+    texts = []
+    for g in range(10):
+        base = [f"{g}w{i}" for i in range(rng.choice((150, 215, 260, 300, 700)))]
+        for _ in range(12):
+            cut = int(len(base) * rng.uniform(0.03, 0.08))
+            at = rng.randrange(len(base) - cut)
+            texts.append(" ".join(base[:at] + [f"n{rng.randrange(10**6)}" for _ in range(cut)] + base[at + cut :]))
     texts += [" ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randint(1, 500))) for _ in range(40)]
-    hashes = [simhash.sketch_hashes(t, 5) for t in texts]
+    hashes = [near_duplicates.smallest(near_duplicates.all_hashes(t, 5)) for t in texts]
     common, often = np.unique(np.concatenate(hashes), return_counts=True)
-    sketches = [simhash.upper_halves(h) for h in hashes]
-    assert sketches == [simhash.sketch(t, 5) for t in texts]
-    rows = [(i, bytearray(s), simhash.prefix(h, 0.7, common, often).view(np.int64).tolist()) for i, (h, s) in enumerate(zip(hashes, sketches, strict=True))]
-    edges = simhash.alike_links(spark.createDataFrame(rows, "node long, sketch binary, prefix array<long>"), 0.7, block).collect()
-
-    def joined(pairs):
-        parent = list(range(len(texts)))
+    rows = [(i, bytearray(near_duplicates.upper_halves(h)), near_duplicates.prefix(h[: near_duplicates.SKETCH], 0.8, common, often).view(np.int64).tolist()) for i, h in enumerate(hashes)]
+    edges = near_duplicates.alike_links(spark.createDataFrame(rows, "node long, full binary, prefix array<long>"), 0.8, block).collect()
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    alike = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    near = sum(0.75 < len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.85 for b in range(120) for a in range(b))
+    assert near > 50 and all(tuple(sorted((e.a, e.b))) in alike for e in edges)
+    assert joined(len(texts), [(e.a, e.b) for e in edges]) == joined(len(texts), alike)
 
-        def top(i):
-            while parent[i] != i:
-                i = parent[i]
-            return i
 
-        for a, b in pairs:
-            x, y = sorted((top(a), top(b)))
-            parent[y] = x
-        return [top(i) for i in range(len(texts))]
+def test_likeness():
+    def own(text):
+        return np.frombuffer(near_duplicates.upper_halves(near_duplicates.smallest(near_duplicates.all_hashes(text, 5))), np.uint32)
 
-    want = joined((a, b) for b in range(len(texts)) for a in range(b) if simhash.likeness(sketches[a], sketches[b]) >= 0.7)
-    assert joined((e.a, e.b) for e in edges) == want and len(set(want)) < len(texts)
-    assert all(simhash.likeness(sketches[e.a], sketches[e.b]) >= 0.7 for e in edges)
+    a, b = " ".join(f"w{i}" for i in range(1000)), " ".join(f"w{i}" for i in range(200, 1200))
+    sets = [set(simhash.shingles(t, 5)) for t in (a, b)]
+    assert abs(near_duplicates.likeness(own(a), own(b)) - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 1e-9
+    a, b = " ".join(f"w{i}" for i in range(90_000)), " ".join(f"w{i}" for i in range(10_000, 100_000))
+    assert abs(near_duplicates.likeness(own(a), own(b)) - 0.8) < 0.03
+    assert near_duplicates.likeness(own(""), own(None)) == 1 and near_duplicates.likeness(own(""), own("x")) == 0
 
 
-def test_likeness():
-    a, b = " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(20, 120))
-    own = [set(simhash.shingles(t, 5)) for t in (a, b)]
-    assert abs(simhash.likeness(simhash.sketch(a, 5), simhash.sketch(b, 5)) - len(own[0] & own[1]) / len(own[0] | own[1])) < 1e-9
-    a, b = " ".join(f"w{i}" for i in range(9000)), " ".join(f"w{i}" for i in range(1000, 10_000))
-    assert abs(simhash.likeness(simhash.sketch(a, 5), simhash.sketch(b, 5)) - 0.8) < 0.08
-    assert simhash.likeness(b"", b"") == 1 and simhash.likeness(b"", simhash.sketch("x", 5)) == 0
+def test_near_duplicates_of_hot_groups(spark, monkeypatch):
+    """A third of the rows equal, a third with text ids and one text, in many tasks as in one."""
+    rng = random.Random(4)
+    rows = [("same", "a b c d e f")] * 40 + [(f"i{i:02d}", "one text for all of these rows") for i in range(40)] + [(None, "one text for all of these rows")] * 3
+    rows += [(f"x{i}", " ".join(f"w{rng.randrange(9000)}" for _ in range(50))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    want = {"same", "i00", *(f"x{i}" for i in range(40))}
+    for least in (1000, 5):
+        monkeypatch.setattr(common, "LEAST", least)
+        got = [r.doc_id for r in near_duplicates.drop_near_duplicates(df).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_salted_join(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 ELSE id % 50 END AS k")
+    other = spark.range(-1, 40).selectExpr("id AS k", "id * 2 AS v")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        want = Counter(rows.join(other, "k", how).select("id", "k", "v").collect())
+        for least in (1000, 10):
+            monkeypatch.setattr(common, "LEAST", least)
+            assert Counter(common.salted_join(rows, other, "k", counts, how).select("id", "k", "v").collect()) == want
+
+
+def test_wide_parts(spark):
+    """Two parts of 32 bits, as for many fingerprints: the links are the same."""
+    rng = random.Random(6)
+    values = sorted({rng.getrandbits(63) ^ (1 << rng.randrange(63)) for _ in range(50)})
+    values = sorted({v ^ sum(1 << b for b in rng.sample(range(63), k)) for v in values for k in (0, 1, 2, 3, 5)})
+    assert simhash.number_of_parts(10**10, 3) == 2 and simhash.number_of_parts(10**6, 3) > 2
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    place = {v: i for i, v in enumerate(values)}
+    edges = [(place[e.a], place[e.b]) for e in simhash.links(df, 3).collect()]
+    groups, counted = simhash.number_of_parts, simhash.COUNTED
+    try:
+        simhash.number_of_parts = lambda n, radius: 2
+        wide = [(place[e.a], place[e.b]) for e in simhash.links(df, 3).collect()]
+        parts = simhash.plan_parts(df, len(values), 3)
+    finally:
+        simhash.number_of_parts = groups
+    assert joined(len(values), edges) == joined(len(values), wide) == brute_components(values, 3) or len(set(brute_components(values, 3))) == len(set(joined(len(values), wide)))
+    assert [len(b) for b in parts.bits] == [32, 32] and sum(t + 1 for t in parts.thresholds) == 4 and counted == 22
+    sample = np.array(values, np.uint64) & np.uint64(0xFFFFFFFF)
+    got = simhash.estimated_pairs(sample.astype(np.int64), len(values), 32, 3)
+    exact = [sum(int((int(a) ^ int(b)).bit_count() <= t) for a in sample for b in sample) for t in range(4)]
+    assert np.allclose(got, np.maximum(exact, 0), rtol=0.05)
 
 
 def test_components(spark):
@@ -751,36 +808,3 @@ def test_pipeline(spark, docs, empty, sf):
     toxic = [i for i in marks if marks[i]]
     assert sum(i in gone for i in toxic) >= 0.85 * len(toxic) and sum(i in gone for i in marks if not marks[i]) <= 0.01 * len(marks)
     assert c.run(spark, sf).count() > 0
-
-
-@pytest.mark.parametrize("block", [4096, 20])
-def test_every_alike_pair_is_joined(spark, block):
-    """A dense group in which what is alike is alike through others alone: against all pairs."""
-    rng = random.Random(9)
-    centre, rows = rng.getrandbits(64), {}
-    for _ in range(160):
-        v = centre
-        for _ in range(rng.randint(0, 6)):
-            v ^= 1 << rng.randrange(64)
-        at = rng.randrange(0, 400, 7)
-        rows[v - (1 << 64) if v >> 63 else v] = np.arange(at, at + 60, dtype=np.uint32).tobytes()
-    own = list(rows)
-    df = spark.createDataFrame([(v, bytearray(rows[v])) for v in own], "fp long, sketch binary")
-    edges = simhash.verified_links(df, 9, 0.7, block).collect()
-
-    def joined(pairs):
-        parent = {v: v for v in own}
-
-        def top(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in pairs:
-            x, y = sorted((top(a), top(b)))
-            parent[y] = x
-        return {v: top(v) for v in own}
-
-    want = joined((a, b) for a in own for b in own if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 9 and simhash.likeness(rows[a], rows[b]) >= 0.7)
-    assert joined((e.a, e.b) for e in edges) == want and 1 < len(set(want.values())) < len(own)
-    assert all(simhash.likeness(rows[e.a], rows[e.b]) >= 0.7 for e in edges)
