@@ -1,11 +1,15 @@
 """Exact top-k inner products by branch and bound over ball trees.
 
-The vectors are dealt into shards of bounded size; each shard builds a ball tree. A query visits a shard's balls by falling
-upper bound <q, c> + |q| r and stops where the bound is below its k-th score so far. Shards run in waves: the scores that
-a wave reaches are merged, and each query enters the next wave with its current k-th score, so that later shards prune
-from the start. Queries come in blocks of bounded size, each of them a broadcast.
+Vectors are dealt into shards of bounded size, and each shard is a ball tree. From the root, a query opens that node of its
+frontier whose upper bound <q, centre> + |q| radius is highest: an inner node puts its two children on the frontier, a leaf
+is scored. It stops where no bound reaches its k-th score so far. All queries of a block take a step at once, each on its
+own frontier, and those that are at one leaf are scored by one matrix product.
 
-Scores are integer inner products of floor(scale * x); in double precision they are exact.
+The k-th score is shared: a task carries it from shard to shard, and waves of shards, each eight times the one before,
+start with the k-th scores that all former waves reached. Query blocks and groups of shards are rows of one table, which
+meet by a key; so their number needs no loop on the driver, and no task holds more than a block and a shard.
+
+Scores are integer inner products of floor(scale * x), made in double precision: exact while they stay below 2^53.
 """
 
 from __future__ import annotations
@@ -17,164 +21,255 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import small_batches, written
+from linkspark.llm.common import forget, small_batches, written
 
-LEAF = 64
-#: Vectors of a shard; queries of a block.
-SHARD, QUERIES = 16_384, 8192
+LEAF = 256
+#: Vectors of a shard at most, and at least where that is needed to keep all cores busy; shards of a task; numbers in a block
+#: of queries; queries that step together.
+SHARD, SMALL, TOGETHER, NUMBERS, STEP = 16_384, 2048, 64, 1 << 23, 2048
+FIRST_WAVE, GROWTH = 8, 8
 
 
 class BallTree:
-    """Leaves as slices of a reordered matrix, each with a centre and a radius; splits run along the widest direction."""
-
-    def __init__(self, x: np.ndarray):
-        order, self.slices = [], []
+    """Nodes 0 (the root), 1, ...: ``left`` and ``right`` children (-1 for leaves), rows ``start`` to ``end`` of ``x``."""
 
-        def split(rows: np.ndarray) -> None:
-            if len(rows) <= LEAF:
-                self.slices.append((len(order), len(order) + len(rows)))
-                order.extend(rows.tolist())
-                return
+    def __init__(self, x: np.ndarray, leaf: int = LEAF):
+        self.start, self.end, self.left, self.right = [], [], [], []
+        centres, radii, order = [], [], np.arange(len(x))
+        self.x = x
+        todo = [(0, len(x), -1, False)] if len(x) else []
+        while todo:
+            a, b, parent, is_right = todo.pop()
+            node, rows = len(self.start), order[a:b]
             own = x[rows]
-            far = own[np.argmax(((own - own.mean(0)) ** 2).sum(1))]
-            other = own[np.argmax(((own - far) ** 2).sum(1))]
-            side = own @ (other - far)
-            half = np.argsort(side, kind="stable")
-            split(rows[half[: len(rows) // 2]])
-            split(rows[half[len(rows) // 2 :]])
-
-        if len(x):
-            split(np.arange(len(x)))
-        self.order = np.array(order, np.int64)
-        self.x = x[self.order]
-        self.centre = np.array([self.x[a:b].mean(0) for a, b in self.slices]).reshape(len(self.slices), x.shape[1])
-        self.radius = np.array([np.sqrt(((self.x[a:b] - c) ** 2).sum(1).max()) for (a, b), c in zip(self.slices, self.centre, strict=True)])
-
-
-def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query row, id, score) of each query's k best in a shard, but for what ``floors`` rule out. Ties: smaller ids."""
-    out: list[tuple[int, int, int]] = []
-    if not len(tree.slices) or not len(queries):
-        return out
+            centre = own.mean(0)
+            away = ((own - centre) ** 2).sum(1)
+            self.start.append(a)
+            self.end.append(b)
+            self.left.append(-1)
+            self.right.append(-1)
+            centres.append(centre)
+            radii.append(np.sqrt(away.max()))
+            if parent >= 0:
+                (self.right if is_right else self.left)[parent] = node
+            if b - a > leaf:  # along the line from the farthest vector to the one farthest from that
+                far = own[np.argmax(away)]
+                other = own[np.argmax(((own - far) ** 2).sum(1))]
+                order[a:b] = rows[np.argsort(own @ (other - far), kind="stable")]
+                middle = (a + b) // 2
+                todo += [(middle, b, node, True), (a, middle, node, False)]
+        self.order, self.x = order, x[order]
+        self.start, self.end, self.left, self.right = (np.array(v, np.int64) for v in (self.start, self.end, self.left, self.right))
+        self.centre, self.radius = np.array(centres).reshape(len(centres), x.shape[1]), np.array(radii)
+
+    def bounds(self, queries: np.ndarray, norms: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """No inner product of a query with a vector of its node is above; a little is added for rounding."""
+        c = self.centre[nodes]
+        bound = np.einsum("ij,ij->i", queries, c) + norms * self.radius[nodes]
+        return bound + 1e-9 * (1 + norms) * (1 + np.abs(c).max(1, initial=0) * np.sqrt(c.shape[1]))
+
+
+class Best:
+    """The k best (score, id) of each query so far, as rows that fall by score and rise by id."""
+
+    def __init__(self, queries: int, k: int, floors: np.ndarray):
+        self.k, self.floors = k, floors
+        self.score = np.full((queries, k), -np.inf)
+        self.id = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def kth(self, q: np.ndarray) -> np.ndarray:
+        return np.maximum(self.score[q, self.k - 1], self.floors[q])
+
+    def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Take in scores of queries ``q``, which may repeat."""
+        who = np.unique(q)
+        every = [np.concatenate(x) for x in ((np.repeat(who, self.k), q), (self.score[who].ravel(), score), (self.id[who].ravel(), ids))]
+        order = np.lexsort((every[2], -every[1], every[0]))
+        q, score, ids = (x[order] for x in every)
+        first = np.searchsorted(q, who)
+        pick = (first[:, None] + np.arange(self.k)).ravel()
+        self.score[who], self.id[who] = score[pick].reshape(-1, self.k), ids[pick].reshape(-1, self.k)
+
+
+def search(tree: BallTree, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, own_rows: np.ndarray, best: Best, at: int = 0) -> np.ndarray:
+    """Improve ``best`` for ``queries``, which are its queries from ``at`` on, by a shard's vectors other than their own
+    rows. How many nodes each query opened."""
+    opened = np.zeros(len(queries), np.int64)
+    if not len(tree.start) or not len(queries):
+        return opened
     norms = np.sqrt((queries**2).sum(1))
-    bounds = queries @ tree.centre.T + norms[:, None] * tree.radius[None, :]
-    bounds += 1e-9 * (1 + norms[:, None]) * (1 + np.abs(tree.centre).max() * np.sqrt(queries.shape[1]))
-    visit = np.argsort(-bounds, axis=1, kind="stable")
-    own = ids[tree.order]
-    for q in range(len(queries)):
-        best_s, best_i, kth = np.empty(0), np.empty(0, np.int64), floors[q]
-        step = 1  # leaves scored together: one at first, to raise the k-th score soon
-        at = 0
-        while at < len(tree.slices):
-            live = [int(n) for n in visit[q, at : at + step] if bounds[q, n] >= kth]
-            if not live:
-                break
-            rows = np.concatenate([np.arange(*tree.slices[n]) for n in live])
-            s = tree.x[rows] @ queries[q]
-            i = own[rows]
-            ok = (s >= kth) & (i != query_ids[q])
-            best_s, best_i = np.concatenate([best_s, s[ok]]), np.concatenate([best_i, i[ok]])
-            if len(best_s) > k:
-                top = np.lexsort((best_i, -best_s))[:k]
-                best_s, best_i = best_s[top], best_i[top]
-            if len(best_s) == k:
-                kth = max(kth, best_s.min())
-            at += step
-            step = min(step * 2, 64)
-        out += [(q, int(i), int(s)) for i, s in zip(best_i, best_s, strict=True)]
-    return out
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def _searched(block, k: int):
+    frontier = np.full((len(queries), len(tree.start)), -np.inf)
+    live = np.arange(len(queries))
+    frontier[:, 0] = tree.bounds(queries, norms, np.zeros(len(queries), np.int64))
+    ids, rows = ids[tree.order], rows[tree.order]
+    while True:
+        node = frontier[live].argmax(1)
+        bound = frontier[live, node]
+        go = (bound > -np.inf) & (bound >= best.kth(live + at))
+        live, node = live[go], node[go]
+        if not len(live):
+            return opened
+        frontier[live, node] = -np.inf
+        opened[live] += 1
+        inner = tree.left[node] >= 0
+        q = live[inner]
+        for children in (tree.left, tree.right):
+            child = children[node[inner]]
+            frontier[q, child] = tree.bounds(queries[q], norms[q], child)
+        q, leaf = live[~inner], node[~inner]
+        order = np.argsort(leaf, kind="stable")
+        q, leaf = q[order], leaf[order]
+        if not len(q):
+            continue
+        cuts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        for a, b in zip(cuts, [*cuts[1:], len(leaf)], strict=True):
+            own, here = q[a:b], slice(tree.start[leaf[a]], tree.end[leaf[a]])
+            score = queries[own] @ tree.x[here].T
+            hit = (score >= best.kth(own + at)[:, None]) & (rows[here][None, :] != own_rows[own][:, None])
+            i, j = np.nonzero(hit)
+            if len(i):
+                best.add(own[i] + at, score[i, j], ids[here][j])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of one (width, block, team, shard), in which queries count as shard -1."""
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("width", "block", "team", "shard")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield tuple(keys[a].tolist()), batch.slice(a, b - a)
+
+
+def _searched(k: int, leaf: int):
+    """Over rows sorted by width, block, team and shard: the k best that each query finds in its team's shards."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries, floors = block.value
-        ids, xs = [], []
-
-        def shard() -> pa.RecordBatch:
-            x = np.concatenate(xs)
-            found = search(BallTree(x), np.concatenate(ids), queries, query_ids, floors, k)
-            q, i, s = (np.array([f[c] for f in found], np.int64) for c in range(3))
-            return pa.RecordBatch.from_pydict({"query_id": pa.array(query_ids[q] if len(q) else q), "vec_id": pa.array(i), "score": pa.array(s)})
-
-        for batch in batches:
-            keep = pa.compute.equal(pa.compute.list_value_length(batch.column("v")), queries.shape[1])
-            batch = batch.filter(keep)
-            if not len(batch):
-                continue
-            ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False))
-            xs.append(_matrix(batch.column("v")))
-            if sum(map(len, ids)) >= SHARD:
-                yield shard()
-                ids, xs = [], []
-        if ids:
-            yield shard()
+        block: list[pa.RecordBatch] = []
+        shard: list[pa.RecordBatch] = []
+        team, now, state = None, None, None
 
-    return run
+        def start() -> tuple | None:
+            if not block:
+                return None
+            own = pa.Table.from_batches(block)
+            floors = np.array(own["floor"].to_numpy(), np.float64)
+            q = _matrix(own["v"].combine_chunks(), team[0])
+            return q, own["row"].to_numpy(), Best(len(q), k, floors), np.zeros(len(q), np.int64)
+
+        def finish_shard() -> None:
+            if shard and state:
+                own = pa.Table.from_batches(shard)
+                tree = BallTree(_matrix(own["v"].combine_chunks(), team[0]), leaf)
+                q, rows, best, opened = state
+                for a in range(0, len(q), STEP):
+                    part = slice(a, a + STEP)
+                    opened[part] += search(tree, own["vec_id"].to_numpy(), own["row"].to_numpy(), q[part], rows[part], best, a)
+            shard.clear()
+
+        def results() -> pa.RecordBatch:
+            _, rows, best, opened = state
+            i, j = np.nonzero(best.score > -np.inf)
+            columns = [pa.array(rows[i]), pa.array(best.id[i, j]), pa.array(best.score[i, j].astype(np.int64)), pa.array(np.where(j == 0, opened[i], 0))]
+            return pa.RecordBatch.from_arrays(columns, ["query", "vec_id", "score", "opened"])
 
+        for key, rows in _keyed(batches):
+            if key[:3] != team:
+                finish_shard()
+                if state:
+                    yield results()
+                team, now, state = key[:3], -1, None
+                block.clear()
+            if key[3] != now:
+                finish_shard()
+                now = key[3]
+                if state is None:
+                    state = start()
+            (block if now == -1 else shard).append(rows)
+        finish_shard()
+        if state:
+            yield results()
+
+    return run
 
-def top_inner_products(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, first_wave: int = 8, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row with ``is_query``, the ``k`` other rows of highest inner product.
 
-    Components are floor(``scale`` * x). Rows with a null id, and vectors that are null, empty or hold a null or a
-    non-finite component, take no part. Fewer candidates than ``k`` give all; ties go to the smaller id. A row with the
-    query's id is no candidate of it; an id that queries repeatedly is answered once, by its smallest vector. A repeated
-    candidate counts each time. Vectors of another length than the query's are not compared with it. Empty: no rows.
+def top_inner_products(
+    vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector: str = "embedding", shard: int = SHARD, leaf: int = LEAF
+) -> DataFrame:
+    """query_id, rank, vec_id, score, opened: for each row with ``is_query``, the ``k`` other rows of highest inner product.
 
-    The first wave is one shard in ``first_wave``; all others follow with the k-th scores that it reached.
+    Components are floor(``scale`` * x); scores are exact while below 2^53. Rows with a null id, and vectors that are null,
+    empty or hold a null or a non-finite component, take no part. Fewer candidates than ``k`` give all; ties go to the
+    smaller id. A query is a row: all rows but itself are its candidates, those that repeat its id or vector too, and
+    repeated queries are answered each. Vectors of another length than the query's are not compared with it. opened: nodes of
+    trees that the query opened, in its first row. Other columns are ignored. Empty: no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark, rows=4096)
     whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    good = F.col(id_column).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = written(vectors.where(good).select(F.col(id_column).cast("long").alias("vec_id"), whole.alias("v"), is_query.alias("asks")), "vectors")
-    n = rows.count()
-    shards = max(1, -(-n // SHARD))
-    dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v", F.lit("shard")), F.lit(max(1, min(shards, first_wave)))).alias("wave"))
-    asks = written(rows.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    blocks = max(1, -(-asks.count() // QUERIES))
-    shape = "query_id long, vec_id long, score long"
-    results = []
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def run(wave: DataFrame, known) -> DataFrame:
-        return wave.select("vec_id", "v").mapInArrow(_searched(known, k), shape)
-
-    for b in range(blocks):
-        part = asks.where(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)) == b)
-        for width in [r[0] for r in part.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]:
-            block = part.where(F.size("v") == width).orderBy("vec_id").toArrow()
-            ids, q = np.array(block["vec_id"]), _matrix(block["v"].combine_chunks())
-            floors = np.full(len(ids), -np.inf)
-            found = written(run(dealt.where("wave = 0"), spark.sparkContext.broadcast((ids, q, floors))), "wave")
-            if shards > 1:
-                kth = found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") == k).select("query_id", "score").toArrow()
-                floors[np.searchsorted(ids, np.array(kth["query_id"], np.int64))] = np.array(kth["score"], np.float64)
-                found = found.unionByName(written(run(dealt.where("wave > 0"), spark.sparkContext.broadcast((ids, q, floors))), "wave"))
-            results.append(found)
-    if not results:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = results[0]
-    for r in results[1:]:
-        every = every.unionByName(r)
-    return every.withColumn("rank", F.row_number().over(best_first).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    good = F.col(id_column).isNotNull() & (F.size(vector) > 0) & finite
+    asks = F.coalesce(is_query, F.lit(False))
+    own = vectors.where(good).select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("vec_id"), whole.alias("v"), asks.alias("asks"))
+    rows = written(own, "vectors")
+    n, numbers = rows.agg(F.count("*"), F.sum(F.when(F.col("asks"), F.size("v")))).first()
+    shape = "query long, vec_id long, score long, opened long"
+    best_first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    if not numbers:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, opened long")
+    cores = spark.sparkContext.defaultParallelism
+    shards = max(-(-n // shard), min(2 * cores, -(-n // min(shard, SMALL))))
+    blocks = -(-numbers // NUMBERS)
+    width = F.size("v").alias("width")
+    placed = rows.select("row", "vec_id", "v", width, F.pmod(F.xxhash64("row", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
+    queries = rows.where("asks").select("row", "v", width, F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+    known = None
+    begin, end = 0, min(FIRST_WAVE, shards)
+    while begin < shards:
+        together = max(1, min(TOGETHER, (end - begin) * blocks // (2 * cores)))
+        wave = placed.where(F.col("shard").between(begin, end - 1)).withColumn("team", F.floor((F.col("shard") - begin) / together).cast("int"))
+        wave = wave.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        asked = queries.withColumn("floor", F.lit(float("-inf")))
+        if known is not None:
+            kth = known.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") == k)
+            asked = queries.join(kth.select(F.col("query").alias("row"), F.col("score").cast("double").alias("s")), "row", "left")
+            asked = asked.withColumn("floor", F.coalesce("s", F.lit(float("-inf")))).drop("s")
+        teams = -(-(end - begin) // together)
+        asked = asked.withColumn("team", F.explode(F.sequence(F.lit(0), F.lit(teams - 1)))).withColumns({"shard": F.lit(-1), "vec_id": F.lit(0).cast("long")})
+        both = wave.withColumn("floor", F.lit(0.0)).unionByName(asked)
+        dealt = both.repartition("width", "block", "team").sortWithinPartitions("width", "block", "team", "shard")
+        found = written(dealt.mapInArrow(_searched(k, leaf), shape), "wave")
+        if known is not None:
+            every = known.unionByName(found).withColumn("rank", F.row_number().over(best_first))
+            total = F.sum("opened").over(Window.partitionBy("query"))
+            kept = every.withColumn("opened", F.when(F.col("rank") == 1, total).otherwise(0)).where(F.col("rank") <= k).drop("rank")
+            merged = written(kept, "best")
+            forget(found)
+            forget(known)
+            found = merged
+        known, begin, end = found, end, min(end * GROWTH, shards)
+    names = rows.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    total = F.sum("opened").over(Window.partitionBy("query"))
+    ranked = known.withColumns({"rank": F.row_number().over(best_first).cast("int"), "opened": total}).where(F.col("rank") <= k)
+    ranked = ranked.withColumn("opened", F.when(F.col("rank") == 1, F.col("opened")).otherwise(0))
+    return ranked.join(names, "query").select("query_id", "rank", "vec_id", "score", "opened")
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.r <> q.r AND len(c.v) = len(q.v)
   WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
-FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+FROM s WINDOW w AS (PARTITION BY r ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5
 """

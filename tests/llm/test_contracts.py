@@ -747,27 +747,55 @@ def test_harmonic_classes():
 # ---- 9
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(ball_tree, "SHARD", 100)
-    monkeypatch.setattr(ball_tree, "QUERIES", 7)
+def brute_top(rows, k=5):
+    """Per query row (its place in ``rows``): the k best of all other rows as (score, id)."""
+    out = []
+    for a, (i, x) in enumerate(rows):
+        if i % 50 == 0:
+            scores = [(int(x @ y), j) for b, (j, y) in enumerate(rows) if b != a and len(y) == len(x)]
+            out.append((i, sorted(scores, key=lambda s: (-s[0], s[1]))[:k]))
+    return out
+
+
+@pytest.mark.parametrize(("numbers", "first"), [(1 << 23, 8), (20, 2)])
+def test_top_k(spark, monkeypatch, numbers, first):
+    """Many shards, waves and blocks or few of them; repeated ids and vectors, ties, odd vectors."""
+    for name, value in (("NUMBERS", numbers), ("FIRST_WAVE", first), ("GROWTH", 2), ("SMALL", 60)):
+        monkeypatch.setattr(ball_tree, name, value)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 6))
     x[100:140] = x[100]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (700, None), (701, []), (702, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (750, [float("nan")] * 6), (800, [1.0, float("inf"), 0.0, 0.0, 0.0, 0.0]), (850, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = defaultdict(list)
-    for r in sorted(ball_tree.top_inner_products(df, F.col("vec_id") % 50 == 0).collect(), key=lambda r: r.rank):
-        got[r.query_id].append((r.vec_id, r.score))
-    v = np.floor(256 * x).astype(np.int64)
-    assert set(got) == set(range(0, 600, 50))  # 850 has no other vector of its length
-    for q in got:
-        s = v @ v[q]
-        assert got[q] == [(i, int(s[i])) for i in sorted((i for i in range(600) if i != q), key=lambda i: (-s[i], i))[:5]]
+    good = [(i, v) for i, v in enumerate(x)] + [(50, x[3]), (50, x[50]), (51, x[51]), (850, np.array([1.0, 2.0]))]
+    odd = [(None, x[0].tolist()), (700, None), (701, []), (702, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (750, [float("nan")] * 6), (800, [1.0, float("inf"), 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in good] + odd, "vec_id long, embedding array<double>")
+    found = ball_tree.top_inner_products(df, F.col("vec_id") % 50 == 0, shard=100, leaf=8).collect()
+    want = Counter((q, rank, i, s) for q, top in brute_top([(i, np.floor(256 * v).astype(np.int64)) for i, v in good]) for rank, (s, i) in enumerate(top, 1))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == want
     few = df.where("vec_id IN (0, 1, 2)")
     assert ball_tree.top_inner_products(few, F.col("vec_id") == 0).count() == 2
     assert ball_tree.top_inner_products(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_branch_and_bound_opens_few_nodes():
+    """Where vectors lie in clusters, most nodes are never opened; a k-th score from elsewhere saves more of them."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 8)) * 2000
+    x = np.floor(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 8)) * 20)
+    tree, q = ball_tree.BallTree(x, 16), x[:50]
+    ids = np.arange(8000)
+    assert all(tree.end[c] - tree.start[c] <= 16 for c in np.flatnonzero(tree.left < 0)) and len(tree.start) > 500
+    exact = x @ q.T
+    exact[np.arange(50), np.arange(50)] = -np.inf
+    best = ball_tree.Best(50, 5, np.full(50, -np.inf))
+    opened = ball_tree.search(tree, ids, ids, q, ids[:50], best)
+    assert [best.id[i].tolist() for i in range(50)] == [sorted((j for j in ids if j != i), key=lambda j: (-exact[j, i], j))[:5] for i in range(50)]
+    assert opened.mean() < len(tree.start) / 4
+    other, none = ball_tree.BallTree(np.floor(x / 2), 16), np.full(50, -1)
+    alone = ball_tree.search(other, ids, ids, q, none, ball_tree.Best(50, 5, np.full(50, -np.inf)))
+    after = ball_tree.search(other, ids + 8000, ids, q, none, best)
+    assert after.sum() < alone.sum() / 4
+
+
 # ---- queries and pipeline
 
 
