@@ -1,21 +1,25 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant.
 
 Each document's statistics become a vector of five transformed numbers. For every language and source, a fast MCD finds
-the mean and covariance of the most concentrated three quarters of its documents: from a start by medians and quartiles,
-each concentration step takes the moments of the nearest documents and measures all again. Documents far from it by
-Mahalanobis distance are rejected.
+the mean and covariance of the most concentrated three quarters of its documents. It has several deterministic starts: the
+quartiles of each number alone, winsorised numbers, spatial signs, and all documents as they are. From each, concentration
+steps take the moments of the nearest documents and measure all again until the determinant falls no more; the start that
+ends with the least determinant counts. Documents far from it by Mahalanobis distance are rejected.
 
 All of it is DataFrame expressions. The vectors are whole thousandths, their moments exact integers and the quantiles come
 from histograms of whole bins, so results depend neither on the order of rows nor on the engine: ``oracle`` writes the
-same formulas as SQL. Per-document work never leaves its row; groups meet in partial aggregates alone.
+same formulas as SQL. Per-document work never leaves its row; groups meet in partial aggregates alone, and what a group has
+besides is a few rows of parameters.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import WORD, written
+from linkspark.llm.common import WORD, forget, written
 
 WINDOW = 8
 DIMENSIONS = range(1, 6)
@@ -27,13 +31,15 @@ VECTOR = {
     4: "sqrt(n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE))",
     5: "sqrt(n_repeat_words / CAST(n_words AS DOUBLE))",
 }
-#: Least standard deviation of each, in thousandths: clean groups hardly vary in the last three.
-FLOOR = {1: 300.0, 2: 250.0, 3: 150.0, 4: 150.0, 5: 150.0}
+#: Least standard deviation of each, in thousandths: clean groups hardly vary in the last three, and where a group's own
+#: deviation is less, a document that differs at all would be infinitely far.
+FLOOR = {1: 200.0, 2: 150.0, 3: 100.0, 4: 100.0, 5: 100.0}
 #: Share of a group that the estimate rests on, and the factor that makes its covariance consistent for normal data.
 SHARE, CONSISTENT = 0.75, 1.41
 #: Squared distance that one normal document in a million exceeds, with five degrees of freedom.
 CUTOFF = 35.9
-STEPS = 3
+#: Starts: quartiles, winsorised numbers, spatial signs, all rows.
+STARTS = range(4)
 #: Groups of fewer documents are pooled by language, then altogether; fewer still pass no verdict.
 LEAST = 50
 #: Bins of a distance of 1, and the last bin.
@@ -89,19 +95,35 @@ BASE = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
 VECTORS = [f"CAST(floor(1000.0D * ({VECTOR[i]}) + 0.5D) AS BIGINT) AS x{i}" for i in DIMENSIONS]
 #: Moments of a group: counts and sums, as whole numbers.
 PAIRS = [(i, j) for i in DIMENSIONS for j in range(1, i + 1)]
-MOMENTS = ["count(*) AS n", *(f"CAST(sum(CAST(x{i} AS DECIMAL(18,0))) AS DOUBLE) AS s{i}" for i in DIMENSIONS), *(f"CAST(sum(CAST(x{i} * x{j} AS DECIMAL(18,0))) AS DOUBLE) AS s{i}{j}" for i, j in PAIRS)]
+MOMENTS = [
+    "count(*) AS n",
+    *(f"CAST(sum(CAST(x{i} AS DECIMAL(18,0))) AS DOUBLE) AS s{i}" for i in DIMENSIONS),
+    *(f"CAST(sum(CAST(x{i} * x{j} AS DECIMAL(18,0))) AS DOUBLE) AS s{i}{j}" for i, j in PAIRS),
+]
+
+
+MEAN = [f"s{i} / n AS m{i}" for i in DIMENSIONS]
+
 
+def _covariance(scaled: bool = False) -> list[str]:
+    """Covariances, with variances of FLOOR squared at least; ``scaled``: of numbers in units of a thousandth of r."""
+    out = []
+    for i, j in PAIRS:
+        c = f"(s{i}{j} / n - (s{i} / n) * (s{j} / n))" + (f" * (r{i} / 1000.0D) * (r{j} / 1000.0D)" if scaled else "")
+        out.append(f"greatest({c}, {FLOOR[i] ** 2}D) AS c{i}{j}" if i == j else f"{c} AS c{i}{j}")
+    return out
 
-def _cholesky() -> list[list[str]]:
-    """Steps, each of new columns over the former: mean, covariance with floors, its lower triangle."""
-    out = [[f"s{i} / n AS m{i}" for i in DIMENSIONS]]
-    out.append([f"s{i}{j} / n - m{i} * m{j}" + (f" + {FLOOR[i] ** 2}D" if i == j else "") + f" AS c{i}{j}" for i, j in PAIRS])
+
+def _triangle() -> list[list[str]]:
+    """Steps, each of new columns over the former: the lower triangle of the covariance, and its determinant's root."""
+    out = []
     for j in DIMENSIONS:
         done = "".join(f" - l{j}{k} * l{j}{k}" for k in range(1, j))
         out.append([f"sqrt(greatest(c{j}{j}{done}, 1.0D)) AS l{j}{j}"])
         below = [f"(c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j)) + f") / l{j}{j} AS l{i}{j}" for i in DIMENSIONS if i > j]
         if below:
             out.append(below)
+    out.append([" * ".join(f"l{i}{i}" for i in DIMENSIONS) + " AS det"])
     return out
 
 
@@ -114,10 +136,20 @@ def _distance() -> list[list[str]]:
     return out
 
 
-#: The shape of an estimate: group, mean, triangle.
-PARAMETERS = ["g_lang", "g_source", *(f"m{i}" for i in DIMENSIONS), *(f"l{i}{j}" for i, j in PAIRS)]
-#: The start from medians and quartiles: no correlation.
-START = [f"CAST(q50_{i} AS DOUBLE) AS m{i}" for i in DIMENSIONS] + [f"greatest((q75_{i} - q25_{i}) / 1.349D, {FLOOR[i]}D) AS l{i}{i}" if i == j else f"0.0D AS l{i}{j}" for i, j in PAIRS]
+#: The shape of an estimate: group, start, mean, triangle, root of the determinant.
+GROUP = ["g_lang", "g_source"]
+PARAMETERS = [*GROUP, "k", *(f"m{i}" for i in DIMENSIONS), *(f"l{i}{j}" for i, j in PAIRS), "det"]
+#: Of a group's quartiles: middle and scale of each number.
+SCALES = [f"CAST(q50_{i} AS DOUBLE) AS m{i}" for i in DIMENSIONS] + [f"greatest((q75_{i} - q25_{i}) / 1.349D, {FLOOR[i]}D) AS r{i}" for i in DIMENSIONS]
+#: A row's numbers as a start takes them, as whole numbers: clipped at one and a half scales, divided by the length, as they are.
+SCORES = [f"(x{i} - m{i}) / r{i} AS z{i}" for i in DIMENSIONS]
+LENGTH = "greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in DIMENSIONS) + "), 0.001D) AS z"
+TAKEN = {
+    1: [f"CAST(floor(1000.0D * least(greatest(z{i}, -1.5D), 1.5D) + 0.5D) AS BIGINT)" for i in DIMENSIONS],
+    2: [f"CAST(floor(1000.0D * (z{i} / z) + 0.5D) AS BIGINT)" for i in DIMENSIONS],
+    3: [f"x{i}" for i in DIMENSIONS],
+}
+NO_DETERMINANT = "CAST('Infinity' AS DOUBLE) AS det"
 VERDICT = f"d2 IS NULL OR d2 <= {CUTOFF * CONSISTENT}D"
 
 
@@ -157,11 +189,53 @@ def _quantiles(rows: DataFrame) -> DataFrame:
 
 
 def _thresholds(measured: DataFrame) -> DataFrame:
-    """The least bin with SHARE of its group at or below it."""
-    counts = measured.groupBy("g_lang", "g_source", "bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("g_lang", "g_source")
+    """The least bin with SHARE of its group at or below it, for each start."""
+    counts = measured.groupBy(*GROUP, "k", "bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*GROUP, "k")
     up = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    return up.where(F.col("upto") >= F.lit(SHARE) * F.col("all")).groupBy("g_lang", "g_source").agg(F.min("bin").alias("threshold"))
+    return up.where(F.col("upto") >= F.lit(SHARE) * F.col("all")).groupBy(*GROUP, "k").agg(F.min("bin").alias("threshold"))
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """The estimates that concentration starts from, a row per group and start."""
+    scales = written(_quantiles(vectors).selectExpr(*GROUP, *SCALES), "scales")
+    diagonal = [f"r{i} AS l{i}{i}" if i == j else f"0.0D AS l{i}{j}" for i, j in PAIRS]
+    first = scales.selectExpr(*GROUP, "0 AS k", *[f"m{i}" for i in DIMENSIONS], *diagonal, NO_DETERMINANT)
+    scored = _with_groups(vectors, scales, GROUP).selectExpr("*", *SCORES).selectExpr("*", LENGTH)
+    kinds = [f"struct({k} AS k, {', '.join(f'{e} AS x{i}' for i, e in zip(DIMENSIONS, own, strict=True))})" for k, own in TAKEN.items()]
+    taken = scored.selectExpr(*GROUP, f"explode(array({', '.join(kinds)})) AS t").select(*GROUP, "t.*")
+    moments = written(taken.groupBy(*GROUP, "k").agg(*[F.expr(m) for m in MOMENTS]), "moments").join(scales, GROUP)
+    scaled = _steps(moments.where("k < 3").selectExpr(*GROUP, "k", *[f"m{i}" for i in DIMENSIONS], *_covariance(True)), _triangle())
+    plain = _steps(moments.where("k = 3").selectExpr(*GROUP, "k", *MEAN, *_covariance()), _triangle())
+    others = scaled.drop("det").unionByName(plain.drop("det"), allowMissingColumns=True).selectExpr("*", NO_DETERMINANT)
+    return first.select(*PARAMETERS).unionByName(others.select(*PARAMETERS))
+
+
+def concentrated(vectors: DataFrame) -> DataFrame:
+    """The estimate of each group: of all starts, concentrated until the determinant falls no more, the least.
+
+    A start leaves the rounds when a step does not lessen its determinant, which each step does until nothing changes.
+    """
+    going = written(_starts(vectors), "estimate")
+    ended = []
+    while True:
+        measured = _steps(_with_groups(vectors, going, GROUP), _distance())
+        threshold = written(_thresholds(measured), "threshold")
+        near = _steps(_with_groups(vectors, going.join(threshold, [*GROUP, "k"]), GROUP), _distance()).where("bin <= threshold")
+        # the sums, what is made of them, and the filter on that in plans of their own, each small enough to be compiled
+        moments = written(near.groupBy(*GROUP, "k").agg(*[F.expr(m) for m in MOMENTS]), "moments")
+        after = written(_steps(moments.selectExpr(*GROUP, "k", *MEAN, *_covariance()), _triangle()).select(*PARAMETERS), "after")
+        better = after.join(going.select(*GROUP, "k", F.col("det").alias("before")), [*GROUP, "k"]).where("det < before")
+        now = written(better.select(*PARAMETERS), "estimate")
+        ended.append(going.join(now, [*GROUP, "k"], "left_anti"))
+        for done in (threshold, moments, after):
+            forget(done)
+        if now.isEmpty():
+            break
+        going = now
+    every = reduce(DataFrame.unionByName, ended)
+    least = F.row_number().over(Window.partitionBy(*GROUP).orderBy("det", "k"))
+    return written(every.withColumn("nth", least).where("nth = 1").drop("nth"), "estimate")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -169,22 +243,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Null text has no words and fails the base rules; only rows that pass them are estimated from and judged. Null
     languages and sources count as empty ones. Too small groups are pooled, see LEAST; without a verdict the row is kept
-    and d2 is null. Repeated rows each give a row and count as often. Other columns are ignored; an empty table: no rows.
+    and d2 is null. Repeated rows each give a row and count as often; ties share a bin, and go in or stay out together.
+    Long texts are read whole; their windows are told apart by 64-bit hashes. Other columns are ignored; an empty table: no
+    rows.
     """
     rows = written(statistics(docs.select("doc_id", "text", "lang", "source")), "statistics")
     passed = rows.where("NOT base_failed").selectExpr("lang", "source", *VECTORS)
-    keys = ["g_lang", "g_source"]
     pools = written(_pools(passed), "pools")
-    vectors = written(_with_groups(passed, pools, ["lang", "source"]).select(*keys, *[f"x{i}" for i in DIMENSIONS]), "vectors")
-    estimate = written(_quantiles(vectors).selectExpr(*keys, *START), "estimate")
-    for _ in range(STEPS):
-        threshold = written(_thresholds(_steps(_with_groups(vectors, estimate, keys), _distance())), "threshold")
-        near = _steps(_with_groups(vectors, estimate.join(threshold, keys), keys), _distance()).where("bin <= threshold")
-        moments = near.groupBy(*keys).agg(*[F.expr(m) for m in MOMENTS])
-        estimate = written(_steps(moments, _cholesky()).select(*PARAMETERS), "estimate")
-    final = written(pools.join(estimate, keys), "final")
+    vectors = written(_with_groups(passed, pools, ["lang", "source"]).select(*GROUP, *[f"x{i}" for i in DIMENSIONS]), "vectors")
+    final = written(pools.join(concentrated(vectors), GROUP), "final")
+    forget(vectors)
     judged = _steps(_with_groups(rows.selectExpr("*", *VECTORS_SAFE), final, ["lang", "source"], "left"), _distance())
-    return judged.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", f"(NOT base_failed AND ({VERDICT})) AS kept", "CASE WHEN base_failed THEN NULL ELSE d2 END AS d2")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.selectExpr(*columns, f"(NOT base_failed AND ({VERDICT})) AS kept", "CASE WHEN base_failed THEN NULL ELSE d2 END AS d2")
 
 
 #: The vector where n_words may be 0: such rows fail the base rules, whatever it is.
@@ -224,15 +295,24 @@ def oracle() -> str:
         f"""ups AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, i ORDER BY x) AS upto, sum(n) OVER (PARTITION BY {keys}, i) AS every FROM (SELECT {keys}, i, x, count(*) AS n FROM (
           {" UNION ALL ".join(f"SELECT {keys}, {i} AS i, x{i} AS x FROM vectors" for i in DIMENSIONS)}) GROUP BY ALL))""",
         f"quantiles AS (SELECT {keys}, {', '.join(f'min(x) FILTER (i = {i} AND upto * 4 >= every * {q}) AS q{25 * q}_{i}' for i in DIMENSIONS for q in (1, 2, 3))} FROM ups GROUP BY {keys})",
-        f"estimate0 AS MATERIALIZED (SELECT {keys}, {', '.join(START)} FROM quantiles)",
+        f"scales AS MATERIALIZED (SELECT {keys}, {', '.join(SCALES)} FROM quantiles)",
+        f"scored AS (SELECT *, {LENGTH} FROM (SELECT *, {', '.join(SCORES)} FROM vectors JOIN scales USING (g_lang, g_source)))",
+        "taken AS (" + " UNION ALL ".join(f"SELECT {keys}, {k} AS k, {', '.join(f'{e} AS x{i}' for i, e in zip(DIMENSIONS, own, strict=True))} FROM scored" for k, own in TAKEN.items()) + ")",
+        f"moments AS MATERIALIZED (SELECT {keys}, k, {', '.join(MOMENTS)} FROM taken GROUP BY ALL)",
+        f"scaled AS (SELECT * FROM {chain(f'(SELECT *, {", ".join(_covariance(True))} FROM moments JOIN scales USING (g_lang, g_source) WHERE k < 3)', _triangle())})",
+        f"plain AS (SELECT * FROM {chain(f'(SELECT *, {", ".join(MEAN + _covariance())} FROM moments WHERE k = 3)', _triangle())})",
+    ]
+    shape = [p for p in PARAMETERS if p != "det"]
+    diagonal = [f"r{i} AS l{i}{i}" if i == j else f"0.0D AS l{i}{j}" for i, j in PAIRS]
+    starts = f"SELECT {keys}, 0 AS k, {', '.join(f'm{i}' for i in DIMENSIONS)}, {', '.join(diagonal)} FROM scales UNION ALL SELECT {', '.join(shape)} FROM scaled UNION ALL SELECT {', '.join(shape)} FROM plain"
+    measured = chain("(SELECT * FROM vectors JOIN estimates USING (g_lang, g_source))", _distance())
+    near = f"SELECT * FROM (SELECT *, rank() OVER (PARTITION BY {keys}, k ORDER BY bin) - 1 AS nearer, count(*) OVER (PARTITION BY {keys}, k) AS every FROM {measured}) WHERE nearer < CAST({SHARE} AS DOUBLE) * every"
+    step = f"SELECT {keys}, k, any_value(step) AS step, any_value(det) AS before, {', '.join(MOMENTS)} FROM ({near}) GROUP BY {keys}, k"
+    better = chain(f"(SELECT *, {', '.join(MEAN + _covariance())} FROM ({step}))", _triangle())
+    ctes += [
+        f"estimates AS (SELECT *, {NO_DETERMINANT}, 0 AS step FROM ({starts}) UNION ALL SELECT {', '.join(PARAMETERS)}, step + 1 FROM {better} WHERE det < before)",
+        f"last_ AS (SELECT * FROM estimates QUALIFY row_number() OVER (PARTITION BY {keys}, k ORDER BY step DESC) = 1)",
+        f"least_ AS MATERIALIZED (SELECT * FROM last_ QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY det, k) = 1)",
     ]
-    for s in range(STEPS):
-        ctes += [
-            f"measured{s} AS MATERIALIZED (SELECT * FROM {chain(f'(SELECT * FROM vectors JOIN estimate{s} USING (g_lang, g_source))', _distance())})",
-            f"""threshold{s} AS (SELECT {keys}, min(bin) AS threshold FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}) AS every
-              FROM (SELECT {keys}, bin, count(*) AS n FROM measured{s} GROUP BY ALL)) WHERE upto >= CAST({SHARE} AS DOUBLE) * every GROUP BY {keys})""",
-            f"moments{s} AS (SELECT {keys}, {', '.join(MOMENTS)} FROM measured{s} JOIN threshold{s} USING (g_lang, g_source) WHERE bin <= threshold GROUP BY {keys})",
-            f"estimate{s + 1} AS MATERIALIZED (SELECT {', '.join(PARAMETERS)} FROM {chain(f'moments{s}', _cholesky())})",
-        ]
-    final = chain(f"(SELECT * FROM (SELECT *, {', '.join(VECTORS_SAFE)} FROM rows_) LEFT JOIN (SELECT * FROM pools JOIN estimate{STEPS} USING (g_lang, g_source)) USING (lang, source))", _distance())
-    return _duck(f"WITH {', '.join(ctes)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND ({VERDICT})) AS kept FROM {final}")
+    final = chain(f"(SELECT * FROM (SELECT *, {', '.join(VECTORS_SAFE)} FROM rows_) LEFT JOIN (SELECT * FROM pools JOIN least_ USING (g_lang, g_source)) USING (lang, source))", _distance())
+    return _duck(f"WITH RECURSIVE {', '.join(ctes)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND ({VERDICT})) AS kept FROM {final}")
