@@ -8,19 +8,24 @@ The mixture is a sequence of blocks. A document's place in its source's own stre
 every block holds each source in proportion to its weight; inside a block a second keyed hash permutes the documents.
 
 Expressions only. Token sums are taken per source and bin of the hash, of which a source has BINS; running sums therefore
-see a bounded number of rows however large the source, and documents meet nothing but their source's row.
+see a bounded number of rows however large the source, and documents meet nothing but their source's row. Sources are rows
+too: the bisection asks for sums over all of them, five steps at a time, and only those sums reach the driver.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import WORD, written
+from linkspark.llm.common import WORD, forget, written
 
 #: Bins of a source's hash order, and of the table that places a document in its source's stream.
 BINS, PLACES = 65_536, 64
-STEPS = 40
+#: Steps of the bisection, and how many of them are prepared by one pass over the sources.
+STEPS, AHEAD = 30, 5
 UNIT = float(1 << 60)
 #: Sources of which a broadcast is made; beyond, the join is salted.
 MAX_BROADCAST, SALTS = 20_000, 128
@@ -31,47 +36,89 @@ def _hash(text: str, duck: bool = False) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)" if duck else f"CAST(conv(substr(md5({text}), 1, 15), 16, 10) AS BIGINT)"
 
 
-def _keyed(seed: str, duck: bool = False) -> str:
-    id_text = "coalesce(CAST(doc_id AS VARCHAR), '')" if duck else "coalesce(CAST(doc_id AS STRING), '')"
-    return _hash(f"concat('{seed}:', {id_text})", duck)
+def _row_text(duck: bool = False) -> str:
+    """What tells documents apart: id and text. A null id is empty, a null text a dash."""
+    kind = "VARCHAR" if duck else "STRING"
+    return f"coalesce(CAST(doc_id AS {kind}), ''), ':', coalesce(md5(text), '-')"
 
 
 def measured(docs: DataFrame, seed: str) -> DataFrame:
-    """kept (the whole row), doc_id, source (null as empty), tokens (words, 1 at least) and h, the keyed hash of the id."""
+    """kept (the whole row), doc_id, source (null as empty), tokens (words, 1 at least), row (of id and text) and h, its keyed hash."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.greatest(F.lit(1), words).cast("long").alias("tokens"), F.expr(_keyed(seed)).alias("h"))
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"),
+        "doc_id",
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        F.greatest(F.lit(1), words).cast("long").alias("tokens"),
+        F.expr(f"concat({_row_text()})").alias("row"),
+    )
+    return own.withColumn("h", F.expr(_hash(f"concat('{seed}:', row)")))
+
+
+#: A share to the power of an exponent, and that times its logarithm, as decimals: sums do not depend on the order.
+POWER, LOGGED = "CAST(power(p, e) AS DECIMAL(38,15))", "CAST(power(p, e) * ln(p) AS DECIMAL(38,15))"
+
+
+def _sums(sources: DataFrame, total: float, exponents: list[float]) -> dict[float, tuple[float, float]]:
+    """Of each exponent the sums of POWER and LOGGED over all sources."""
+    asked = sources.select((F.col("t") / F.lit(total)).alias("p"), F.explode(F.array(*map(F.lit, exponents))).alias("e"))
+    rows = asked.groupBy("e").agg(*[F.sum(F.expr(x)).cast("double") for x in (POWER, LOGGED)]).collect()
+    return {r[0]: (r[1], r[2]) for r in rows}
+
+
+def bisected(sources: DataFrame, total: float, meets: Callable[[float, float, float], bool], high: float) -> float:
+    """The end of STEPS halvings of 0 to ``high`` towards the least exponent e with ``meets(e, mass, logged)``."""
+    lo, hi = 0.0, high
+    for _ in range(0, STEPS, AHEAD):
+        spans, middles = [(lo, hi)], []  # all middles that the next steps can come to
+        for _ in range(AHEAD):
+            now = [(a + b) / 2.0 for a, b in spans]
+            middles += now
+            spans = [s for (a, b), m in zip(spans, now, strict=True) for s in ((a, m), (m, b))]
+        known = _sums(sources, total, middles)
+        for _ in range(AHEAD):
+            middle = (lo + hi) / 2.0
+            lo, hi = (lo, middle) if meets(middle, *known[middle]) else (middle, hi)
+    return hi
 
 
 def source_plan(rows: DataFrame, budget: float, repetition: float, entropy: float | None, grain: int) -> DataFrame:
     """A row per source: its tokens, quota, whole passes, first bin left out of the last pass, running sums at PLACES.
 
-    ``rows`` has source, tokens, h. The bisection sees one row with the tokens of every source.
+    ``rows`` has source, tokens, h.
     """
     bins = rows.groupBy("source", F.expr(f"CAST(floor(h / {UNIT}D * {BINS}) AS INT)").alias("bin")).agg(F.sum("tokens").alias("n"))
-    upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bin")))
-    places = F.array(F.lit(0).cast("long"), *[F.coalesce(F.max(F.when(F.col("bin") < (p + 1) * (BINS // PLACES), F.col("upto"))), F.lit(0)) for p in range(PLACES)])
-    sources = upto.groupBy("source").agg(F.sum("n").alias("t"), places.alias("places"))
-    row = sources.agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    row = row.selectExpr("ts", "CAST(aggregate(ts, 0L, (a, x) -> a + x) AS DOUBLE) AS total").selectExpr("ts", "total", f"floor(total * {float(budget)}D) AS wanted")
-    mass = "aggregate(ts, 0.0D, (a, x) -> a + power(x / total, {0}))"
-    most = "power(get(ts, 0) / total, {0}) / " + mass + " * wanted / get(ts, 0)"  # the smallest source is repeated most
-
-    def bisected(meets: str, high: float) -> str:
-        middle = "((s.lo + s.hi) / 2.0D)"
-        step = f"IF({meets.format(middle)}, named_struct('lo', s.lo, 'hi', {middle}), named_struct('lo', {middle}, 'hi', s.hi))"
-        return f"aggregate(sequence(1, {STEPS}), named_struct('lo', 0.0D, 'hi', {high}D), (s, i) -> {step}).hi"
-
-    exponent = bisected(f"{most} <= {float(repetition)}D", 1.0)
-    if entropy is not None:  # weights to the power of more than 1 where the sources as they are have more entropy
-        log_mean = f"aggregate(ts, 0.0D, (a, x) -> a + power(x / total, {{0}}) * ln(x / total)) / {mass}"
-        exponent = f"greatest({exponent}, {bisected(f'ln({mass}) - {{0}} * {log_mean} <= {float(entropy)}D', 16.0)})"
-    row = row.selectExpr("ts", "total", "wanted", f"ceil({exponent} * 1000000D) / 1000000D AS exponent")
-    row = row.selectExpr("total", "wanted", "exponent", f"{mass.format('exponent')} AS mass", f"greatest(1L, CAST(ceil(wanted / {float(grain)}D) AS BIGINT)) AS blocks")
-    one = {k: F.lit(v) for k, v in row.first().asDict().items()}  # a few numbers
-    quota = sources.withColumns(one).selectExpr("source", "t", "places", "exponent", "blocks", "CAST(floor(power(t / total, exponent) / mass * wanted + 0.5D) AS BIGINT) AS quota")
+    upto = written(bins.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bin"))), "bins")
+    up_to_place = [F.coalesce(F.max(F.when(F.col("bin") < (p + 1) * (BINS // PLACES), F.col("upto"))), F.lit(0)) for p in range(PLACES)]
+    places = F.array(F.lit(0).cast("long"), *up_to_place)
+    sources = written(upto.groupBy("source").agg(F.sum("n").alias("t"), places.alias("places")), "sources")
+    total, least = sources.agg(F.sum("t").cast("double"), F.min("t")).first()
+    exponent, mass = 1.0, 1.0
+    wanted = float(int((total or 0.0) * float(budget)))
+
+    def repeated(e: float, mass: float, _: float) -> bool:  # the smallest source is repeated most
+        return (least / total) ** e / mass * wanted / least <= float(repetition)
+
+    def mixed_enough(e: float, mass: float, logged: float) -> bool:
+        return math.log(mass) - e * logged / mass <= float(entropy)
+
+    if total:
+        exponent = bisected(sources, total, repeated, 1.0)
+        if entropy is not None:  # weights to the power of more than 1 where the sources as they are have more entropy
+            exponent = max(exponent, bisected(sources, total, mixed_enough, 16.0))
+        exponent = math.ceil(exponent * 1_000_000.0) / 1_000_000.0
+        mass = _sums(sources, total, [exponent])[exponent][0]
+    blocks = max(1, math.ceil(wanted / float(grain)))
+    share = f"power(t / {total or 1.0!r}D, exponent) / {mass!r}D * {wanted!r}D"
+    quota = sources.withColumns({"exponent": F.lit(exponent), "blocks": F.lit(blocks).cast("long")})
+    quota = quota.selectExpr("source", "t", "places", "exponent", "blocks", f"CAST(floor({share} + 0.5D) AS BIGINT) AS quota")
     quota = quota.selectExpr("*", "CAST(quota DIV t AS INT) AS passes", "quota % t AS rest")
     cut = upto.join(quota.select("source", "rest"), "source").where("upto <= rest").groupBy("source").agg(F.max("bin").alias("last"))
-    return quota.join(cut, "source", "left").selectExpr("source", "t", "quota", "passes", "coalesce(last, -1) AS last", "places", "exponent", "blocks")
+    plan = quota.join(cut, "source", "left").selectExpr("source", "t", "quota", "passes", "coalesce(last, -1) AS last", "places", "exponent", "blocks")
+    out = written(plan, "mixture")
+    forget(upto)
+    forget(sources)
+    return out
 
 
 def mixed(docs: DataFrame, budget: float = 1.0, repetition: float = 1.25, entropy: float | None = None, grain: int = 1_000_000, seed: str = "mix") -> DataFrame:
@@ -81,11 +128,12 @@ def mixed(docs: DataFrame, budget: float = 1.0, repetition: float = 1.25, entrop
     ``budget``: tokens of the mixture as a multiple of those there. ``repetition``: how often a source may be repeated at
     most; below ``budget`` no exponent can meet it, and the exponent is 1. ``entropy``: in nats at most, before repetition.
     ``grain``: tokens of a block. A document counts its words, and 1 if it has none or its text is null. Null ids hash as
-    the empty text; equal ids share a place in the order and are taken or left together. Null sources are one source. A
-    source's part of a pass falls short of its budget by at most one bin of its hash. No rows: no rows.
+    the empty text, with the text beside them; rows equal in id and text share a place in the order and are taken or left
+    together. Null sources are one source. A source's part of a pass falls short of its budget by at most one bin of its
+    hash. Long texts are counted whole; columns of any names are kept in ``kept``. No rows: no rows.
     """
     rows = measured(docs, seed)
-    plan = written(source_plan(rows.select("source", "tokens", "h"), budget, repetition, entropy, grain), "mixture")
+    plan = source_plan(rows.select("source", "tokens", "h"), budget, repetition, entropy, grain)
     if plan.count() <= MAX_BROADCAST:
         placed = rows.join(F.broadcast(plan), "source")
     else:
@@ -94,7 +142,7 @@ def mixed(docs: DataFrame, budget: float = 1.0, repetition: float = 1.25, entrop
     placed = placed.selectExpr("*", f"h / {UNIT}D AS u").selectExpr("*", f"CAST(floor(u * {PLACES}) AS INT) AS place", f"passes + CAST(CAST(floor(u * {BINS}) AS INT) <= last AS INT) AS copies")
     placed = placed.where("copies > 0").selectExpr("*", f"places[place] + (u * {PLACES} - place) * (places[place + 1] - places[place]) AS start", "explode(sequence(0, copies - 1)) AS epoch")
     placed = placed.selectExpr("*", "CAST(least(floor((CAST(epoch AS DOUBLE) * t + start) / greatest(quota, 1) * blocks), blocks - 1) AS BIGINT) AS block")
-    order = _hash(f"concat('{seed}:', CAST(block AS STRING), ':', CAST(epoch AS STRING), ':', coalesce(CAST(doc_id AS STRING), ''))")
+    order = _hash(f"concat('{seed}:', CAST(block AS STRING), ':', CAST(epoch AS STRING), ':', row)")
     return placed.selectExpr("kept", "doc_id", "source", "tokens", "epoch", "block", f"{order} AS order")
 
 
@@ -113,13 +161,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def oracle(budget: float = 1.0, repetition: float = 1.25, grain: int = 1_000_000, seed: str = "mix") -> str:
     """``mixture`` as DuckDB SQL over ``documents``, without an entropy target."""
-    mass = "list_sum(list_transform(ts, lambda x: power(x / total, {0})))"
+    mass = "CAST(list_sum(list_transform(ts, lambda x: CAST(power(x / total, {0}) AS DECIMAL(38,15)))) AS DOUBLE)"
     most = "power(ts[1] / total, {0}) / " + mass + " * wanted / ts[1]"
     middle = "((lo + hi) / 2)"
-    order = _hash("concat('" + seed + ":', CAST(block AS VARCHAR), ':', CAST(epoch AS VARCHAR), ':', coalesce(CAST(doc_id AS VARCHAR), ''))", True)
+    order = _hash("concat('" + seed + ":', CAST(block AS VARCHAR), ':', CAST(epoch AS VARCHAR), ':', row)", True)
     return f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS source, CAST(greatest(1, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)) AS BIGINT) AS n_tokens, {_keyed(seed, True)} AS h FROM documents
+  SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS source, CAST(greatest(1, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)) AS BIGINT) AS n_tokens, row, {_hash(f"concat('{seed}:', row)", True)} AS h FROM (SELECT *, concat({_row_text(True)}) AS row FROM documents)
 ), bins AS (
   SELECT *, sum(n) OVER (PARTITION BY source ORDER BY bin) AS upto FROM (SELECT source, CAST(floor(h / CAST({UNIT} AS DOUBLE) * {BINS}) AS INTEGER) AS bin, sum(n_tokens) AS n FROM d GROUP BY ALL)
 ), sources AS (
