@@ -1,10 +1,10 @@
 """Harmonic packing of token sequences.
 
-Documents are tokenised, ended by a separator and cut: whole capacities first, then the powers of two that are set in the
-rest's length, down to FINEST. Such a piece is exactly capacity / k long for a power of two k, so that k pieces of its
-class fill a sequence. The tail below FINEST goes to the harmonic class of the largest length that holds it, and a
-sequence of that class takes a fixed number of pieces too. Each worker fills its own sequences, knowing at once where a
-piece goes; the few sequences still open at its end are merged first-fit.
+Lengths are partitioned into classes by the reciprocals of the capacity: class k has those over capacity / (k + 1) and up to
+capacity / k, and a sequence of it takes k pieces. Documents are tokenised and ended by a separator. What is left after
+whole capacities is a piece of its class if it all but fills a k-th of a sequence; else a piece of exactly capacity / (k + 1)
+is cut from it, and its rest, which is short, is placed likewise. Each worker fills its own sequences, knowing at once where
+a piece goes; the few sequences still open at its end, one per class at most, are merged first-fit.
 
 Ids come from the library, once per distinct white-space separated chunk and worker: no token of this kind of vocabulary
 crosses white space.
@@ -28,9 +28,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from linkspark.llm.common import small_batches
 
-#: Tails are shorter than this; the classes of tails by how many of them fill a sequence of 2048 ids.
-FINEST = 128
-TAILS = (16, 20, 24, 32, 48, 64, 128, 256, 1024, 2048)
+#: A piece may leave so large a share of its place in a sequence empty. More would cut fewer documents and pad more.
+SLACK = 0.04
 #: Chunks whose ids a worker remembers in a task, and how many of them it keeps then: those it met first, as the frequent
 #: ones are met early.
 MEMO, KEEP = 500_000, 200_000
@@ -55,7 +54,8 @@ class Encoder:
         self.of_words = Tokenizer.from_file(path)
         self.of_words.normalizer = None
         self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        probe = ["Word.", "été,", "Straße", "ÀÖØ", "a"]
+        letters = [chr(c) for c in range(0x100) if ONE_WORD.fullmatch(chr(c))]
+        probe = [*letters, *(f"{c}{c}a." for c in letters), *(f"a{c}," for c in letters), "Word.", "Straße"]
         self.lowers = self._whole(" ".join(probe)) == self._of_words(probe)
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
@@ -132,15 +132,17 @@ def encoder(path: str) -> Encoder:
 
 
 def cuts(n: int, capacity: int) -> list[int]:
-    """Lengths of a document's pieces, in order: whole capacities, falling powers of two, the tail."""
-    out = [capacity] * (n // capacity)
-    rest, size = n % capacity, capacity
-    while size > FINEST:
-        size //= 2
-        if rest >= size:
-            out.append(size)
-            rest -= size
-    return out + [rest] * bool(rest)
+    """Lengths of a document's pieces, in order: whole capacities, then places of falling size, the last all but filled."""
+    out, rest = [capacity] * (n // capacity), n % capacity
+    while rest:
+        k = capacity // rest
+        if rest < (1 - SLACK) * (capacity // k):
+            out.append(capacity // (k + 1))
+            rest -= out[-1]
+        else:
+            out.append(rest)
+            rest = 0
+    return out
 
 
 @dataclass
@@ -158,9 +160,7 @@ class Bins:
 
     def kind(self, length: int) -> int:
         """The class: how many of its pieces fill a sequence."""
-        if length >= FINEST:
-            return self.capacity // length
-        return max(k for k in TAILS if self.capacity // k >= length)
+        return self.capacity // length
 
     def place(self, length: int) -> tuple[int, int, int]:
         """Sequence and offset of a piece, and its class; the class's sequence closes with its last piece."""
@@ -236,11 +236,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int =
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids on demand) of each piece.
 
     ``docs`` (doc_id, text): a null or empty text is the separator alone. Null ids are kept; repeated rows are packed
-    each. Other columns are ignored; an empty table gives no rows. sequence_id is unique, not dense: the worker's number
-    and a count. A sequence is padded to ``capacity`` unless its length is a power of two.
+    each, ties cannot matter, as places go by the order of a worker's rows. Long texts are cut into whole sequences and a
+    rest; their ids are held while they are packed. Other columns are ignored; an empty table gives no rows. sequence_id is
+    unique, not dense: the worker's number and a count. A sequence is padded to ``capacity`` unless its length is a power of
+    two.
     """
-    if capacity & (capacity - 1) or capacity // 16 != FINEST:
-        raise ValueError(f"the capacity must be {16 * FINEST}")
+    if capacity < 2:
+        raise ValueError("a sequence must hold two ids at least")
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     fields = [rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in NAMES), *[T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids]

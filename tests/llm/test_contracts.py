@@ -735,13 +735,15 @@ def test_harmonic_classes():
     for _ in range(20_000):
         n = rng.randint(1, 5000)
         pieces = packing.cuts(n, 2048)
-        assert sum(pieces) == n
+        assert sum(pieces) == n and (len(pieces) > n // 2048 + 1) == (0 < n % 2048 < 0.96 * (2048 // (2048 // (n % 2048 or 1))))
         for p in pieces:
             seq, offset, k = bins.place(p)
             assert offset == fill[seq] and p <= 2048 // k
             fill[seq] += p
             count[seq] += 1
             assert count[seq] <= k and fill[seq] <= 2048
+    closed = [s for s in fill if s not in {o[0] for o in bins.open.values()}]
+    assert sum(fill[s] for s in closed) > 0.96 * 2048 * len(closed) and len(bins.open) < 100
 
 
 # ---- 9
