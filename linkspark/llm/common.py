@@ -57,6 +57,12 @@ def forget(df: DataFrame | None) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver find that the shuffles behind written tables are used no more: Spark then deletes their files, which
+    else would wait for the next full collection of its heap."""
+    spark._jvm.java.lang.System.gc()
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

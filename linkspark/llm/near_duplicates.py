@@ -6,7 +6,8 @@ the rest: of the hashes by which two alike texts are compared, the rarest few of
 verified on the shingle sets, and groups are connected components of what holds.
 
 A node is a distinct shingle set: its FULL smallest 32-bit hashes, which is all of them in all but very long texts, so that
-similarities are exact there, and beyond have a standard error below 0.007. Its SKETCH smallest are the prefix filter's.
+similarities are exact there, and beyond have a standard error below 0.01. Its SKETCH smallest are the prefix filter's. Sets
+are stored once, and sent only where their node has a partner to be compared with.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkspark.llm.common import appended, bounded_sample, forget, fresh, salted_join, small_batches, written
+from linkspark.llm.common import appended, bounded_sample, forget, fresh, release, salted_join, small_batches, written
 from linkspark.llm.components import components
 from linkspark.llm.simhash import CHUNK, _groups, _sorted, hashed, links, majority
 
 #: 32-bit hashes of a node's set, and of the sketch from which pairs are proposed.
-FULL, SKETCH = 4096, 256
+FULL, SKETCH = 2048, 256
 #: How far below the limit a sketch's similarity may be for a pair to be verified: four standard errors.
 MARGIN = 0.1
 #: Nodes of a group that are compared in one task (squared).
@@ -128,49 +129,50 @@ def _alike(similarity: float):
     return run
 
 
-def alike_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b) of ``nodes`` (node long, distinct; full binary; prefix array of long): links whose sets are alike, and which
-    join all that such links join.
+def candidate_groups(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """key, node, i, j of ``nodes`` (node long, distinct; prefix array of long): the groups in which nodes are compared.
 
     Nodes with a hash of their prefixes in common are a group, and every alike pair is in one. Of groups with the same
     members one is compared (count and 128 bits over the members tell). A group of over ``block`` nodes is dealt into
-    blocks, and every pair of blocks is a group of its own. Sets go only to groups of two or more.
+    blocks, and every pair of blocks is a group of its own.
     """
     rows = nodes.select(F.explode("prefix").alias("key"), "node")
+    several = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    met = written(salted_join(rows, several, "key", several).select("key", "node", "n"), "met")
     members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    several = written(rows.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1"), "several")
-    groups = several.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
+    groups = met.groupBy("key").agg(F.first("n").alias("n"), *members).groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
     groups = written(groups.select("key", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "groups")
     forget(several)
     b = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("b")
-    met = salted_join(rows, groups.select("key", "blocks"), "key", groups)
-    of = met.select("key", "node", b, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    dealt = of.select("key", "node", F.greatest("b", "x").alias("i"), F.least("b", "x").alias("j"))
-    return _sorted(dealt.join(nodes.select("node", "full"), "node")).mapInArrow(_alike(similarity), "a long, b long")
+    of = salted_join(met.drop("n"), groups.select("key", "blocks"), "key", groups)
+    of = of.select("key", "node", b, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    out = written(of.select("key", "node", F.greatest("b", "x").alias("i"), F.least("b", "x").alias("j")), "candidates")
+    forget(met)
+    forget(groups)
+    return out
 
 
-def fingerprint_links(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """(a, b) of ``nodes`` (node, fp, full): pairs that SimHash proposes and whose sets are alike.
+def proposed(nodes: DataFrame, radius: int) -> DataFrame:
+    """key, node, i, j of ``nodes`` (node, fp): the pairs that SimHash proposes, as groups of two.
 
     Of each fingerprint one node stands for it: it is compared with the others of its fingerprint, and with those that stand
     for fingerprints within ``radius``.
     """
-    lowest = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    lowest = written(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "firsts")
     linked = links(lowest.select("fp"), radius).select("a", "b")
     ends = [lowest.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in "ab"]
     near = linked.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    counts = nodes.groupBy("fp").agg(F.count("*").alias("n"))
-    same = salted_join(nodes.select("node", "fp"), lowest, "fp", counts).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    sides = [nodes.select(F.col("node").alias(c), F.col("full").alias(f"s{c}")) for c in "ab"]
-    pairs = near.unionByName(same).join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb")
+    same = salted_join(nodes.select("node", "fp"), lowest.select("fp", "first"), "fp", lowest).where("node <> first")
+    pairs = near.unionByName(same.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    keyed = pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node"))
+    return keyed.select("key", "node", F.lit(-1).alias("i"), F.lit(-1).alias("j"))
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [[np.frombuffer(s, np.uint32) for s in batch.column(c).to_pylist()] for c in ("sa", "sb")]
-            hit = [likeness(x, y) >= similarity for x, y in zip(*sets, strict=True)]
-            yield batch.filter(pa.array(hit, pa.bool_())).select(["a", "b"])
 
-    return pairs.mapInArrow(verified, "a long, b long")
+def alike_links(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of ``candidates`` (key, node, i, j): links whose ``sets`` (node, full) are alike, and which join all that such
+    links join inside a group."""
+    own = sets.join(candidates.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("full").alias("full"))
+    return _sorted(candidates.join(own, "node")).mapInArrow(_alike(similarity), "a long, b long")
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +231,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
 
     made = appended(keyed, "made", MADE, make)
     own = written(made.select(*KEY, "doc_id", F.xxhash64("made.full").alias("node"), "made.*"), "sets")
-    nodes = written(own.groupBy("node").agg(F.min(F.struct("full", "prefix", "fp")).alias("r")).select("node", "r.*"), "nodes")
-    edges = written(fingerprint_links(nodes, similarity, radius).unionByName(alike_links(nodes, similarity)), "links")
+    nodes = written(own.groupBy("node").agg(F.min(F.struct("prefix", "fp")).alias("r")).select("node", "r.*"), "nodes")
+    grouped, pairs = candidate_groups(nodes), written(proposed(nodes, radius), "proposed")
+    forget(nodes)
+    release(docs.sparkSession)
+    edges = written(alike_links(grouped.unionByName(pairs), own.select("node", "full"), similarity), "links")
+    forget(grouped)
+    forget(pairs)
+    release(docs.sparkSession)
     roots = written(components(edges), "roots")
     # the smallest row of each node, then of each component, then back to the rows of a node
     smallest_row = F.min(F.struct("null_id", "doc_id", "text_key", "id"))
@@ -242,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     named = salted_join(counted, of_node, "node", first.select("node", "n"))
     is_keeper = F.struct(*KEY) == F.struct("keeper.null_id", "keeper.id", "keeper.text_key")
     out = written(named.select(*KEY, "component", is_keeper.alias("keeper"), "n"), "groups")
-    for done in (own, nodes, edges, roots, first):
+    for done in (own, edges, roots, first):
         forget(done)
     return out
 

@@ -603,7 +603,8 @@ def test_alike_links(spark, block):
     hashes = [near_duplicates.smallest(near_duplicates.all_hashes(t, 5)) for t in texts]
     common, often = np.unique(np.concatenate(hashes), return_counts=True)
     rows = [(i, bytearray(near_duplicates.upper_halves(h)), near_duplicates.prefix(h[: near_duplicates.SKETCH], 0.8, common, often).view(np.int64).tolist()) for i, h in enumerate(hashes)]
-    edges = near_duplicates.alike_links(spark.createDataFrame(rows, "node long, full binary, prefix array<long>"), 0.8, block).collect()
+    nodes = spark.createDataFrame(rows, "node long, full binary, prefix array<long>")
+    edges = near_duplicates.alike_links(near_duplicates.candidate_groups(nodes, block), nodes.select("node", "full"), 0.8).collect()
     sets = [set(simhash.shingles(t, 5)) for t in texts]
     alike = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     near = sum(0.75 < len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.85 for b in range(120) for a in range(b))
@@ -611,6 +612,17 @@ def test_alike_links(spark, block):
     assert joined(len(texts), [(e.a, e.b) for e in edges]) == joined(len(texts), alike)
 
 
+def test_simhash_proposes(spark):
+    """Pairs within the radius, and those of one fingerprint, are compared even without a hash in common."""
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate([5, 5, 5, 4, 1 << 40, -1, -1 ^ 7])], "node long, fp long")
+    found = near_duplicates.proposed(nodes, 3).collect()
+    by_key = defaultdict(set)
+    for r in found:
+        by_key[r.key].add(r.node)
+    assert all(len(g) == 2 and r.i == r.j == -1 for g in by_key.values()) and {frozenset(g) for g in by_key.values()} >= {frozenset(p) for p in ((0, 1), (0, 2), (5, 6))}
+    assert joined(7, [sorted(g) for g in by_key.values()]) == [0, 0, 0, 0, 0, 5, 5]
+
+
 def test_likeness():
     def own(text):
         return np.frombuffer(near_duplicates.upper_halves(near_duplicates.smallest(near_duplicates.all_hashes(text, 5))), np.uint32)
