@@ -1,17 +1,17 @@
-"""Candidate generation: blocking keys, budgeted TF-IDF neighbours, and vector neighbours.
+"""Candidate generation: blocking keys and budgeted TF-IDF neighbours; vector neighbours are in ``vectors``.
 
 Nothing ever crosses a country. Records are (entity_id, name, address, country) rows; pairs are rows too.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import text as tx
-from linkspark.functions.similarity import dot
 
 DIGITS = 6
 
@@ -37,8 +37,16 @@ def blocking_keys(records: DataFrame) -> DataFrame:
     return normal.select("entity_id", country_key(F.col("country")).alias("country"), F.explode(keys).alias("k")).where("k.key <> ''").select("entity_id", "country", "k.kind", "k.key")
 
 
+def large_blocks(left: DataFrame, right: DataFrame, n: int = 20) -> DataFrame:
+    """kind, country, key, pairs of the ``n`` keys that make most pairs: what a bound on pairs would have to look at."""
+    on = ["kind", "country", "key"]
+    sizes = [df.groupBy(*on).agg(F.count("*").alias(c)) for df, c in ((left, "a"), (right, "b"))]
+    return sizes[0].join(sizes[1], on).select(*on, (F.col("a") * F.col("b")).alias("pairs")).orderBy(F.desc("pairs"), *on).limit(n)
+
+
 def key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """source1_id, target_id of the distinct pairs that share a key."""
+    """source1_id, target_id of the distinct pairs that share a key: all of them, however common the key (see
+    ``large_blocks``). A key with many rows on both sides is split by adaptive execution where it is skewed."""
     on = ["kind", "country", "key"]
     a, b = left.withColumnRenamed("entity_id", "source1_id"), right.withColumnRenamed("entity_id", "target_id")
     return a.join(b, on).select("source1_id", "target_id").distinct()
@@ -55,33 +63,46 @@ def index_rows(records: DataFrame, variants: bool) -> DataFrame:
     return records.select("entity_id", country_key(F.col("country")).alias("country"), tx.normalize_address(F.col("business_address")).alias("address"), F.posexplode(names).alias("row", "name"))
 
 
-def term_counts(rows: DataFrame, views: list[str]) -> DataFrame:
-    """entity_id, row, country, view, token, tf. Rows are dealt by entity while they are few: the grouping of their many
-    tokens, and of all that is per entity later, then needs no exchange."""
+def term_counts(rows: DataFrame, views: list[str], tokens: bool = False) -> DataFrame:
+    """entity_id, row, country, view, term (and token on demand), tf.
+
+    A term is the 64-bit hash of country, view and token, by which all joins go; tokens themselves are needed only where they
+    are shown or order ties. Rows are dealt by entity while they are few: the grouping of their many tokens, and of all that
+    is per entity later, then needs no exchange.
+    """
     features = F.array(*[F.struct(F.lit(v).alias("view"), VIEWS[v](F.col("name"), F.col("address")).alias("tokens")) for v in views])
     # a number of partitions keeps adaptive execution from merging what grows so much in the next step
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long = rows.repartition(n, "entity_id").select("entity_id", "row", "country", F.explode(features).alias("f")).select("entity_id", "row", "country", "f.view", F.explode("f.tokens").alias("token"))
-    return long.groupBy("entity_id", "row", "country", "view", "token").agg(F.count("*").alias("tf"))
+    of_view = rows.repartition(n, "entity_id").select("entity_id", "row", "country", F.explode(features).alias("f"))
+    long = of_view.select("entity_id", "row", "country", "f.view", F.explode("f.tokens").alias("token"))
+    long = long.withColumn("term", F.xxhash64("country", "view", "token"))
+    return long.groupBy("entity_id", "row", "country", "view", "term", *["token"] * tokens).agg(F.count("*").alias("tf"))
+
+
+def country_sizes(rows: DataFrame) -> DataFrame:
+    """country, n: index rows of each country."""
+    return rows.groupBy("country").agg(F.count("*").alias("n"))
 
 
 def idf_table(counts: DataFrame, rows: DataFrame) -> DataFrame:
-    """country, view, token, df, n, idf = ln((n + 1) / (df + 1)) + 1, with n the index rows of the country."""
-    df = counts.groupBy("country", "view", "token").agg(F.count("*").alias("df"))
-    n = rows.groupBy("country").agg(F.count("*").alias("n"))
-    return df.join(n, "country").withColumn("idf", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0)
+    """country, view, term (and token where ``counts`` has it), df, n, idf = ln((n + 1) / (df + 1)) + 1, with n the index rows
+    of the country."""
+    df = counts.groupBy("country", "view", "term", *["token"] * ("token" in counts.columns)).agg(F.count("*").alias("df"))
+    return df.join(country_sizes(rows), "country").withColumn("idf", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
 def weighted(counts: DataFrame, idf: DataFrame, unseen: DataFrame | None = None) -> DataFrame:
     """Unit TF-IDF vectors. ``unseen`` (country, n): then tokens that the index lacks count, with a df of 0."""
-    on = ["country", "view", "token"]
+    own = idf.select("term", "df", "idf")
     if unseen is None:
-        joined = counts.join(idf.select(*on, "df", "idf"), on)
+        joined = counts.join(own, "term")
     else:
-        joined = counts.join(idf.select(*on, "df", "idf"), on, "left").join(unseen, "country").withColumns({"idf": F.coalesce("idf", F.log(F.col("n") + 1.0) + 1.0), "df": F.coalesce("df", F.lit(0))})
+        joined = counts.join(own, "term", "left").join(unseen, "country")
+        joined = joined.withColumns({"idf": F.coalesce("idf", F.log(F.col("n") + 1.0) + 1.0), "df": F.coalesce("df", F.lit(0))})
     w = F.col("tf") * F.col("idf")
     norms = joined.groupBy("entity_id", "row", "view").agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    return joined.join(norms, ["entity_id", "row", "view"]).select("entity_id", "row", *on, "df", (w / F.col("norm")).alias("weight"))
+    kept = ["entity_id", "row", "country", "view", "term", *["token"] * ("token" in counts.columns)]
+    return joined.join(norms, ["entity_id", "row", "view"]).select(*kept, "df", (w / F.col("norm")).alias("weight"))
 
 
 def budgeted(queries: DataFrame, budget: int) -> DataFrame:
@@ -112,28 +133,53 @@ def pass_spec(config: dict) -> str:
     return ",".join(f"combined@{int(n[9:]) / 100:g}:{k}" if n.startswith("combined_") else f"{n}:{k}" for n, k in names)
 
 
-def neighbours(queries: DataFrame, index: DataFrame, spec: str, budget: int = 50_000, variants: bool = True, query_variants: bool = False) -> DataFrame:
-    """query_id, index_id, pass, score, rank: each query's best index entities by each pass of ``spec``.
+@dataclass
+class Index:
+    """What a search needs of the records that it looks in: postings (term, view, entity_id, row, weight), IDF, sizes."""
 
-    Scores are cosines of pruned query vectors. An entity's variants count once, with its best score, before the depth is
-    applied; ties go to the smaller id.
-    """
-    passes = parse_passes(spec)
-    views = sorted({v for _, ws, _ in passes for v in ws})
-    rows = index_rows(index, variants)
+    postings: DataFrame
+    idf: DataFrame
+    sizes: DataFrame
+
+
+def built_index(records: DataFrame, views: list[str], variants: bool = True) -> Index:
+    """The index of ``records``, not stored; ``index_store`` writes one and reads it again."""
+    rows = index_rows(records, variants)
     counts = term_counts(rows, views)
     idf = idf_table(counts, rows)
-    n = rows.groupBy("country").agg(F.count("*").alias("n"))
-    on = ["country", "view", "token"]
-    postings = weighted(counts, idf).select(*on, F.col("entity_id").alias("index_id"), F.col("row").alias("index_row"), F.col("weight").alias("y"))
-    asked = budgeted(weighted(term_counts(index_rows(queries, query_variants), views), idf, n), budget).select(*on, F.col("entity_id").alias("query_id"), F.col("row").alias("query_row"), F.col("weight").alias("x"))
+    return Index(weighted(counts, idf), idf, country_sizes(rows))
+
+
+def pass_views(spec: str) -> list[str]:
+    return sorted({v for _, ws, _ in parse_passes(spec) for v in ws})
+
+
+def neighbours(queries: DataFrame, index: DataFrame | Index, spec: str, budget: int = 50_000, variants: bool = True, query_variants: bool = False) -> DataFrame:
+    """query_id, index_id, pass, score, rank: each query's best index entities by each pass of ``spec``.
+
+    ``index``: records, or an index of them. Scores are cosines of pruned query vectors. An entity's variants count once,
+    with its best score, before the depth is applied; ties go to the smaller id.
+    """
+    passes, views = parse_passes(spec), pass_views(spec)
+    if not isinstance(index, Index):
+        index = built_index(index, views, variants)
+    postings = index.postings.where(F.col("view").isin(views))
+    postings = postings.select("term", F.col("entity_id").alias("index_id"), F.col("row").alias("index_row"), F.col("weight").alias("y"))
+    own = weighted(term_counts(index_rows(queries, query_variants), views, tokens=True), index.idf, index.sizes)
+    asked = budgeted(own, budget).select("term", "view", F.col("entity_id").alias("query_id"), F.col("row").alias("query_row"), F.col("weight").alias("x"))
     # one pass over the postings gives all views, and the views give all passes
     sums = [F.sum(F.when(F.col("view") == v, F.col("x") * F.col("y"))).alias(v) for v in views]
-    scored = asked.join(postings, on).groupBy("query_id", "query_row", "index_id", "index_row").agg(*sums)
-    by_pass = F.array(*[F.struct(F.lit(name).alias("pass"), F.lit(k).alias("k"), reduce(lambda a, b: a + b, [F.coalesce(F.col(v), F.lit(0.0)) * w for v, w in ws.items()]).alias("score"), reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in ws]).alias("found")) for name, ws, k in passes])
-    long = scored.select("query_id", "index_id", F.explode(by_pass).alias("p")).where("p.found").groupBy("query_id", "index_id", "p.pass", "p.k").agg(F.round(F.max("p.score"), DIGITS).alias("score"))
+    scored = asked.join(postings, "term").groupBy("query_id", "query_row", "index_id", "index_row").agg(*sums)
+
+    def of_pass(name: str, ws: dict[str, float], k: int) -> Column:
+        score = reduce(lambda a, b: a + b, [F.coalesce(F.col(v), F.lit(0.0)) * w for v, w in ws.items()])
+        found = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in ws])
+        return F.struct(F.lit(name).alias("pass"), F.lit(k).alias("k"), score.alias("score"), found.alias("found"))
+
+    long = scored.select("query_id", "index_id", F.explode(F.array(*[of_pass(*p) for p in passes])).alias("p")).where("p.found")
+    best = long.groupBy("query_id", "index_id", "p.pass", "p.k").agg(F.round(F.max("p.score"), DIGITS).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id", "pass").orderBy(F.desc("score"), "index_id"))
-    return long.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select("query_id", "index_id", "pass", "score", "rank")
+    return best.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select("query_id", "index_id", "pass", "score", "rank")
 
 
 def wide_pairs(long: DataFrame, spec: str, best: bool = False) -> DataFrame:
@@ -147,84 +193,48 @@ def wide_pairs(long: DataFrame, spec: str, best: bool = False) -> DataFrame:
     return pairs.join(long.groupBy("query_id").agg(*top), "query_id")
 
 
-def forward_pairs(source1: DataFrame, targets: DataFrame, spec: str, budget: int = 50_000) -> DataFrame:
+def forward_pairs(source1: DataFrame, targets: DataFrame | Index, spec: str, budget: int = 50_000) -> DataFrame:
     return wide_pairs(neighbours(source1, targets, spec, budget), spec).withColumnsRenamed({"query_id": "source1_id", "index_id": "target_id"})
 
 
-def reverse_pairs(source1: DataFrame, targets: DataFrame, spec: str, budget: int = 50_000) -> DataFrame:
+def reverse_pairs(source1: DataFrame | Index, targets: DataFrame, spec: str, budget: int = 50_000) -> DataFrame:
     """Targets, each name variant a query, against Source 1; columns with rev_, and the target's best and second."""
     wide = wide_pairs(neighbours(targets, source1, spec, budget, variants=False, query_variants=True), spec, best=True)
     names = {"query_id": "target_id", "index_id": "source1_id"} | {c: f"rev_{c}" for c in wide.columns if c not in ("query_id", "index_id")}
     return wide.withColumnsRenamed(names)
 
 
-def exact_cosines(pairs: DataFrame, source1: DataFrame, targets: DataFrame, weight: float = 0.6) -> DataFrame:
-    """source1_id, target_id, cos_name, cos_address, cos_address_char, cos_c1: whole vectors, for given pairs alone."""
-    views = list(VIEWS)
-    index = index_rows(targets, True)
-    idf = idf_table(term_counts(index, views), index)
-    n = index.groupBy("country").agg(F.count("*").alias("n"))
-    on = ["country", "view", "token"]
+def profiles(records: DataFrame, index: Index, views: list[str]) -> DataFrame:
+    """entity_id and a map from term to weight for each view: the whole unit vectors, under the IDF of ``index``."""
+    own = weighted(term_counts(index_rows(records, False), views), index.idf, index.sizes)
+    maps = [F.map_from_entries(F.collect_list(F.when(F.col("view") == v, F.struct("term", "weight")))).alias(f"vec_{v}") for v in views]
+    return own.groupBy("entity_id").agg(*maps)
 
-    def vectors(records: DataFrame, ids: DataFrame, id_name: str, w: str) -> DataFrame:
-        own = index_rows(records.join(ids.withColumnRenamed(id_name, "entity_id"), "entity_id", "left_semi"), False)
-        return weighted(term_counts(own, views), idf, n).select(F.col("entity_id").alias(id_name), *on, F.col("weight").alias(w))
 
-    a = vectors(source1, pairs.select("source1_id").distinct(), "source1_id", "x")
-    b = vectors(targets, pairs.select("target_id").distinct(), "target_id", "y")
-    keyed = pairs.select("source1_id", "target_id").join(a, "source1_id").join(b, ["target_id", *on])
-    sums = keyed.groupBy("source1_id", "target_id").agg(*[F.sum(F.when(F.col("view") == v, F.col("x") * F.col("y"))).alias(f"cos_{v}") for v in views])
-    every = pairs.select("source1_id", "target_id").join(sums, ["source1_id", "target_id"], "left").fillna(0.0, [f"cos_{v}" for v in views])
-    return every.withColumn("cos_c1", weight * F.col("cos_name") + (1 - weight) * F.col("cos_address"))
+def map_dot(a: Column, b: Column) -> Column:
+    """Of two maps from term to weight, null as empty."""
+    shared = F.transform(F.map_entries(a), lambda e: e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
+    return F.coalesce(F.aggregate(shared, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
-# ---- vectors
+def cosine_columns(a: str, b: str, weight: float) -> dict[str, Column]:
+    """cos_name, cos_address, cos_address_char, cos_c1 of two structs of vectors."""
+    own = {f"cos_{v}": map_dot(F.col(f"{a}.vec_{v}"), F.col(f"{b}.vec_{v}")) for v in VIEWS}
+    return own | {"cos_c1": weight * own["cos_name"] + (1 - weight) * own["cos_address"]}
 
 
-def vector_neighbours(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, index_id, emb_rank (from 1), emb_score: exact inner products of (id, country, vector) within a country.
+def exact_cosines(pairs: DataFrame, source1: DataFrame, targets: DataFrame, weight: float = 0.6, index: Index | None = None) -> DataFrame:
+    """source1_id, target_id, cos_name, cos_address, cos_address_char, cos_c1: whole vectors, for given pairs alone.
 
-    A stated query set against the country's rows; the top k is kept per task before it is merged.
+    Each record's vectors are made once and sent to its pairs. ``index``: of the targets, if it is there already.
     """
-    q, x = queries.select(F.col("id").alias("query_id"), "country", F.col("vector").alias("q")), index.select(F.col("id").alias("index_id"), "country", F.col("vector").alias("x"))
-    scored = q.join(x, "country").select("query_id", "index_id", F.round(dot(F.col("q"), F.col("x")), DIGITS).alias("emb_score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("emb_score"), "index_id"))
-    return scored.withColumn("emb_rank", rank).where(F.col("emb_rank") <= k)
-
-
-#: Queries on which probes are chosen, and the recall that they must reach.
-MEASURED, RECALL = 1000, 0.9
-
+    views = list(VIEWS)
+    index = index or built_index(targets, views)
 
-def approximate_neighbours(queries: DataFrame, index: DataFrame, k: int = 10, probes: int | None = None, cells: int = 16, seed: int = 7) -> DataFrame:
-    """As ``vector_neighbours`` within the ``probes`` nearest of ``cells`` centres, taken from the index by a hash.
+    def side(records: DataFrame, id_name: str, alias: str) -> DataFrame:
+        ids = pairs.select(F.col(id_name).alias("entity_id")).distinct()
+        own = profiles(records.join(ids, "entity_id", "left_semi"), index, views)
+        return own.select(F.col("entity_id").alias(id_name), F.struct(*[f"vec_{v}" for v in views]).alias(alias))
 
-    Centres are a bounded sample; every vector is in the cell of its nearest centre, and a query visits several. Without
-    ``probes``: the fewest with which about MEASURED queries reach RECALL against all vectors. Of more queries they are
-    picked by a hash, and two standard errors of their recall are taken off.
-    """
-    centres = index.orderBy(F.xxhash64("id", F.lit(seed))).limit(cells).select(F.col("id").alias("cell"), F.col("vector").alias("c"))
-    listed = F.broadcast(centres.agg(F.collect_list(F.struct("cell", "c")).alias("centres")))
-
-    def near(df: DataFrame, n: int) -> DataFrame:
-        ordered = F.reverse(F.array_sort(F.transform("centres", lambda c: F.struct(dot(F.col("vector"), c["c"]).alias("s"), c["cell"].alias("cell")))))
-        return df.crossJoin(listed).select("id", "country", "vector", F.posexplode(F.slice(ordered, 1, n)).alias("place", "near")).select("id", "country", "vector", "place", "near.cell")
-
-    def measured() -> int:
-        """From the place, in a query's order of cells, of the cell that has each true neighbour."""
-        n = queries.count()
-        asked = queries if n <= MEASURED else queries.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * MEASURED / n))
-        exact = vector_neighbours(asked, index, k).select("query_id", "index_id")
-        at = near(index, 1).select(F.col("id").alias("index_id"), "cell")
-        places = near(asked, cells).select(F.col("id").alias("query_id"), "cell", "place")
-        shares = [F.avg((F.col("place") < p).cast("double")) for p in range(1, cells + 1)]
-        by_query = exact.join(at, "index_id").join(places, ["query_id", "cell"]).groupBy("query_id").agg(*[s.alias(f"r{p}") for p, s in enumerate(shares, 1)])
-        stats = by_query.agg(F.count("*").alias("n"), *[f(f"r{p}").alias(f"{t}{p}") for p in range(1, cells + 1) for t, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
-        less = 2 / max(stats["n"], 1) ** 0.5 if n > MEASURED else 0.0
-        return next((p for p in range(1, cells + 1) if stats["n"] and stats[f"mean{p}"] - less * stats[f"sd{p}"] >= RECALL), cells)
-
-    probes = measured() if probes is None else probes
-    q, x = near(queries, probes).select(F.col("id").alias("query_id"), "country", "cell", F.col("vector").alias("q")), near(index, 1).select(F.col("id").alias("index_id"), "country", "cell", F.col("vector").alias("x"))
-    scored = q.join(x, ["country", "cell"]).select("query_id", "index_id", F.round(dot(F.col("q"), F.col("x")), DIGITS).alias("emb_score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("emb_score"), "index_id"))
-    return scored.withColumn("emb_rank", rank).where(F.col("emb_rank") <= k)
+    joined = pairs.select("source1_id", "target_id").join(side(source1, "source1_id", "x"), "source1_id", "left").join(side(targets, "target_id", "y"), "target_id", "left")
+    return joined.select("source1_id", "target_id", *[c.alias(n) for n, c in cosine_columns("x", "y", weight).items()])

@@ -59,27 +59,40 @@ def score_report(entities: DataFrame, truth: DataFrame, predicted: DataFrame, ro
 def grid_search(scores: DataFrame, entities: DataFrame, truth: DataFrame, grid: list[tuple[bool, float, float]] = GRID) -> DataFrame:
     """one_owner, threshold, top_threshold, macro_f05 of every setting, in one pass over the scores.
 
-    Each pair knows for both owner rules whether it stays and is its entity's best; a setting then keeps it or not, and
-    the counts of all settings of an entity are made at once. Entities without pairs enter by numbers alone.
+    An entity's pairs are counted once for each owner rule and distinct threshold, with its best pairs apart. A setting
+    takes what reaches its threshold, or the best pairs alone if only they reach their own; settings are rows after that, so
+    that nothing grows with their number but a few numbers an entity. Entities without pairs enter by numbers alone.
     """
     pair = ["source1_id", "target_id"]
+    steps = sorted({t for _, t, _ in grid})
     own = F.col("score") == F.max("score").over(Window.partitionBy("target_id"))
-    w = Window.partitionBy("source1_id")
-    known = scores.join(entities.select("source1_id").distinct(), "source1_id", "left_semi").join(truth.select(*pair).distinct().withColumn("true", F.lit(1)), pair, "left")
-    marked = scores.withColumn("own", own).select(*pair, "own").join(known, pair)
-    ranked = marked.withColumns({"top": F.col("score") == F.max("score").over(w), "top_own": F.col("own") & (F.col("score") == F.max(F.when(F.col("own"), F.col("score"))).over(w))})
-    ranked = ranked.where(F.col("score") >= min(t for _, _, t in grid))
-    hits, counts = [], []
-    for i, (owner, t, top) in enumerate(grid):
-        kept = ((F.col("score") >= t) | (F.col("top_own" if owner else "top") & (F.col("score") >= top))) & (F.col("own") if owner else F.lit(True))
-        counts.append(F.count_if(kept).alias(f"n{i}"))
-        hits.append(F.count_if(kept & F.col("true").isNotNull()).alias(f"h{i}"))
-    per_entity = ranked.groupBy("source1_id").agg(*counts, *hits)
-    t = truth.join(entities.select("source1_id").distinct(), "source1_id", "left_semi").select(*pair).distinct().groupBy("source1_id").agg(F.count("*").alias("t"))
-    every = entities.select("source1_id").distinct().join(t, "source1_id", "left").join(per_entity, "source1_id", "left").fillna(0)
-    sums = every.agg(*[F.avg(f05(F.col(f"n{i}"), F.col("t"), F.col(f"h{i}"))).alias(f"f{i}") for i in range(len(grid))])
-    rows = F.array(*[F.struct(F.lit(o).alias("one_owner"), F.lit(t).alias("threshold"), F.lit(top).alias("top_threshold"), F.round(F.col(f"f{i}"), 6).alias("macro_f05")) for i, (o, t, top) in enumerate(grid)])
-    return sums.select(F.explode(rows).alias("r")).select("r.*")
+    ids = entities.select("source1_id").distinct()
+    true = truth.select(*pair).distinct()
+    known = scores.withColumn("own", own).join(ids, "source1_id", "left_semi").join(true.withColumn("hit", F.lit(1)), pair, "left")
+    rules = F.when(F.col("own"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    each = known.select("source1_id", "score", F.coalesce("hit", F.lit(0)).alias("hit"), F.explode(rules).alias("one_owner"))
+    best = each.withColumn("best", F.max("score").over(Window.partitionBy("source1_id", "one_owner")))
+    top = F.col("score") == F.col("best")
+    reach = [(F.count_if(F.col("score") >= t).cast("int"), F.sum(F.when(F.col("score") >= t, F.col("hit")).otherwise(0)).cast("int")) for t in steps]
+    counts = best.groupBy("source1_id", "one_owner").agg(
+        F.first("best").alias("best"),
+        F.array(*[n for n, _ in reach], F.count_if(top).cast("int")).alias("n"),
+        F.array(*[h for _, h in reach], F.sum(F.when(top, F.col("hit")).otherwise(0)).cast("int")).alias("h"),
+    )
+    links = true.groupBy("source1_id").agg(F.count("*").alias("t"))
+    every = ids.join(links, "source1_id", "left").select("source1_id", F.coalesce("t", F.lit(0)).alias("t"), F.explode(F.array(F.lit(False), F.lit(True))).alias("one_owner"))
+    settings = {
+        o: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold"), F.lit(x).alias("top_threshold"), F.lit(steps.index(t)).alias("at")) for i, (owner, t, x) in enumerate(grid) if owner == o])
+        for o in {o for o, _, _ in grid}
+    }
+    asked = F.when(F.col("one_owner"), settings[True]).otherwise(settings[False]) if len(settings) == 2 else next(iter(settings.values()))
+    rows = every.where(F.col("one_owner").isin(list(settings))).join(counts, ["source1_id", "one_owner"], "left")
+    rows = rows.select("one_owner", "t", "best", "n", "h", F.explode(asked).alias("g"))
+    # the place in the arrays of what a setting takes: its threshold's, the best pairs' (the last), or nothing
+    place = F.when(F.col("best") >= F.col("g.threshold"), F.col("g.at")).when(F.col("best") >= F.col("g.top_threshold"), F.lit(len(steps)))
+    taken = rows.select("one_owner", "g.i", "g.threshold", "g.top_threshold", "t", *[F.coalesce(F.get(c, place), F.lit(0)).alias(c) for c in "nh"])
+    means = taken.groupBy("i", "one_owner", "threshold", "top_threshold").agg(F.round(F.avg(f05(F.col("n"), F.col("t"), F.col("h"))), 6).alias("macro_f05"))
+    return means.drop("i")
 
 
 def best_settings(grid: DataFrame, n: int = 10) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import similarity as sm
 from linkspark.functions import text as tx
+from linkspark.functions.hashing import is_validation
 from linkspark.operators.decisions import decide, entity_counts, f05
 
 # The edges of the score histogram.
@@ -34,12 +37,25 @@ def loss_report(scores: DataFrame, truth: DataFrame, entities: DataFrame, target
 
 
 def loss_by_country(entities: DataFrame, truth: DataFrame, decided: DataFrame) -> DataFrame:
-    """country, entities, singletons, loss, share_points: what each country takes from the macro score, in hundredths."""
+    """country, entities, singletons, mean_f05, loss and singleton_loss (sums of 1 - F0.5), and what share of the macro score
+    either takes, in points of a hundred."""
     counts = entity_counts(entities, truth, decided).join(entities.select("source1_id", "country"), "source1_id")
     lost = counts.withColumn("lost", 1 - f05(F.col("n"), F.col("t"), F.col("hits")))
-    by = lost.groupBy("country").agg(F.count("*").alias("entities"), F.count_if(F.col("t") == 0).alias("singletons"), F.sum("lost").alias("sum"))
-    total = F.sum("entities").over(Window.partitionBy())
-    return by.withColumn("total", total).select("country", "entities", "singletons", F.round(F.col("sum") / F.col("entities"), 6).alias("loss"), F.round(100 * F.col("sum") / F.col("total"), 6).alias("share_points"))
+    none = F.col("t") == 0
+    by = lost.groupBy("country").agg(
+        F.count("*").alias("entities"), F.count_if(none).alias("singletons"), F.sum("lost").alias("sum"), F.sum(F.when(none, F.col("lost")).otherwise(0.0)).alias("of_singletons")
+    )
+    total = by.agg(F.sum("entities").alias("total"))
+    return by.crossJoin(F.broadcast(total)).select(
+        "country",
+        "entities",
+        "singletons",
+        F.round(1 - F.col("sum") / F.col("entities"), 6).alias("mean_f05"),
+        F.round("sum", 6).alias("loss"),
+        F.round("of_singletons", 6).alias("singleton_loss"),
+        F.round(100 * F.col("sum") / F.col("total"), 6).alias("share_points"),
+        F.round(100 * F.col("of_singletons") / F.col("total"), 6).alias("singleton_share_points"),
+    )
 
 
 def top_score_histogram(entities: DataFrame, scores: DataFrame) -> DataFrame:
@@ -58,17 +74,36 @@ def contested_targets(scores: DataFrame, floor: float = 0.5) -> DataFrame:
     return owners.agg(F.count("*").alias("targets"), F.count_if(F.col("owners") > 1).alias("contested"), F.round(F.avg((F.col("owners") > 1).cast("double")), 6).alias("share"))
 
 
-def shift_report(sets: dict[str, tuple[DataFrame, DataFrame]], threshold: float) -> DataFrame:
-    """A row per set name of (entities, scores): links per entity, share of empty ones, contested share."""
-    rows = []
-    for name, (entities, scores) in sets.items():
-        decided = decide(scores, threshold).groupBy("source1_id").agg(F.count("*").alias("n"))
-        own = entities.select("source1_id").distinct().join(decided, "source1_id", "left").agg(F.count("*").alias("entities"), F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("links_per_entity"), F.round(F.avg(F.col("n").isNull().cast("double")), 6).alias("empty_share"))
-        rows.append(own.join(contested_targets(scores).select(F.col("share").alias("contested_share"))).select(F.lit(name).alias("set"), "*"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def shift_report(sets: dict[str, tuple[DataFrame, DataFrame]], threshold: float, top: float | None = None, floor: float = 0.0) -> DataFrame:
+    """A row per set of (entities with country, scores) and country: entities, shares of their best scores in the bins of
+    EDGES (one without scores counts as 0), links per entity, share of empty lists, targets wanted with 0.5 or more, and the
+    share of those that several entities want. Scores below ``floor`` are left out, as sets may have different floors.
+
+    All sets go through one plan: the set and the country are keys beside the entity and the target.
+    """
+    tagged = [(e.select(F.lit(name).alias("set"), "country", "source1_id").distinct(), s.select(F.lit(name).alias("set"), *PAIR, "score")) for name, (e, s) in sets.items()]
+    entities, scores = (reduce(DataFrame.unionByName, side) for side in zip(*tagged, strict=True))
+    own = scores.where(F.col("score") >= floor).join(entities, ["set", "source1_id"])
+    by = ["set", "country"]
+    mine = F.col("score") == F.max("score").over(Window.partitionBy(*by, "target_id"))
+    owned_ = own.withColumn("owned", mine).where("owned")
+    best = F.col("score") == F.max("score").over(Window.partitionBy(*by, "source1_id"))
+    chosen = owned_.withColumn("best", best).where((F.col("score") >= threshold) | (F.col("best") & (F.col("score") >= (threshold if top is None else top))))
+    links = chosen.groupBy(*by, "source1_id").agg(F.count("*").alias("links"))
+    top1 = own.groupBy(*by, "source1_id").agg(F.max("score").alias("s"))
+    each = entities.join(links, [*by, "source1_id"], "left").join(top1, [*by, "source1_id"], "left").fillna(0, ["links", "s"])
+    shares = [F.round(F.avg(F.when((F.col("s") >= a) & (F.col("s") < b), 1.0).otherwise(0.0)), 6).alias(f"top_{round(100 * a):03d}") for a, b in zip(EDGES, EDGES[1:], strict=False)]
+    per_entity = each.groupBy(*by).agg(F.count("*").alias("entities"), *shares, F.round(F.avg("links"), 6).alias("links_per_entity"), F.round(F.avg((F.col("links") == 0).cast("double")), 6).alias("empty_share"))
+    owners = own.where(F.col("score") >= 0.5).groupBy(*by, "target_id").agg(F.count_distinct("source1_id").alias("owners"))
+    per_target = owners.groupBy(*by).agg(F.count("*").alias("strong_targets"), F.round(F.avg((F.col("owners") > 1).cast("double")), 6).alias("contested_share"))
+    return per_entity.join(per_target, by, "left").fillna(0, ["strong_targets"])
+
+
+def shift_sets(validation: tuple[DataFrame, DataFrame], test: tuple[DataFrame, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """The three sets of a shift report: validation, the tenth of the test set that the same hash picks, so that as many
+    compete for a target, and the whole test set."""
+    entities, scores = test
+    return {"val": validation, "test_10pct": (entities.where(is_validation(F.col("source1_id"))), scores), "test_all": test}
 
 
 # ---- profiles
@@ -96,7 +131,8 @@ def completeness(records: DataFrame, columns: list[str]) -> DataFrame:
 def distribution(rows: DataFrame, column: str) -> DataFrame:
     """value, n, percent."""
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    total = counts.agg(F.sum("n").alias("all"))
+    return counts.crossJoin(F.broadcast(total)).select("value", "n", F.round(100 * F.col("n") / F.col("all"), 6).alias("percent"))
 
 
 def cross_country(truth: DataFrame, source1: DataFrame, targets: DataFrame) -> DataFrame:
@@ -106,12 +142,21 @@ def cross_country(truth: DataFrame, source1: DataFrame, targets: DataFrame) -> D
 
 
 def reservoir(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """A uniform sample of ``n`` rows by a hash of ``key``: the same in every run and however rows are dealt."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """A uniform sample of ``n`` rows by a keyed hash of ``key``: the same in every run and however rows are dealt. Each task
+    keeps its own ``n`` least before they meet."""
+    return rows.orderBy(F.md5(F.concat(F.col(key), F.lit(f":{seed}")).cast("binary")), key).limit(n)
 
 
-def noise_profile(pairs: DataFrame) -> DataFrame:
-    """Match rates and mean similarities of true pairs (name_a, address_a, country_a, name_b, address_b, country_b)."""
+def postal_confidence(records: DataFrame) -> DataFrame:
+    """country, method (keyword, pattern, none), n, share: how the postal codes of a country's addresses were found."""
+    own = records.select("country", tx.postal(F.col("business_address"), F.col("country"))["method"].alias("method"))
+    counts = own.groupBy("country", "method").agg(F.count("*").alias("n"))
+    total = counts.groupBy("country").agg(F.sum("n").alias("all"))
+    return counts.join(total, "country").select("country", "method", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+
+
+def _profile_values(pairs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Normal texts of true pairs, and the match flags and similarities as expressions over them."""
     n = {s: tx.normalize_plain(F.col(f"name_{s}")) for s in "ab"}
     a = {s: tx.normalize_plain(F.col(f"address_{s}")) for s in "ab"}
     own = pairs.select(*[n[s].alias(f"n{s}") for s in "ab"], *[a[s].alias(f"a{s}") for s in "ab"], *[tx.postal(F.col(f"address_{s}"), F.col(f"country_{s}"))["code"].alias(f"p{s}") for s in "ab"])
@@ -121,9 +166,24 @@ def noise_profile(pairs: DataFrame) -> DataFrame:
         "postal_match": (col("pa") != "") & (col("pa") == col("pb")), "name_levenshtein": sm.levenshtein_ratio(col("na"), col("nb")), "name_jaccard": sm.jaccard(tx.words(col("na")), tx.words(col("nb"))), "name_grams": sm.jaccard(tx.gram_set(col("na")), tx.gram_set(col("nb"))),
         "address_levenshtein": sm.levenshtein_ratio(col("aa"), col("ab")), "address_jaccard": sm.jaccard(tx.words(col("aa")), tx.words(col("ab"))), "address_grams": sm.jaccard(tx.gram_set(col("aa")), tx.gram_set(col("ab"))),
     }
+    return own, values
+
+
+def noise_profile(pairs: DataFrame) -> DataFrame:
+    """Match rates and mean similarities of true pairs (name_a, address_a, country_a, name_b, address_b, country_b)."""
+    own, values = _profile_values(pairs)
     return own.agg(F.count("*").alias("pairs"), *[F.round(F.avg(v.cast("double")), 6).alias(k) for k, v in values.items()])
 
 
+def noise_distribution(pairs: DataFrame, shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """measure, mean, std (of the population), q05, q25, q50, q75, q95 of each similarity of true pairs."""
+    own, values = _profile_values(pairs)
+    kinds = [k for k in values if not k.endswith("_match")]
+    long = own.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), values[k].cast("double").alias("v")) for k in kinds])).alias("x")).select("x.*")
+    quantiles = [F.round(F.percentile("v", F.lit(q)), 6).alias(f"q{round(100 * q):02d}") for q in shares]
+    return long.groupBy("measure").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"), *quantiles)
+
+
 def blocking_simulation(truth: DataFrame, keys: DataFrame) -> DataFrame:
     """kind, recall, marginal (links that no other kind finds), union: of ``keys`` (entity_id, kind, country, key)."""
     kinds = ["first3", "firstword", "soundex", "postal"]

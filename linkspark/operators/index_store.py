@@ -7,10 +7,16 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.operators.blocking import idf_table, index_rows, term_counts, weighted
+from linkspark.operators.blocking import Index, country_sizes, idf_table, index_rows, term_counts, weighted
 
 #: Changes whenever features do.
-FEATURE_VERSION = 1
+FEATURE_VERSION = 2
+#: Stated, as folder names such as country=1 would be read as numbers.
+SCHEMAS = {
+    "postings": "entity_id string, row int, term long, df long, weight double, country string, view string",
+    "idf": "term long, df long, n long, idf double, country string, view string",
+    "sizes": "country string, n long",
+}
 
 
 def manifest(views: list[str], variants: bool, rows: DataFrame) -> dict:
@@ -36,10 +42,18 @@ def build_index(records: DataFrame, path: str, views: list[str], variants: bool
     idf_table(counts, rows).write.mode("overwrite").partitionBy("country", "view").parquet(f"{path}/idf")
     idf = spark.read.parquet(f"{path}/idf")
     weighted(counts, idf).write.mode("overwrite").partitionBy("country", "view").parquet(f"{path}/postings")
+    country_sizes(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
     spark.createDataFrame([(json.dumps(wanted),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")  # last: a broken build has none
     return True
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and IDF; a filter on country or view reads those folders alone."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/idf")
+def load_index(spark: SparkSession, path: str) -> Index:
+    """The stored index, as ``neighbours``, ``exact_cosines`` and ``pair_features`` take it; a filter on country or view reads
+    those folders alone."""
+    return Index(*(spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()))
+
+
+def stored_index(records: DataFrame, path: str, views: list[str], variants: bool = True) -> Index:
+    """The index of ``records`` at ``path``, built there only if it is not there yet."""
+    build_index(records, path, views, variants)
+    return load_index(records.sparkSession, path)

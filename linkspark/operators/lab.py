@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkspark.functions import text as tx
 from linkspark.functions.hashing import lab_set
-from linkspark.operators.candidates import FAR, active, combine, is_rank, select_pairs
+from linkspark.operators.blocking import exact_cosines
+from linkspark.operators.candidates import FAR, active, censor, combine, id_lists, is_rank, select_pairs
 from linkspark.operators.decisions import entity_counts, f05
+from linkspark.sources.tsv import write_tsv
 
 PAIR = ["source1_id", "target_id"]
 # Depths and weights that are tried, and the resamples of the bootstrap.
@@ -107,6 +110,43 @@ def slice_recall(links: DataFrame, found: DataFrame, slices: list[str]) -> DataF
     return marked.select(F.explode(keys).alias("k"), "found").groupBy("k").agg(F.count("*").alias("links"), F.round(F.avg("found"), 6).alias("recall")).select("k.*", "links", "recall")
 
 
+SLICES = ["country", "source", "script", "empty_address", "alias"]
+
+
+def link_slices(truth: DataFrame, entities: DataFrame, targets: DataFrame) -> DataFrame:
+    """source1_id, target_id and SLICES of each true link: the entity's country; the target's source, script (nonlatin,
+    accented or latin), whether its address is empty and its name has an alias marker. A target without a record is latin,
+    without an address."""
+    name = F.coalesce("business_name", F.lit(""))
+    script = F.when(tx.is_nonlatin(name), "nonlatin").when(tx.is_accented(name), "accented").otherwise("latin")
+    records = targets.select(F.col("entity_id").alias("target_id"), "business_name", "business_address")
+    own = truth.select(*PAIR).distinct().join(entities.select("source1_id", "country"), "source1_id").join(records, "target_id", "left")
+    return own.select(
+        *PAIR,
+        "country",
+        F.substring("target_id", 1, 2).alias("source"),
+        script.alias("script"),
+        (F.btrim(F.coalesce("business_address", F.lit(""))) == "").alias("empty_address"),
+        tx.has_alias_marker(name).alias("alias"),
+    )
+
+
+def slice_gains(links: DataFrame, base: DataFrame, trial: DataFrame, slices: list[str] = SLICES) -> DataFrame:
+    """slice, value, links, recall_base, recall_trial, gain, se: recall of true ``links`` (with slice columns) among two sets
+    of pairs. se: of the gain, from the links' own differences."""
+
+    def marked(df: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        return df.join(pairs.select(*PAIR).distinct().withColumn(name, F.lit(1.0)), PAIR, "left").fillna(0.0, [name])
+
+    both = marked(marked(links, base, "base"), trial, "trial")
+    keys = F.array(*[F.struct(F.lit(s).alias("slice"), F.col(s).cast("string").alias("value")) for s in slices])
+    d = F.col("trial") - F.col("base")
+    by = both.select(F.explode(keys).alias("k"), "base", "trial").groupBy("k")
+    out = by.agg(F.count("*").alias("links"), F.avg("base").alias("a"), F.avg("trial").alias("b"), F.stddev_pop(d).alias("sd"))
+    rounded = [F.round(c, 6).alias(n) for n, c in (("recall_base", F.col("a")), ("recall_trial", F.col("b")), ("gain", F.col("b") - F.col("a")), ("se", F.col("sd") / F.sqrt("links")))]
+    return out.select("k.slice", "k.value", "links", *rounded)
+
+
 def gate(entities: DataFrame, truth: DataFrame, pairs: DataFrame, base: dict, trial: dict) -> dict:
     """Whether ``trial`` may replace ``base``: the ceiling's gain exceeds two standard errors, recall does not fall."""
     a, b = (entity_ceilings(entities, truth, pairs, c) for c in (base, trial))
@@ -115,6 +155,33 @@ def gate(entities: DataFrame, truth: DataFrame, pairs: DataFrame, base: dict, tr
     return {"gain": gain, "se": se, "recall_base": recall[0], "recall_trial": recall[1], "passed": gain > 2 * se and recall[1] >= recall[0]}
 
 
+def first_gate(sets: dict[str, DataFrame], truth: DataFrame, pairs: DataFrame, slices: DataFrame, base: dict, trial: dict) -> dict:
+    """The whole first gate over lab sets by name (the one that chose the trial first, then the one that confirms it):
+    ceiling and recall rise in each, the confirming gain is within two standard errors of the chooser's, and no slice of the
+    confirming set loses more recall than two standard errors. ``slices``: true links as ``link_slices`` has them."""
+    report: dict = {name: gate(entities, truth, pairs, base, trial) for name, entities in sets.items()}
+    dev, confirm = (report[name] for name in list(sets)[:2])
+    gap, se = dev["gain"] - confirm["gain"], (dev["se"] ** 2 + confirm["se"] ** 2) ** 0.5
+    own = list(sets.values())[1].select("source1_id")
+    gains = slice_gains(slices.join(own, "source1_id", "left_semi"), select_pairs(pairs, base), select_pairs(pairs, trial))
+    worse = [tuple(r) for r in gains.where(F.col("gain") < -2 * F.col("se")).orderBy("slice", "value").collect()]  # a row per slice at most
+    report |= {"dev_confirm_gap": gap, "gap_se": se, "regressed_slices": worse}
+    return report | {"passed": dev["passed"] and confirm["passed"] and abs(gap) <= 2 * se + 1e-12 and not worse}
+
+
+def export_candidates(entities: DataFrame, lab: str, pairs: DataFrame, config: dict, path: str) -> DataFrame:
+    """Write the candidates of one lab set under a configuration: the list file, and the censored pairs beside it. Returns
+    set, entities, pairs, mean_candidates."""
+    members = entities.where(F.col("lab_set") == lab)
+    kept = select_pairs(pairs.join(members.select("source1_id"), "source1_id", "left_semi"), config)
+    censor(kept, config).write.mode("overwrite").parquet(f"{path}/pairs")
+    found = pairs.sparkSession.read.parquet(f"{path}/pairs")
+    write_tsv(id_lists(members.select(F.col("source1_id").alias("entity_id")), found, "candidate_entity_ids"), f"{path}/candidates")
+    n = found.agg(F.count("*").alias("pairs"))
+    size = members.agg(F.count("*").alias("entities"))
+    return size.crossJoin(n).select(F.lit(lab).alias("set"), "entities", "pairs", F.round(F.col("pairs") / F.greatest("entities", F.lit(1)), 2).alias("mean_candidates"))
+
+
 def missed_links(truth: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:
     """source1_id, target_id, least_rank of true links that were not kept; null where no pass has them at any depth."""
     ranks = [F.coalesce(F.col(c), F.lit(FAR)) for c in pairs.columns if is_rank(c)]
@@ -135,6 +202,31 @@ def two_hops(missed: DataFrame, pairs: DataFrame, rank: str, depth: int = 3) ->
     return missed.select(*PAIR).join(best, "source1_id").where(F.substring("via", 1, 2) != F.substring("target_id", 1, 2))
 
 
+def miss_breakdown(missed: DataFrame, slices: DataFrame) -> DataFrame:
+    """slice, value, misses: of which slices (see ``link_slices``) the missed links are."""
+    keys = F.array(*[F.struct(F.lit(s).alias("slice"), F.col(s).cast("string").alias("value")) for s in SLICES])
+    return missed.select(*PAIR).join(slices, PAIR).select(F.explode(keys).alias("k")).groupBy("k").agg(F.count("*").alias("misses")).select("k.*", "misses")
+
+
+def dotted_share(missed: DataFrame, source1: DataFrame, targets: DataFrame) -> DataFrame:
+    """links, dotted: the share of missed links in which either name writes an abbreviation with dots."""
+    flags = [r.select(F.col("entity_id").alias(i), tx.to_ascii(F.col("business_name")).rlike(tx.DOTTED).alias(n)) for r, i, n in ((source1, "source1_id", "x"), (targets, "target_id", "y"))]
+    own = missed.select(*PAIR).join(flags[0], "source1_id", "left").join(flags[1], "target_id", "left")
+    either = F.coalesce("x", F.lit(False)) | F.coalesce("y", F.lit(False))
+    return own.agg(F.count("*").alias("links"), F.round(F.avg(either.cast("double")), 4).alias("dotted"))
+
+
+def two_hop_cosines(hops: DataFrame, targets: DataFrame, weight: float = 0.6, index=None) -> DataFrame:
+    """misses, q50, q75, q90, ge_50, ge_70, ge_90: of each missed target the best combined cosine with a record through which
+    it may be reached (``two_hops``), as quantiles and shares."""
+    pairs = hops.select(F.col("target_id").alias("source1_id"), F.col("via").alias("target_id")).distinct()
+    cosines = exact_cosines(pairs, targets, targets, weight, index)
+    best = cosines.groupBy("source1_id").agg(F.max("cos_c1").alias("c"))
+    quantiles = [F.round(F.percentile("c", F.lit(q / 100)), 3).alias(f"q{q}") for q in (50, 75, 90)]
+    shares = [F.round(F.avg((F.col("c") >= q / 100).cast("double")), 4).alias(f"ge_{q}") for q in (50, 70, 90)]
+    return best.agg(F.count("*").alias("misses"), *quantiles, *shares)
+
+
 def choose_text_form(entities: DataFrame, truth: DataFrame, forms: dict[str, DataFrame], config: dict) -> str:
     """The form of text whose pairs give the best ceiling: the first, unless another beats it by two standard errors."""
     names = list(forms)

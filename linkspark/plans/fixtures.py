@@ -85,3 +85,61 @@ def same_text_truth(spark: SparkSession, sf: str) -> DataFrame:
 
 SAME_TEXT_SQL = """same AS (SELECT min(a.entity_id) AS source1_id, b.entity_id AS target_id FROM (SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, lang, text FROM documents) a
   JOIN (SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, lang, text FROM documents) b USING (lang, text) WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' GROUP BY b.entity_id)"""
+
+
+# ---- firms: names and addresses on which every rule of normalization acts; SQL says what must come out, by construction
+
+#: How a firm of each kind writes its name, from the names p and q of two parts; and what its normal name, core name and
+#: the sides of its alias are.
+FIRM_KINDS = [
+    ("{p} || ' Ltd.'", "{p} || ' limited'", "{p}", None),
+    ("{p} || ' dba ' || {q}", "{p} || ' dba ' || {q}", "{p} || ' dba ' || {q}", ("{p}", "{q}")),
+    ("'The ' || {p} || ' & Co'", "'the ' || {p} || ' and company'", "{p}", None),
+    ("{p} || ' d/b/a: ' || {q} || ' Inc'", "{p} || ' d b a ' || {q} || ' incorporated'", "{p} || ' d b a ' || {q}", ("{p}", "{q} || ' incorporated'")),
+    ("'Café ' || {p}", "'cafe ' || {p}", "'cafe ' || {p}", None),
+    ("'Дом ' || {p}", "{p}", "{p}", None),
+    ("'J.R. ' || {p} || ', M.D.'", "'jr ' || {p} || ' md'", "'jr ' || {p}", None),
+    ("'www.' || {w} || '.com ' || {p}", "{w} || ' ' || {p}", "{w} || ' ' || {p}", None),
+    ("'हिन्दी ' || {p}", "'hindii ' || {p}", "'hindii ' || {p}", None),
+]
+ACCENTED_KINDS, NONLATIN_KINDS = (4,), (5, 8)
+FIRM_ADDRESS = """CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN (c_custkey % 9 + 1) || ' Main Street, ' || (10000 + c_custkey % 7) WHEN 2 THEN 'No. ' || (c_custkey % 9 + 1) || ' North Road'
+  WHEN 3 THEN (c_custkey % 9 + 1) || ' main st ' || (10000 + c_custkey % 7) ELSE '00' || (c_custkey % 9 + 1) || ' Oak Avenue' END"""
+
+
+def _by_kind(values: list[str], word: str) -> str:
+    return "CASE kind " + " ".join(f"WHEN {k} THEN {v.format(p='p', q='q', w=word)}" for k, v in enumerate(values)) + " END"
+
+
+FIRMS_SQL = f"""firm AS MATERIALIZED (SELECT 'S' || (1 + c_custkey % 3) || '-' || c_custkey AS entity_id, c_custkey % 9 AS kind, a.p_name AS p, b.p_name AS q, lower(c_mktsegment) AS country, {FIRM_ADDRESS} AS business_address
+  FROM customer JOIN part a ON a.p_partkey = c_custkey JOIN part b ON b.p_partkey = c_custkey + 37),
+named AS MATERIALIZED (SELECT entity_id, country, business_address, p, {_by_kind([k[0] for k in FIRM_KINDS], "split_part(p, ' ', 1)")} AS business_name, {_by_kind([k[1] for k in FIRM_KINDS], "split_part(p, ' ', 1)")} AS name, {_by_kind([k[2] for k in FIRM_KINDS], "split_part(p, ' ', 1)")} AS core,
+  list_distinct(list_filter([{_by_kind([k[3][0] if k[3] else "NULL" for k in FIRM_KINDS], '')}, {_by_kind([k[3][1] if k[3] else "NULL" for k in FIRM_KINDS], '')}], lambda x: x IS NOT NULL)) AS sides, kind IN {NONLATIN_KINDS!r} AS nonlatin, kind = {ACCENTED_KINDS[0]} AS accented FROM firm)"""
+
+
+def firms(spark: SparkSession, sf: str) -> DataFrame:
+    """entity_id, business_name, business_address, country, p (the name of the part that a firm's name has)."""
+    a = table(spark, sf, "part").select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("p"))
+    b = table(spark, sf, "part").select((F.col("p_partkey") - 37).alias("c_custkey"), F.col("p_name").alias("q"))
+    own = table(spark, sf, "customer").join(a, "c_custkey").join(b, "c_custkey").withColumn("kind", F.col("c_custkey") % 9)
+    name = _by_kind([k[0] for k in FIRM_KINDS], "substring_index(p, ' ', 1)")
+    return own.selectExpr("concat('S', 1 + c_custkey % 3, '-', c_custkey) AS entity_id", f"{name} AS business_name", f"{FIRM_ADDRESS} AS business_address", "lower(c_mktsegment) AS country", "p")
+
+
+def firm_pairs(rows: DataFrame) -> DataFrame:
+    """source1_id, target_id of firms of one country whose names have the same part."""
+    a, b = (x(rows).select(F.col("entity_id").alias(n), "country", "p") for x, n in ((source1, "source1_id"), (targets, "target_id")))
+    return a.join(b, ["country", "p"]).select("source1_id", "target_id")
+
+
+FIRM_PAIRS_SQL = "pairs AS (SELECT a.entity_id AS source1_id, b.entity_id AS target_id FROM named a JOIN named b USING (country, p) WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%')"
+
+#: Records of the parts as targets of lines, some of them accented, of another script, with an alias, or without address.
+SHOPS_SQL = """shops AS MATERIALIZED (SELECT 'S' || (2 + p_partkey % 2) || '-' || p_partkey AS entity_id, CASE p_partkey % 4 WHEN 0 THEN 'Café ' || p_name WHEN 1 THEN p_name || ' dba other' WHEN 2 THEN 'Дом ' || p_name ELSE 'J.R. ' || p_name END AS business_name,
+  CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE p_type END AS business_address, CASE p_partkey % 4 WHEN 0 THEN 'accented' WHEN 2 THEN 'nonlatin' ELSE 'latin' END AS script, p_partkey % 3 = 0 AS empty_address, p_partkey % 4 = 1 AS alias, p_partkey % 4 = 3 AS dotted FROM part)"""
+
+
+def shops(spark: SparkSession, sf: str) -> DataFrame:
+    name = "CASE p_partkey % 4 WHEN 0 THEN concat('Café ', p_name) WHEN 1 THEN concat(p_name, ' dba other') WHEN 2 THEN concat('Дом ', p_name) ELSE concat('J.R. ', p_name) END AS business_name"
+    address = "CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE p_type END AS business_address"
+    return table(spark, sf, "part").selectExpr("concat('S', 2 + p_partkey % 2, '-', p_partkey) AS entity_id", name, address, "'x' AS country")

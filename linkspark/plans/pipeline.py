@@ -23,11 +23,16 @@ def train(source1: DataFrame, targets: DataFrame, truth: DataFrame, config: dict
     from linkspark.functions.hashing import is_validation
 
     pair = ["source1_id", "target_id"]
-    features = ft.pair_features(block(source1, targets, config), source1, targets).join(truth.select(*pair).distinct().withColumn("label", F.lit(1)), pair, "left").fillna(0, ["label"]).cache()
-    models = mt.train_folds(features, ft.feature_columns(), **options)
-    entities = source1.select(F.col("entity_id").alias("source1_id")).where(~is_validation(F.col("source1_id")))
-    best = dc.best_settings(dc.grid_search(mt.score_pairs(features, ft.feature_columns(), models), entities, truth, dc.OOF_GRID), 1).first()
-    features.unpersist()
+    index = bk.built_index(targets, list(bk.VIEWS))
+    found = ft.pair_features(block(source1, targets, config), source1, targets, index=index)
+    features = found.join(truth.select(*pair).distinct().withColumn("label", F.lit(1)), pair, "left").fillna(0, ["label"]).cache()
+    try:
+        models = mt.train_folds(features, ft.feature_columns(), **options)
+        entities = source1.select(F.col("entity_id").alias("source1_id")).where(~is_validation(F.col("source1_id")))
+        scores = mt.score_pairs(features, ft.feature_columns(), models)
+        best = dc.best_settings(dc.grid_search(scores, entities, truth, dc.OOF_GRID), 1).first()
+    finally:
+        features.unpersist()
     return models, (best.one_owner, best.threshold, best.top_threshold)
 
 

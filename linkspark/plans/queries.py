@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import hashing, similarity as sm, text as tx
-from linkspark.operators import blocking as bk, candidates as cd, decisions as dc, diagnostics as dg, features as ft, lab, matcher as mt
+from linkspark.operators import blocking as bk, candidates as cd, decisions as dc, diagnostics as dg, features as ft, lab, matcher as mt, vectors as vc
 from linkspark.plans import fixtures as fx, sql as q
 from linkspark.sources import tsv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-#: Postings that a query of the fixtures may touch in a view; the passes of the combined search.
-BUDGET, PASSES = 2000, "name:20,address:20,combined@0.6:30"
+#: Postings that a query may touch in a view; the passes of the combined search.
+BUDGET, PASSES = 50_000, "name:20,address:20,combined@0.6:30"
 CONFIG = {"rank_name": 2, "rank_address": 2, "rev_rank_name": 3}
 #: Depths at which the ranks of lines stand in for passes.
 RANK_CONFIG = {"rank_name": 2, "rank_combined_060": 1, "rev_rank_name": 2}
@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 # ---------------------------------------------------------------- text
 
-REC, PAR, SCO, RNK, SAME = fx.RECORDS_SQL, fx.PARTS_SQL, fx.SCORES_SQL, fx.RANKS_SQL, fx.SAME_TEXT_SQL
+REC, PAR, SCO, RNK, SAME, FIRMS, SHOPS = fx.RECORDS_SQL, fx.PARTS_SQL, fx.SCORES_SQL, fx.RANKS_SQL, fx.SAME_TEXT_SQL, fx.FIRMS_SQL, fx.SHOPS_SQL
 BASE = f"""{REC}, base AS MATERIALIZED (SELECT entity_id, lower(trim(country)) AS country, {q.normalize_name('business_name')} AS name, {q.normalize_address('business_address')} AS address FROM rec),
 bones AS MATERIALIZED (SELECT *, {q.skeleton('name')} AS name_skeleton, {q.skeleton('address')} AS address_skeleton FROM base)"""
 
@@ -49,10 +49,13 @@ def q_core_name(spark, sf):
     return fx.records(spark, sf).select("entity_id", tx.core_name(F.col("business_name")).alias("core"))
 
 
-@query(f"WITH {REC} SELECT entity_id, 1 AS n_variants, {q.normalize_name('business_name')} AS variants FROM rec")
+@query(f"WITH {FIRMS} SELECT entity_id, name, core, 1 + len(sides) AS n_variants, array_to_string(list_concat([name], list_sort(sides)), '|') AS variants FROM named")
 def q_name_variants(spark, sf):
-    v = fx.records(spark, sf).select("entity_id", tx.name_variants(F.col("business_name")).alias("v"))
-    return v.select("entity_id", F.size("v").alias("n_variants"), F.array_join("v", "|").alias("variants"))
+    """Firms whose names have aliases, legal forms, credentials with dots, domains and other scripts."""
+    n = F.col("business_name")
+    v = fx.firms(spark, sf).select("entity_id", tx.normalize_name(n).alias("name"), tx.core_name(n).alias("core"), tx.name_variants(n).alias("v"))
+    sides = F.concat(F.slice("v", 1, 1), F.array_sort(F.slice("v", 2, 2)))
+    return v.select("entity_id", "name", "core", F.size("v").cast("long").alias("n_variants"), F.array_join(sides, "|").alias("variants"))
 
 
 @query(f"WITH {REC} SELECT entity_id, {q.normalize_address('business_address')} AS address FROM rec")
@@ -137,6 +140,12 @@ def q_key_block_report(spark, sf):
     return pairs.agg(F.count("*").alias("candidate_pairs")).join(found).join(sizes).select("candidate_pairs", F.round("recall", 6).alias("recall"), F.round(1 - F.col("candidate_pairs") / (F.col("a") * F.col("b")), 6).alias("reduction_ratio"))
 
 
+@query(f"WITH {KEYS}, s AS (SELECT kind, country, key, count(*) FILTER (entity_id LIKE 'S1-%') AS a, count(*) FILTER (entity_id NOT LIKE 'S1-%') AS b FROM keys GROUP BY ALL) SELECT kind, country, key, a * b AS pairs FROM s WHERE a > 0 AND b > 0 ORDER BY pairs DESC, kind, country, key LIMIT 20")
+def q_large_blocks(spark, sf):
+    keys = bk.blocking_keys(fx.records(spark, sf))
+    return bk.large_blocks(fx.source1(keys), fx.targets(keys))
+
+
 @query(f"""WITH {KEYS}, {SAME}, found AS (SELECT DISTINCT source1_id, target_id, a.kind FROM same JOIN keys a ON a.entity_id = source1_id JOIN keys b ON b.entity_id = target_id AND a.kind = b.kind AND a.country = b.country AND a.key = b.key),
 per AS (SELECT source1_id, target_id, coalesce(list(kind) FILTER (kind IS NOT NULL), []) AS kinds FROM same LEFT JOIN found USING (source1_id, target_id) GROUP BY ALL)
 SELECT kind, round(avg((list_contains(kinds, kind))::INT), 6) AS recall, round(avg((list_contains(kinds, kind) AND len(kinds) = 1)::INT), 6) AS marginal, round(avg((len(kinds) > 0)::INT), 6) AS "union" FROM per, (SELECT unnest(['first3', 'firstword', 'soundex', 'postal']) AS kind) GROUP BY kind""")
@@ -176,7 +185,7 @@ long AS MATERIALIZED (SELECT query_id, index_id, pass, score, CAST(rank AS INTEG
 @query(f"WITH {_vectors(['name', 'address'])}, n AS (SELECT country, count(*) AS n FROM base GROUP BY 1) SELECT country, view, token, count(*) AS df, round(ln((n + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1, 6) AS idf FROM terms JOIN n USING (country) GROUP BY country, view, token, n")
 def q_token_df_idf(spark, sf):
     rows = bk.index_rows(fx.records(spark, sf), True)
-    return bk.idf_table(bk.term_counts(rows, ["name", "address"]), rows).select("country", "view", "token", "df", F.round("idf", 6).alias("idf"))
+    return bk.idf_table(bk.term_counts(rows, ["name", "address"], tokens=True), rows).select("country", "view", "token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_vectors(['name'])}, {_weights('iv', S23, S23)} SELECT entity_id, view, count(*) AS tokens, round(max(weight), 6) AS heaviest FROM iv GROUP BY ALL")
@@ -189,10 +198,9 @@ def q_tfidf_vectors(spark, sf):
 @query(f"WITH {_search(['name'], [('name', {'name': 1.0}, 20)], S1, S23)} SELECT entity_id, view, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS postings FROM pruned GROUP BY ALL")
 def q_budgeted_query(spark, sf):
     rows = fx.records(spark, sf)
-    index = bk.index_rows(fx.targets(rows), True)
-    counts = bk.term_counts(index, ["name"])
-    asked = bk.term_counts(bk.index_rows(fx.source1(rows), False), ["name"])
-    kept = bk.budgeted(bk.weighted(asked, bk.idf_table(counts, index), index.groupBy("country").agg(F.count("*").alias("n"))), BUDGET)
+    index = bk.built_index(fx.targets(rows), ["name"])
+    asked = bk.term_counts(bk.index_rows(fx.source1(rows), False), ["name"], tokens=True)
+    kept = bk.budgeted(bk.weighted(asked, index.idf, index.sizes), BUDGET)
     return kept.groupBy("entity_id", "view").agg(F.count("*").alias("tokens"), F.sum("df").alias("postings"))
 
 
@@ -255,21 +263,21 @@ def _vector_sides(spark, sf):
 
 @query(f"WITH {VEC} SELECT query_id, index_id, emb_score, row_number() OVER w::INTEGER AS emb_rank FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY emb_score DESC, index_id) QUALIFY row_number() OVER w <= 10".replace("row_number() OVER w::INTEGER", "CAST(row_number() OVER w AS INTEGER)"))
 def q_vec_topk_exact(spark, sf):
-    return bk.vector_neighbours(*_vector_sides(spark, sf))
+    return vc.vector_neighbours(*_vector_sides(spark, sf))
 
 
 @query()
 def q_vec_topk_approximate(spark, sf):
-    return bk.approximate_neighbours(*_vector_sides(spark, sf))
+    return vc.approximate_neighbours(*_vector_sides(spark, sf))
 
 
 @query()
 def q_vec_tuning(spark, sf):
-    """Recall of the approximate search by the number of probed cells."""
-    exact = bk.vector_neighbours(*_vector_sides(spark, sf)).select("query_id", "index_id").cache()
+    """Recall of the approximate search by the number of probed cells of 16."""
+    exact = vc.vector_neighbours(*_vector_sides(spark, sf)).select("query_id", "index_id")
     out = None
     for probes in (1, 2, 4, 8, 16):
-        found = bk.approximate_neighbours(*_vector_sides(spark, sf), probes=probes).select("query_id", "index_id", F.lit(1.0).alias("hit"))
+        found = vc.approximate_neighbours(*_vector_sides(spark, sf), probes=probes, cells=16).select("query_id", "index_id", F.lit(1.0).alias("hit"))
         one = exact.join(found, ["query_id", "index_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall")).select(F.lit(probes).alias("probes"), "recall")
         out = one if out is None else out.unionByName(one)
     return out
@@ -475,45 +483,116 @@ def q_text_similarities(spark, sf):
     return _sides(spark, sf).select("source1_id", "target_id", *[F.round(c, 6).alias(x) for x, c in r.items()])
 
 
-@query()
-def q_fuzzy_ratios(spark, sf):
-    r = {name: sm.UDFS[scorer](*_in_both(field)) for name, (scorer, field) in ft.FUZZY.items()}
-    return _sides(spark, sf).select("source1_id", "target_id", *[F.round(c, 6).alias(x) for x, c in r.items()])
+TEXTS = {"name": ("an", "bn"), "name_skeleton": ("ask", "bsk"), "address": ("aa", "ba"), "address_skeleton": ("aas", "bas")}
+EDITS = {n: v for n, v in ft.FUZZY.items() if v[0] in ("ratio", "token_sort", "token_set", "lcs")}
 
 
-NUMS = "list_filter(string_split({0}, ' '), lambda t: regexp_full_match(t, '[0-9]+'))"
+@query(f"WITH {PNORM} SELECT source1_id, target_id, {', '.join(f'round({q.SCORERS[scorer](*TEXTS[field])}, 6) AS {n}' for n, (scorer, field) in EDITS.items())} FROM sides")
+def q_fuzzy_ratios(spark, sf):
+    own = _sides(spark, sf).select("source1_id", "target_id", ft.fuzzy_struct().alias("f")).select("source1_id", "target_id", "f.*")
+    return own.select("source1_id", "target_id", *[F.round(n, 6).alias(n) for n in EDITS])
+
+
+@query(f"WITH {PNORM} SELECT source1_id, target_id, round(100 * jaro_winkler_similarity(an, bn), 6) AS name_jaro_winkler, an = bn OR strpos(an, bn) > 0 OR strpos(bn, an) > 0 AS name_inside, aa = ba OR strpos(aa, ba) > 0 OR strpos(ba, aa) > 0 AS address_inside FROM sides")
+def q_partial_ratios(spark, sf):
+    """Best stretches: a partial ratio is 100 exactly where one text is a stretch of the other, see also the tests."""
+    own = _sides(spark, sf).select("source1_id", "target_id", ft.fuzzy_struct().alias("f")).select("source1_id", "target_id", "f.*")
+    return own.select("source1_id", "target_id", F.round("name_jaro_winkler", 6).alias("name_jaro_winkler"), (F.col("name_partial") == 100).alias("name_inside"), (F.col("address_partial") == 100).alias("address_inside"))
+
+
+#: The features of words and numbers over ``sides`` (an, ac, aa, ask: name, core, address and name skeleton of the entity; b of the target).
+NO_MATCH, LEGAL = -1.0, [w for w in tx.LEGAL_WORDS if w not in ("the", "and")]
+TOKEN_SQL = {
+    "core_equal": "(ac = bc)::INT::DOUBLE", "first_core_equal": "(ac <> '' AND split_part(ac, ' ', 1) = split_part(bc, ' ', 1))::INT::DOUBLE",
+    "name_words_s1": "len(list_filter(string_split(ask, ' '), lambda w: w <> ''))::DOUBLE", "name_words_target": "len(list_filter(string_split(bsk, ' '), lambda w: w <> ''))::DOUBLE",
+    "legal_s1": "(len(al) > 0)::INT::DOUBLE", "legal_target": "(len(bl) > 0)::INT::DOUBLE", "legal_conflict": "(len(al) > 0 AND len(bl) > 0 AND NOT list_has_any(al, bl))::INT::DOUBLE",
+    "address_missing_s1": "(aa = '')::INT::DOUBLE", "address_missing_target": "(ba = '')::INT::DOUBLE",
+    "number_jaccard": f"round(CASE WHEN len(x) + len(y) = 0 THEN -1.0::DOUBLE ELSE {q.jaccard('x', 'y')} END, 6)", "first_number_equal": "coalesce(x[1] = y[1], false)::INT::DOUBLE",
+    "first_number_log_gap": "round(coalesce(ln(1 + abs(substr(x[1], 1, 9)::BIGINT - substr(y[1], 1, 9)::BIGINT)), -1.0::DOUBLE), 6)",
+    "target_non_ascii": "(bnl OR bacc)::INT::DOUBLE", "target_source3": "(target_id LIKE 'S3%')::INT::DOUBLE", "target_nonlatin_script": "bnl::INT::DOUBLE", "target_accented": "bacc::INT::DOUBLE", "embedding_triggered": "bnl::INT::DOUBLE",
+    "has_alias": "balias::INT::DOUBLE",
+    "core_containment": "round(len(list_intersect(string_split(ac, ' '), string_split(bc, ' ')))::DOUBLE / least(len(list_distinct(string_split(ac, ' '))), len(list_distinct(string_split(bc, ' ')))), 6)",
+    "postal_equal": "CASE WHEN len(xp) > 0 AND len(yp) > 0 THEN list_has_any(xp, yp)::INT::DOUBLE ELSE -1.0::DOUBLE END",
+    "first_house_number_equal": "CASE WHEN len(xh) > 0 AND len(yh) > 0 THEN (xh[1] = yh[1])::INT::DOUBLE ELSE -1.0::DOUBLE END",
+}
+_NUMBERS = "list_filter(string_split({0}, ' '), lambda t: regexp_full_match(t, '[0-9]+'))"
+_LEGAL = "list_filter(string_split({0}, ' '), lambda t: " + q.in_list("t", LEGAL) + ")"
+_LISTED = f"""numbered AS (SELECT *, {_NUMBERS.format('aa')} AS x, {_NUMBERS.format('ba')} AS y, {_LEGAL.format('an')} AS al, {_LEGAL.format('bn')} AS bl FROM sides),
+listed_ AS (SELECT *, list_filter(x, lambda t: length(t) IN (5, 6)) AS xp, list_filter(y, lambda t: length(t) IN (5, 6)) AS yp, list_filter(x, lambda t: length(t) <= 4) AS xh, list_filter(y, lambda t: length(t) <= 4) AS yh FROM numbered)"""
+FIRM_SIDES = f"""{FIRMS}, {fx.FIRM_PAIRS_SQL}, normal AS MATERIALIZED (SELECT *, {q.normalize_address('business_address')} AS address, {q.skeleton('name')} AS sk FROM named),
+sides AS (SELECT source1_id, target_id, a.name AS an, b.name AS bn, a.core AS ac, b.core AS bc, a.address AS aa, b.address AS ba, a.sk AS ask, b.sk AS bsk, b.nonlatin AS bnl, b.accented AS bacc, len(b.sides) > 0 AS balias FROM pairs JOIN normal a ON a.entity_id = source1_id JOIN normal b ON b.entity_id = target_id)"""
+PART_SIDES = f"""{PNORM.replace('sides AS (', 'plain_sides AS (')}, sides AS (SELECT *, an AS ac, bn AS bc, false AS bnl, false AS bacc, false AS balias FROM plain_sides)"""
+
+
+def _shown(f: dict) -> list:
+    """Features as the SQL has them: six digits, and -1 where there is nothing to agree."""
+    return [F.round(F.coalesce(c, F.lit(NO_MATCH)), 6).alias(n) for n, c in f.items()]
+
+
+@query(f"WITH {FIRM_SIDES}, {_LISTED} SELECT source1_id, target_id, {', '.join(f'{e} AS {n}' for n, e in TOKEN_SQL.items())} FROM listed_")
+def q_token_features(spark, sf):
+    """All of them, on firms with legal forms, aliases, other scripts, postal codes and house numbers."""
+    rows = fx.firms(spark, sf)
+    normal = ft.normalized_records(rows)
+    a, b = (normal.select(F.col("id").alias(n), F.struct(*ft.RECORD).alias(s)) for n, s in (("source1_id", "a"), ("target_id", "b")))
+    sides = fx.firm_pairs(rows).join(a, "source1_id").join(b, "target_id")
+    return sides.select("source1_id", "target_id", *_shown(ft.token_features()))
 
 
-@query(f"""WITH {PNORM}, n AS (SELECT *, {NUMS.format('aa')} AS x, {NUMS.format('ba')} AS y FROM sides) SELECT source1_id, target_id, CASE WHEN an = bn THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS core_equal, len(string_split(ask, ' '))::DOUBLE AS name_words_s1, CASE WHEN ba = '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS address_missing_target,
-round(CASE WHEN len(x) + len(y) = 0 THEN -1.0::DOUBLE ELSE {q.jaccard('x', 'y')} END, 6) AS number_jaccard, CASE WHEN x[1] = y[1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS first_number_equal, round(coalesce(ln(1 + abs(substr(x[1], 1, 9)::BIGINT - substr(y[1], 1, 9)::BIGINT)), -1.0::DOUBLE), 6) AS first_number_log_gap,
-CASE WHEN target_id LIKE 'S3%' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target_source3, round(len(list_intersect(string_split(an, ' '), string_split(bn, ' ')))::DOUBLE / least(len(list_distinct(string_split(an, ' '))), len(list_distinct(string_split(bn, ' ')))), 6) AS core_containment FROM n""")
-def q_token_features(spark, sf):
-    f = ft.token_features()
-    names = ["core_equal", "name_words_s1", "address_missing_target", "number_jaccard", "first_number_equal", "first_number_log_gap", "target_source3", "core_containment"]
-    return _sides(spark, sf).select("source1_id", "target_id", *[F.round(f[n], 6).alias(n) if n in ("number_jaccard", "first_number_log_gap", "core_containment") else f[n].alias(n) for n in names])
+def _idf_sql(view: str, a: str, b: str) -> str:
+    """The IDF overlap of skeleton words of parts, over ``sides``."""
+    return f"""w_{view} AS (SELECT country, unnest(list_distinct(string_split({view}_skeleton, ' '))) AS token FROM bones WHERE {S23}), n_{view} AS (SELECT country, count(*) AS n FROM bones WHERE {S23} GROUP BY 1),
+i_{view} AS (SELECT country, token, ln((n + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM w_{view} JOIN n_{view} USING (country) GROUP BY country, token, n),
+p_{view} AS (SELECT source1_id, target_id, country, token, max(a)::INT AS a, max(b)::INT AS b FROM (SELECT source1_id, target_id, country, unnest(list_distinct(string_split({a}, ' '))) AS token, true AS a, false AS b FROM sides UNION ALL SELECT source1_id, target_id, country, unnest(list_distinct(string_split({b}, ' '))), false, true FROM sides) GROUP BY ALL),
+x_{view} AS (SELECT p.*, coalesce(idf, ln(n + 1.0::DOUBLE) + 1) AS i FROM p_{view} p JOIN n_{view} USING (country) LEFT JOIN i_{view} USING (country, token)),
+o_{view} AS MATERIALIZED (SELECT source1_id, target_id, round(coalesce(sum(i) FILTER (a + b = 2), 0) / sum(i), 6) AS {view}_idf_jaccard, round(coalesce(sum(i) FILTER (a + b = 2), 0), 6) AS {view}_idf_shared, round(coalesce(max(i) FILTER (b = 0), 0), 6) AS {view}_idf_missing_max, round(coalesce(max(i) FILTER (a = 0), 0), 6) AS {view}_idf_extra_max FROM x_{view} GROUP BY ALL)"""
 
 
-@query(f"""WITH {PNORM}, words AS (SELECT country, unnest(list_distinct(string_split(name_skeleton, ' '))) AS token FROM bones WHERE {S23}), n AS (SELECT country, count(*) AS n FROM bones WHERE {S23} GROUP BY 1), idf AS (SELECT country, token, ln((n + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM words JOIN n USING (country) GROUP BY country, token, n),
-w AS (SELECT source1_id, target_id, country, token, max(a)::INT AS a, max(b)::INT AS b FROM (SELECT source1_id, target_id, country, unnest(list_distinct(string_split(ask, ' '))) AS token, true AS a, false AS b FROM sides UNION ALL SELECT source1_id, target_id, country, unnest(list_distinct(string_split(bsk, ' '))), false, true FROM sides) GROUP BY ALL),
-x AS (SELECT w.*, coalesce(idf, ln(n + 1.0::DOUBLE) + 1) AS i FROM w JOIN n USING (country) LEFT JOIN idf USING (country, token))
-SELECT source1_id, target_id, round(coalesce(sum(i) FILTER (a + b = 2), 0) / sum(i), 6) AS name_idf_jaccard, round(coalesce(sum(i) FILTER (a + b = 2), 0), 6) AS name_idf_shared, round(coalesce(max(i) FILTER (b = 0), 0), 6) AS name_idf_missing_max, round(coalesce(max(i) FILTER (a = 0), 0), 6) AS name_idf_extra_max FROM x GROUP BY ALL""")
+@query(f"WITH {PNORM}, {_idf_sql('name', 'ask', 'bsk')} SELECT * FROM o_name")
 def q_idf_overlap(spark, sf):
     rows = bk.index_rows(fx.targets(fx.parts(spark, sf)), True)
-    idf = bk.idf_table(bk.term_counts(rows, ["name"]), rows).where("token LIKE 'w%'").select("country", F.substring("token", 2, 1 << 20).alias("token"), "idf", "n")
+    idf = bk.idf_table(bk.term_counts(rows, ["name"], tokens=True), rows).where("token LIKE 'w%'").select("country", F.substring("token", 2, 1 << 20).alias("token"), "idf", "n")
     split = _sides(spark, sf).select("source1_id", "target_id", F.col("a.country").alias("country"), tx.words(F.col("a.name_skeleton")).alias("x"), tx.words(F.col("b.name_skeleton")).alias("y"))
     out = ft.idf_overlap(split, "x", "y", "country", idf, "name")
     return out.select("source1_id", "target_id", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
+COSINE_CTES = f"""{{0}}, {_weights('av', S23, S1)}, {_weights('bv', S23, S23)},
+c AS (SELECT source1_id, target_id, {', '.join(f"sum(x.weight * y.weight) FILTER (x.view = '{v}') AS {v}" for v in VIEWS3)} FROM pairs JOIN av x ON x.entity_id = source1_id JOIN bv y ON y.entity_id = target_id AND x.country = y.country AND x.view = y.view AND x.token = y.token GROUP BY ALL),
+cosines AS MATERIALIZED (SELECT source1_id, target_id, {', '.join(f"round(coalesce({v}, 0), 6) AS cos_{v}" for v in VIEWS3)}, round(0.6::DOUBLE * coalesce(name, 0) + (1 - 0.6::DOUBLE) * coalesce(address, 0), 6) AS cos_c1 FROM pairs LEFT JOIN c USING (source1_id, target_id))"""
+IDF_NAMES = [f"{v}_idf_{x}" for v in ("name", "address") for x in ("jaccard", "shared", "missing_max", "extra_max")]
+PLAIN_FEATURES = [*TOKEN_SQL, *IDF_NAMES, *ft.COSINES, *EDITS, "skeleton_levenshtein", "blend", "group_size", "group_strong_names"]
+PART_VECTORS = _vectors(VIEWS3, PBASE)
+
+
+def _unrounded(sql: str) -> str:
+    """With twelve digits: the operator's floats are rounded after they are floats, not before."""
+    return sql.replace(", 6)", ", 12)")
+
+
+@query(f"""WITH {PART_VECTORS}, {PART_SIDES.removeprefix(PBASE + ', ')}, {_unrounded(COSINE_CTES.format('one_ AS (SELECT 1)'))}, {_unrounded(_idf_sql('name', 'ask', 'bsk'))}, {_unrounded(_idf_sql('address', 'aas', 'bas'))}, {_LISTED},
+f AS MATERIALIZED (SELECT source1_id, target_id, {', '.join(f'{_unrounded(e)} AS {n}' for n, e in TOKEN_SQL.items())}, {', '.join(f'{q.SCORERS[scorer](*TEXTS[field])} AS {n}' for n, (scorer, field) in EDITS.items())},
+  CASE WHEN greatest(length(ask), length(bsk)) = 0 THEN 100 ELSE 100 * (1 - levenshtein(ask, bsk)::DOUBLE / greatest(length(ask), length(bsk))) END AS skeleton_levenshtein FROM listed_)
+SELECT source1_id, target_id, {', '.join(f'round({n}::FLOAT::DOUBLE, 3) AS {n}' for n in PLAIN_FEATURES if n not in ('blend', 'group_size', 'group_strong_names'))}, round((0.6::DOUBLE * name_token_set + 0.4::DOUBLE * address_token_set)::FLOAT::DOUBLE, 3) AS blend,
+  (count(*) OVER (PARTITION BY source1_id))::DOUBLE AS group_size, (count(*) FILTER (name_token_set >= 90) OVER (PARTITION BY source1_id))::DOUBLE AS group_strong_names
+FROM f JOIN o_name USING (source1_id, target_id) JOIN o_address USING (source1_id, target_id) JOIN cosines USING (source1_id, target_id)""")
+def q_pair_features_checked(spark, sf):
+    """The features that SQL can say too, out of the whole operator."""
+    rows = fx.parts(spark, sf)
+    out = ft.pair_features(fx.part_pairs(rows), fx.source1(rows), fx.targets(rows))
+    value = {n: F.coalesce(F.col(n).cast("double"), F.lit(NO_MATCH)) for n in PLAIN_FEATURES}
+    return out.select("source1_id", "target_id", *[F.round(c, 3).alias(n) for n, c in value.items()])
+
+
 @query()
 def q_pair_features(spark, sf):
     rows = fx.parts(spark, sf)
     return ft.pair_features(fx.part_pairs(rows), fx.source1(rows), fx.targets(rows))
 
 
-@query(f"WITH {PBASE} SELECT entity_id AS id, country, name, name_skeleton, address, address_skeleton, name AS core, 0 AS n_variants, false AS nonlatin, false AS accented FROM bones")
+@query(f"WITH {FIRMS} SELECT entity_id AS id, country, name, {q.skeleton('name')} AS name_skeleton, {q.normalize_address('business_address')} AS address, {q.skeleton('(' + q.normalize_address('business_address') + ')')} AS address_skeleton, core, len(sides) AS n_variants, nonlatin, accented FROM named")
 def q_normalized_records(spark, sf):
-    return ft.normalized_records(fx.parts(spark, sf)).withColumn("n_variants", F.size("variants")).drop("variants")
+    return ft.normalized_records(fx.firms(spark, sf)).withColumn("n_variants", F.size("variants").cast("long")).drop("variants")
 
 
 # ---------------------------------------------------------------- model
@@ -548,6 +627,12 @@ def q_leave_one_country_out(spark, sf):
     return mt.leave_one_out(pairs, COLUMNS, "1-URGENT", rounds=2, depth=3)
 
 
+@query()
+def q_country_transfer(spark, sf):
+    own = fx.entities(spark, sf)
+    return mt.country_transfer(_labelled(spark, sf).join(own, "source1_id"), COLUMNS, own, fx.truth(spark, sf), "1-URGENT", "5-LOW", 0.5, rounds=5, depth=3)
+
+
 @query(f"WITH {SCO} SELECT count(*) AS pairs, round(avg(l), 6) AS mean_loss, round(stddev_pop(l), 6) AS deviation, label FROM (SELECT CASE WHEN truth.target_id IS NULL THEN 0 ELSE 1 END AS label, -ln(CASE WHEN truth.target_id IS NULL THEN 1 - least(greatest(score, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) ELSE least(greatest(score, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) END) AS l FROM scores LEFT JOIN truth USING (source1_id, target_id)) GROUP BY label")
 def q_log_loss(spark, sf):
     rows = fx.scores(spark, sf).join(fx.truth(spark, sf).withColumn("t", F.lit(1)), ["source1_id", "target_id"], "left").withColumn("label", F.coalesce("t", F.lit(0)))
@@ -590,7 +675,10 @@ def q_lab_greedy(spark, sf):
     return spark.createDataFrame([(str(c), float(a), float(n)) for c, a, n in steps], "config string, ceiling double, mean_candidates double")
 
 
-MISSED = f"""{FRAMES}, {SCO}, miss AS (SELECT truth.source1_id, truth.target_id, nullif(least(coalesce(rank_name, 32767), coalesce(rank_combined_060, 32767), coalesce(rev_rank_name, 32767)), 32767) AS least_rank FROM (SELECT * FROM truth ANTI JOIN kept USING (source1_id, target_id)) truth LEFT JOIN comb USING (source1_id, target_id))"""
+MISSED = f"""{FRAMES}, {SCO}, true_ AS MATERIALIZED (SELECT source1_id, target_id FROM truth), had AS MATERIALIZED (SELECT source1_id, target_id FROM kept),
+lost AS MATERIALIZED (SELECT t.source1_id, t.target_id FROM true_ t LEFT JOIN had h ON h.source1_id = t.source1_id AND h.target_id = t.target_id WHERE h.target_id IS NULL),
+miss AS MATERIALIZED (SELECT l.source1_id, l.target_id, nullif(least(coalesce(rank_name, 32767), coalesce(rank_combined_060, 32767), coalesce(rev_rank_name, 32767)), 32767) AS least_rank FROM lost l LEFT JOIN comb c ON c.source1_id = l.source1_id AND c.target_id = l.target_id)"""
+BEST_NAMES = "best AS MATERIALIZED (SELECT source1_id, target_id AS via FROM (SELECT source1_id, target_id, row_number() OVER (PARTITION BY source1_id, substr(target_id, 1, 2) ORDER BY rank_name, target_id) AS nth FROM comb WHERE rank_name IS NOT NULL) WHERE nth <= 3)"
 
 
 def _missed(spark, sf):
@@ -608,11 +696,45 @@ def q_miss_reach(spark, sf):
     return lab.miss_reach(_missed(spark, sf))
 
 
-@query(f"WITH {MISSED}, best AS (SELECT source1_id, target_id AS via FROM comb WHERE rank_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source1_id, substr(target_id, 1, 2) ORDER BY rank_name, target_id) <= 3) SELECT source1_id, target_id, via FROM miss JOIN best USING (source1_id) WHERE substr(via, 1, 2) <> substr(target_id, 1, 2)")
+@query(f"WITH {MISSED}, {BEST_NAMES} SELECT m.source1_id, m.target_id, b.via FROM miss m JOIN best b ON b.source1_id = m.source1_id WHERE substr(b.via, 1, 2) <> substr(m.target_id, 1, 2)")
 def q_two_hops(spark, sf):
     return lab.two_hops(_missed(spark, sf), _lab_pairs(spark, sf), "rank_name")
 
 
+LINK_SLICES = f"""{SHOPS}, sliced AS MATERIALIZED (SELECT t.source1_id, t.target_id, e.country, substr(t.target_id, 1, 2) AS source, coalesce(s.script, 'latin') AS script, coalesce(s.empty_address, true) AS empty_address, coalesce(s.alias, false) AS alias
+  FROM truth t JOIN entities e ON e.source1_id = t.source1_id LEFT JOIN shops s ON s.entity_id = t.target_id)"""
+SLICE_ROWS = "UNION ALL ".join(f"SELECT '{c}' AS slice, {c}::VARCHAR AS value, * FROM {{0}} " for c in lab.SLICES)
+
+
+def _slices(spark, sf):
+    return lab.link_slices(fx.truth(spark, sf), fx.entities(spark, sf), fx.shops(spark, sf))
+
+
+@query(f"""WITH {FRAMES}, {SCO}, {LINK_SLICES}, both_ AS MATERIALIZED (SELECT s.*, (k.target_id IS NOT NULL)::INT AS a, (c.target_id IS NOT NULL)::INT AS b FROM sliced s LEFT JOIN kept k ON k.source1_id = s.source1_id AND k.target_id = s.target_id LEFT JOIN comb c ON c.source1_id = s.source1_id AND c.target_id = s.target_id)
+SELECT slice, value, count(*) AS links, round(avg(a), 6) AS recall_base, round(avg(b), 6) AS recall_trial, round(avg(b) - avg(a), 6) AS gain, round(stddev_pop(b - a) / sqrt(count(*)), 6) AS se FROM ({SLICE_ROWS.format('both_')}) GROUP BY 1, 2""")
+def q_slice_gains(spark, sf):
+    """What keeping all that any pass found gains over the configuration, in all five slices."""
+    pairs = _lab_pairs(spark, sf)
+    return lab.slice_gains(_slices(spark, sf), cd.select_pairs(pairs, RANK_CONFIG), pairs)
+
+
+@query(f"WITH {MISSED}, {LINK_SLICES}, own AS MATERIALIZED (SELECT s.* FROM sliced s JOIN miss m ON m.source1_id = s.source1_id AND m.target_id = s.target_id) SELECT slice, value, count(*) AS misses FROM ({SLICE_ROWS.format('own')}) GROUP BY 1, 2")
+def q_miss_breakdown(spark, sf):
+    return lab.miss_breakdown(_missed(spark, sf), _slices(spark, sf))
+
+
+@query(f"WITH {MISSED}, {SHOPS} SELECT count(*) AS links, round(avg(coalesce(dotted, false)::INT), 4) AS dotted FROM miss m LEFT JOIN shops s ON s.entity_id = m.target_id")
+def q_dotted_share(spark, sf):
+    one = fx.entities(spark, sf).select(F.col("source1_id").alias("entity_id"), F.lit("plain").alias("business_name"))
+    return lab.dotted_share(_missed(spark, sf), one, fx.shops(spark, sf))
+
+
+@query()
+def q_two_hop_cosines(spark, sf):
+    hops = lab.two_hops(_missed(spark, sf), _lab_pairs(spark, sf), "rank_name")
+    return lab.two_hop_cosines(hops, fx.shops(spark, sf))
+
+
 # ---------------------------------------------------------------- diagnostics and profiles
 
 
@@ -623,7 +745,7 @@ def q_loss_slices(spark, sf):
     return dg.loss_report(fx.scores(spark, sf), fx.truth(spark, sf), fx.entities(spark, sf), names, 0.5, 0.3)
 
 
-@query(f"WITH {COUNTS} SELECT country, count(*) AS entities, count(*) FILTER (t = 0) AS singletons, round(sum(1 - f) / count(*), 6) AS loss, round(100 * sum(1 - f) / (SELECT count(*) FROM f), 6) AS share_points FROM f GROUP BY country")
+@query(f"WITH {COUNTS} SELECT country, count(*) AS entities, count(*) FILTER (t = 0) AS singletons, round(1 - sum(1 - f) / count(*), 6) AS mean_f05, round(sum(1 - f), 6) AS loss, round(coalesce(sum(1 - f) FILTER (t = 0), 0), 6) AS singleton_loss, round(100 * sum(1 - f) / (SELECT count(*) FROM f), 6) AS share_points, round(100 * coalesce(sum(1 - f) FILTER (t = 0), 0) / (SELECT count(*) FROM f), 6) AS singleton_share_points FROM f GROUP BY country")
 def q_loss_by_country(spark, sf):
     return dg.loss_by_country(fx.entities(spark, sf), fx.truth(spark, sf), _decided(spark, sf))
 
@@ -639,10 +761,29 @@ def q_contested_targets(spark, sf):
     return dg.contested_targets(fx.scores(spark, sf))
 
 
-@query(f"""WITH {SCO}, pred AS ({_decide_sql(0.5, 0.5, True)}), n AS (SELECT source1_id, count(*) AS n FROM pred GROUP BY 1), o AS (SELECT target_id, count(DISTINCT source1_id) AS n FROM scores WHERE score >= 0.5::DOUBLE GROUP BY 1)
-SELECT 'all' AS "set", count(*) AS entities, round(avg(coalesce(n, 0)), 6) AS links_per_entity, round(avg((n IS NULL)::INT), 6) AS empty_share, (SELECT round(avg((n > 1)::INT), 6) FROM o) AS contested_share FROM entities LEFT JOIN n USING (source1_id)""")
+IS_VALIDATION = f"{q.unit_hash('source1_id')} < 0.1::DOUBLE"
+
+
+@query(f"""WITH {SCO}, parts_ AS (SELECT *, CAST(substr(source1_id, 4) AS BIGINT) % 2 = 1 AS test, {IS_VALIDATION} AS held FROM entities),
+sets AS MATERIALIZED (SELECT 'val' AS "set", country, source1_id FROM parts_ WHERE NOT test AND held UNION ALL SELECT 'test_10pct', country, source1_id FROM parts_ WHERE test AND held UNION ALL SELECT 'test_all', country, source1_id FROM parts_ WHERE test),
+own AS MATERIALIZED (SELECT sets."set", country, source1_id, target_id, score FROM sets JOIN scores USING (source1_id) WHERE score >= 0.3::DOUBLE),
+owned AS (SELECT * FROM own QUALIFY score = max(score) OVER (PARTITION BY "set", country, target_id)),
+chosen AS (SELECT * FROM (SELECT *, score = max(score) OVER (PARTITION BY "set", country, source1_id) AS best FROM owned) WHERE score >= 0.75::DOUBLE OR (best AND score >= 0.5::DOUBLE)),
+links AS (SELECT "set", country, source1_id, count(*) AS links FROM chosen GROUP BY ALL), top1 AS (SELECT "set", country, source1_id, max(score) AS s FROM own GROUP BY ALL),
+each_ AS (SELECT "set", country, source1_id, coalesce(links, 0) AS links, coalesce(s, 0) AS s FROM sets LEFT JOIN links USING ("set", country, source1_id) LEFT JOIN top1 USING ("set", country, source1_id)),
+o AS (SELECT "set", country, target_id, count(DISTINCT source1_id) AS n FROM own WHERE score >= 0.5::DOUBLE GROUP BY ALL), t AS (SELECT "set", country, count(*) AS strong_targets, round(avg((n > 1)::INT), 6) AS contested_share FROM o GROUP BY ALL)
+SELECT "set", country, count(*) AS entities, {', '.join(f'round(avg((s >= {a} AND s < {b})::INT), 6) AS top_{round(100 * a):03d}' for a, b in zip(dg.EDGES, dg.EDGES[1:], strict=False))}, round(avg(links), 6) AS links_per_entity, round(avg((links = 0)::INT), 6) AS empty_share, coalesce(any_value(strong_targets), 0) AS strong_targets, any_value(contested_share) AS contested_share FROM each_ LEFT JOIN t USING ("set", country) GROUP BY "set", country""")
 def q_shift_report(spark, sf):
-    return dg.shift_report({"all": (fx.entities(spark, sf), fx.scores(spark, sf))}, 0.5)
+    """Even orders as training data, odd ones as the test set; per country, with the tenth of the test set that competes alike."""
+    own, scores = fx.entities(spark, sf), fx.scores(spark, sf)
+    test = F.substring("source1_id", 4, 20).cast("long") % 2 == 1
+    validation = own.where(~test & hashing.is_validation(F.col("source1_id")))
+    return dg.shift_report(dg.shift_sets((validation, scores), (own.where(test), scores)), 0.75, 0.5, 0.3)
+
+
+@query(f"WITH {SCO}, best AS (SELECT *, row_number() OVER (PARTITION BY source1_id ORDER BY score DESC, target_id) AS nth FROM scores JOIN entities USING (source1_id)) SELECT source1_id, target_id, score, country FROM best WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY country ORDER BY {q.unit_hash('source1_id')}, source1_id) <= 100")
+def q_top_per_country(spark, sf):
+    return mt.top_candidates(fx.scores(spark, sf).join(fx.entities(spark, sf), "source1_id"), "score", 100).select("source1_id", "target_id", "score", "country")
 
 
 @query(f"""WITH {SCO}, d AS (SELECT entities.source1_id, count(truth.target_id) AS d FROM entities LEFT JOIN truth USING (source1_id) GROUP BY 1), p AS (SELECT target_id, count(*) AS p FROM truth GROUP BY 1)
@@ -684,7 +825,21 @@ def q_text_stats(spark, sf):
     return fx.table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.round(F.avg(n), 6).alias("mean_chars"), F.round(F.stddev_pop(n), 6).alias("std_chars"), F.round(F.percentile(n, F.lit(0.5)), 6).alias("median_chars"), F.round(F.percentile(n, F.lit(0.95)), 6).alias("p95_chars"))
 
 
-@query()
+@query(f"WITH {REC}, m AS (SELECT country, {q.postal_method('business_address', 'country')} AS method FROM rec) SELECT country, method, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY country), 6) AS share FROM m GROUP BY country, method")
+def q_postal_confidence(spark, sf):
+    return dg.postal_confidence(fx.records(spark, sf))
+
+
+@query(f"""WITH {PAR}, {fx.PART_PAIRS_SQL}, p AS MATERIALIZED (SELECT {', '.join(f"{q.plain(f'{s}.business_{f}')} AS {n}{s}" for s in 'ab' for f, n in (('name', 'n'), ('address', 'd')))} FROM pairs JOIN par a ON a.entity_id = source1_id JOIN par b ON b.entity_id = target_id),
+v AS MATERIALIZED ({' UNION ALL '.join(f"SELECT '{n}_{m}' AS measure, {e} AS v FROM p" for c, n in (('n', 'name'), ('d', 'address')) for m, e in (('levenshtein', q.levenshtein_ratio(c + 'a', c + 'b')), ('jaccard', q.jaccard(q.words(c + 'a', ' '), q.words(c + 'b', ' '))), ('grams', q.jaccard(q.gram_set(c + 'a'), q.gram_set(c + 'b')))))})
+SELECT measure, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, {', '.join(f'round(quantile_cont(v, {x}), 6) AS q{round(100 * x):02d}' for x in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM v GROUP BY measure""")
+def q_noise_distribution(spark, sf):
+    rows = fx.parts(spark, sf)
+    a, b = (rows.select(F.col("entity_id").alias(i), *[F.col(c).alias(f"{n}_{s}") for c, n in (("business_name", "name"), ("business_address", "address"), ("country", "country"))]) for i, s in (("source1_id", "a"), ("target_id", "b")))
+    return dg.noise_distribution(fx.part_pairs(rows).join(a, "source1_id").join(b, "target_id"))
+
+
+@query(f"WITH {REC} SELECT entity_id, business_name FROM rec ORDER BY md5(entity_id || ':0'), entity_id LIMIT 50")
 def q_reservoir(spark, sf):
     return dg.reservoir(fx.records(spark, sf), "entity_id", 50).select("entity_id", "business_name")
 
@@ -703,21 +858,46 @@ def q_exploded_links(spark, sf):
     return tsv.exploded(lists.withColumnRenamed("source1_entity_id", "source1_id"))
 
 
-@query(f"WITH {REC} SELECT entity_id, business_name FROM rec WHERE len(list_filter(string_split(business_name, ''), lambda c: ord(c) BETWEEN 128 AND 591 AND (lower(c) <> upper(c) OR c = 'ß'))) > 0")
+@query(f"WITH {FIRMS} SELECT entity_id, business_name FROM named WHERE nonlatin")
 def q_triggered_side(spark, sf):
-    return fx.records(spark, sf).where(tx.is_accented(F.col("business_name"))).select("entity_id", "business_name")
+    """Records whose name has letters of another script: those that the embedding pass looks for."""
+    return fx.firms(spark, sf).where(tx.is_nonlatin(F.col("business_name"))).select("entity_id", "business_name")
 
 
 RULES = ["candidates: one row for each entity", "candidates: targets of Source 2 or 3 that exist", "candidates: no target twice", "matches: one row for each entity", "matches: targets of Source 2 or 3 that exist", "matches: no target twice"]
 
 
-@query(f"WITH {SCO}, pred AS ({_decide_sql(0.5, 0.5, True)}) SELECT unnest([{', '.join(repr(r) for r in RULES)}, 'matches are candidates']) AS rule, unnest([0, 0, 0, 0, 0, 0, (SELECT count(*) FROM pred WHERE score < 0.6::DOUBLE)]) AS violations")
+def _spoiled(ids: str, every: int) -> str:
+    """Lists with mistakes in them, by the number o of the order: an unknown target, one of Source 1, one twice."""
+    return f"CASE WHEN o % {every} = 1 THEN concat_ws(',', nullif({ids}, ''), 'S2-none') WHEN o % {every} = 2 THEN concat_ws(',', nullif({ids}, ''), 'S1-1') WHEN o % {every} = 3 AND {ids} <> '' THEN concat_ws(',', {ids}, {ids}) ELSE {ids} END"
+
+
+#: Rows that are missing, and rows that are there twice, by the number of the order.
+KEEP, TWICE = "o % 97 <> 5", "o % 89 = 7"
+_BAD = """{0}_rows AS MATERIALIZED (SELECT source1_id, o, {1} AS ids FROM (SELECT source1_id, CAST(substr(source1_id, 4) AS BIGINT) AS o, coalesce(ids, '') AS ids FROM entities LEFT JOIN (SELECT source1_id, string_agg(target_id, ',') AS ids FROM {2} GROUP BY 1) USING (source1_id)) WHERE {3}),
+{0}_all AS MATERIALIZED (SELECT * FROM {0}_rows UNION ALL SELECT * FROM {0}_rows WHERE {4}), {0}_pairs AS MATERIALIZED (SELECT source1_id, unnest(string_split(ids, ',')) AS target_id FROM {0}_all WHERE ids <> '')"""
+_COUNTS = """(SELECT count(*) FROM entities LEFT JOIN (SELECT source1_id, count(*) AS n FROM {0}_all GROUP BY 1) USING (source1_id) WHERE coalesce(n, 0) <> 1),
+(SELECT count(*) FROM {0}_pairs WHERE target_id NOT IN (SELECT target_id FROM known_)) + (SELECT count(*) FROM {0}_pairs WHERE target_id LIKE 'S1-%'), (SELECT count(*) FROM (SELECT 1 FROM {0}_pairs GROUP BY source1_id, target_id HAVING count(*) > 1))"""
+
+
+@query(f"""WITH {SCO}, pred AS ({_decide_sql(0.5, 0.5, True)}), strong AS (SELECT * FROM scores WHERE score >= 0.6::DOUBLE), known_ AS (SELECT DISTINCT target_id FROM scores),
+{_BAD.format('c', _spoiled('ids', 31), 'strong', KEEP, TWICE)}, {_BAD.format('m', _spoiled('ids', 53), 'pred', KEEP.replace('97', '101'), TWICE.replace('89', '83'))}
+SELECT unnest([{', '.join(repr(r) for r in RULES)}, 'matches are candidates']) AS rule, unnest([{_COUNTS.format('c')}, {_COUNTS.format('m')}, (SELECT count(*) FROM m_pairs m WHERE NOT EXISTS (SELECT 1 FROM c_pairs c WHERE c.source1_id = m.source1_id AND c.target_id = m.target_id))]) AS violations""")
 def q_validation(spark, sf):
-    """Matches from 0.5 against candidates from 0.6: what lies between violates the last rule."""
+    """Lists that break every rule: rows missing and twice, unknown targets, targets of Source 1 and twice, and matches from
+    0.5 against candidates from 0.6."""
     own = fx.entities(spark, sf).withColumnRenamed("source1_id", "entity_id")
     s = fx.scores(spark, sf)
     targets = fx.table(spark, sf, "lineitem").select(fx._pair()[1].alias("entity_id")).distinct()
-    return tsv.validate(own, targets, cd.id_lists(own, s.where("score >= 0.6"), "ids"), cd.id_lists(own, dc.decide(s, 0.5), "ids"))
+
+    def spoiled(pairs: DataFrame, every: int, keep: str, twice: str) -> DataFrame:
+        lists = cd.id_lists(own, pairs, "ids").withColumn("o", F.substring("source1_entity_id", 4, 20).cast("long"))
+        rows = lists.selectExpr("source1_entity_id", "o", f"{_spoiled('ids', every)} AS ids").where(keep)
+        return rows.unionByName(rows.where(twice)).select("source1_entity_id", "ids")
+
+    candidates = spoiled(s.where("score >= 0.6"), 31, KEEP, TWICE)
+    matches = spoiled(dc.decide(s, 0.5), 53, KEEP.replace("97", "101"), TWICE.replace("89", "83"))
+    return tsv.validate(own, targets, candidates, matches)
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

@@ -119,3 +119,53 @@ def jaccard(x: str, y: str) -> str:
 
 def levenshtein_ratio(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
+
+
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence, by bit vectors in whole numbers: texts of up to 64 letters."""
+    bit = "CAST(pow(2, i_) AS HUGEINT)"
+    mask = f"coalesce(list_sum(list_transform(range(length({a})), lambda i_: CASE WHEN substr({a}, i_ + 1, 1) = c_ THEN {bit} ELSE 0::HUGEINT END)), 0)::HUGEINT"
+    masks = f"list_transform(string_split({b}, ''), lambda c_: {mask})"
+    full = f"(CAST(pow(2, length({a})) AS HUGEINT) - 1)"
+    free = f"list_reduce(list_prepend({full}, {masks}), lambda v_, m_: ((v_ + (v_ & m_)) | (v_ - (v_ & m_))) & {full})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count({free}) END"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * ({lcs(a, b)}) / (length({a}) + length({b})) END"
+
+
+def lcs_similarity(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * ({lcs(a, b)}) / greatest(length({a}), length({b})) END"
+
+
+def _bound(names: dict[str, str], body: str) -> str:
+    """``body`` with each name standing for its expression, made once: a lambda over a list of one struct."""
+    return f"list_transform([{{{', '.join(repr(n) + ': ' + e for n, e in names.items())}}}], lambda o_: {body})[1]"
+
+
+def token_sort_ratio(a: str, b: str) -> str:
+    def ordered(x: str) -> str:
+        return f"coalesce(array_to_string(list_sort({words(x)}), ' '), '')"
+
+    return _bound({"a": ordered(a), "b": ordered(b)}, ratio("o_.a", "o_.b"))
+
+
+def token_set_ratio(a: str, b: str) -> str:
+    def joined(x: str) -> str:
+        return f"coalesce(array_to_string(list_sort({x}), ' '), '')"
+
+    x, y = f"list_distinct({words(a)})", f"list_distinct({words(b)})"
+    sets = {"s": joined(f"list_intersect({x}, {y})"), "l": joined(f"list_filter({x}, lambda w_: NOT list_contains({y}, w_))"), "r": joined(f"list_filter({y}, lambda w_: NOT list_contains({x}, w_))")}
+    p, q = "trim(o_.s || ' ' || o_.l)", "trim(o_.s || ' ' || o_.r)"
+    alone = f"greatest(200.0::DOUBLE * length(o_.s) / (length(o_.s) + length({p})), 200.0::DOUBLE * length(o_.s) / (length(o_.s) + length({q})))"
+    both = ratio(p, q)
+    return _bound(sets, f"CASE WHEN o_.s || o_.l = '' OR o_.s || o_.r = '' THEN 0.0::DOUBLE WHEN o_.s <> '' AND (o_.l = '' OR o_.r = '') THEN 100.0::DOUBLE WHEN o_.s = '' THEN {both} ELSE greatest({both}, {alone}) END")
+
+
+SCORERS = {"ratio": ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "lcs": lcs_similarity}
+
+
+def postal_method(address: str, country: str) -> str:
+    code = f"nullif(regexp_extract({address}, '{tx.POSTAL_KEYWORD}', 1), '')"
+    return f"CASE WHEN {code} IS NOT NULL THEN 'keyword' WHEN {postal(address, country)} <> '' THEN 'pattern' ELSE 'none' END"

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linkspark.operators import blocking as bk, candidates as cd, decisions as dc, diagnostics as dg, lab, matcher as mt
+from linkspark.operators import blocking as bk, candidates as cd, decisions as dc, diagnostics as dg, lab, matcher as mt, vectors as vc
 from linkspark.sources import tsv
 
 RECORD = "entity_id string, business_name string, business_address string, country string"
@@ -125,12 +125,12 @@ def test_vector_search(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "id int, country int, vector array<double>")
     q, index = df.where("id < 40"), df.where("id >= 40")
-    exact = {(r.query_id, r.index_id) for r in bk.vector_neighbours(q, index, 5).collect()}
+    exact = {(r.query_id, r.index_id) for r in vc.vector_neighbours(q, index, 5).collect()}
     for i in range(40):
         own = [j for j in range(40, 300) if j % 2 == i % 2]
         best = sorted(own, key=lambda j: (-round(float(x[i] @ x[j]), 6), j))[:5]
         assert {(i, j) for j in best} <= exact
-    near = {(r.query_id, r.index_id) for r in bk.approximate_neighbours(q, index, 5, probes=16).collect()}
+    near = {(r.query_id, r.index_id) for r in vc.approximate_neighbours(q, index, 5, probes=16, cells=16).collect()}
     assert near == exact
 
 
@@ -138,12 +138,12 @@ def test_approximate_recall(spark, sf, monkeypatch):
     from linkspark.plans import queries as plans
 
     q, index = plans._vector_sides(spark, sf)
-    exact = {(r.query_id, r.index_id) for r in bk.vector_neighbours(q, index).collect()}
+    exact = {(r.query_id, r.index_id) for r in vc.vector_neighbours(q, index).collect()}
     for most in (1000, 200):  # all queries measured, and some
-        monkeypatch.setattr(bk, "MEASURED", most, raising=False)
+        monkeypatch.setattr(vc, "MEASURED", most, raising=False)
         near = {(r.query_id, r.index_id) for r in plans.q_vec_topk_approximate(spark, sf).collect()}
         assert len(near & exact) >= 0.9 * len(exact)
-    assert bk.approximate_neighbours(q.limit(0), index).count() == bk.approximate_neighbours(q, index.limit(0)).count() == 0
+    assert vc.approximate_neighbours(q.limit(0), index).count() == vc.approximate_neighbours(q, index.limit(0)).count() == 0
 
 
 def test_loss_report(spark, scored):
@@ -213,8 +213,27 @@ def test_index_is_used_again(spark, tmp_path, records):
     path = str(tmp_path / "index")
     assert store.build_index(records, path, ["name", "address"]) and not store.build_index(records, path, ["name", "address"])
     assert store.build_index(records, path, ["name"])
-    postings, idf = store.load_index(spark, path)
-    assert postings.where("country = 'us'").count() > 0 and idf.select("view").distinct().count() == 1
+    index = store.load_index(spark, path)
+    assert index.postings.where("country = 'us'").count() > 0 and index.idf.select("view").distinct().count() == 1
+
+
+def test_a_stored_index_finds_the_same(spark, tmp_path, records, monkeypatch):
+    from linkspark.operators import features as ft, index_store as store
+
+    one, others = sides(records)
+    index = store.stored_index(others, str(tmp_path / "index"), ["name", "address", "address_char"])
+    spec = "name:5,address:5,combined@0.6:5"
+    found = bk.neighbours(one, others, spec)
+    wide = bk.forward_pairs(one, others, "name:5").select("source1_id", "target_id")
+    cosines, features = bk.exact_cosines(wide, one, others), ft.pair_features(wide, one, others)
+
+    def rows(df):
+        return sorted(tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+
+    want = [rows(df) for df in (found, cosines, features)]
+    monkeypatch.setattr(bk, "idf_table", None)  # nothing is counted anew
+    got = [bk.neighbours(one, index, spec), bk.exact_cosines(wide, one, others, index=index), ft.pair_features(wide, one, others, index=index)]
+    assert [rows(df) for df in got] == want
 
 
 def test_linking_end_to_end(spark, tmp_path):
@@ -289,3 +308,54 @@ def test_folds_and_curve(spark):
     scores = mt.score_pairs(pairs, ["x"], mt.train_folds(mt.shuffled_labels(pairs), ["x"], rounds=2, depth=2))
     shuffled = dc.score_report(entities, truth, dc.decide(scores, 0.5, one_owner=False)).first()
     assert shuffled.macro_f05 < shuffled.singletons / shuffled.entities + 0.1 < curve["all"]  # near what no link at all scores
+
+
+def test_first_gate_and_export(spark, tmp_path):
+    rows, links, slices = [], [], []
+    for i in range(80):
+        links.append((f"e{i}", f"S2-{i}"))
+        slices.append((f"e{i}", f"S2-{i}", "us" if i % 2 else "fr", "S2", "latin", False, False))
+        rows += [(f"e{i}", f"S2-{i}", 40 if i % 4 else 5, 3, True), (f"e{i}", f"S3-{i}", 1, 50, False)]
+    pairs = spark.createDataFrame(rows, f"{PAIR}, rank_name short, rank_combined_060 short, is_true boolean")
+    truth = spark.createDataFrame(links, PAIR)
+    own = spark.createDataFrame(slices, f"{PAIR}, country string, source string, script string, empty_address boolean, alias boolean")
+    sets = {n: spark.createDataFrame([(f"e{i}", n) for i in range(a, b)], "source1_id string, lab_set string") for n, a, b in (("block_dev", 0, 40), ("block_confirm", 40, 80))}
+    good = lab.first_gate(sets, truth, pairs, own, {"rank_name": 10}, {"rank_combined_060": 10})
+    assert good["passed"] and good["regressed_slices"] == [] and abs(good["dev_confirm_gap"]) < 1e-9
+    worse = lab.first_gate(sets, truth, pairs, own, {"rank_combined_060": 10}, {"rank_name": 10})
+    assert not worse["passed"] and {r[0] for r in worse["regressed_slices"]} >= {"country", "source"}
+    entities = sets["block_dev"].unionByName(sets["block_confirm"])
+    report = lab.export_candidates(entities, "block_confirm", pairs, {"rank_combined_060": 10}, str(tmp_path / "out")).first()
+    assert tuple(report) == ("block_confirm", 40, 40, 1.0)
+    lists, found = tsv.read_links(spark, str(tmp_path / "out" / "candidates"), "candidate_entity_ids")
+    assert lists.count() == 40 and pairs_of(found) == {(f"e{i}", f"S2-{i}") for i in range(40, 80)}
+
+
+def pairs_of(df):
+    return {(r.source1_id, r.target_id) for r in df.collect()}
+
+
+def test_feature_lists():
+    from linkspark.operators import features as ft
+
+    v2, v3 = ft.feature_list("v2"), ft.feature_list()
+    assert len(v2) == 42 and len(v3) == 80 and len(ft.feature_columns()) == 81 and set(v2) - set(v3) == {"target_non_ascii"}
+    with pytest.raises(ValueError):
+        ft.feature_list("v9")
+
+
+def test_triggered_targets_alone_search(spark):
+    df = spark.createDataFrame([(i, "x", [float(i), 1.0], i % 2 == 0) for i in range(10)], "id int, country string, vector array<double>, triggered boolean")
+    assert {r.query_id for r in vc.triggered_neighbours(df, df, 3).collect()} == {0, 2, 4, 6, 8}
+
+
+def test_transfer_between_countries(spark):
+    import random
+
+    rng = random.Random(0)
+    rows = [(f"e{i % 300}", f"S2-{i}", "us" if i % 300 < 150 else "fr", rng.random(), int(i % 3 == 0)) for i in range(1800)]
+    pairs = spark.createDataFrame([(s, t, c, x + y, y) for s, t, c, x, y in rows], f"{PAIR}, country string, x double, label int")
+    entities = pairs.select("source1_id", "country").distinct()
+    truth = pairs.where("label = 1").select("source1_id", "target_id")
+    r = mt.country_transfer(pairs, ["x"], entities, truth, "us", "fr", 0.5, share=0.9, rounds=3, depth=2).first()
+    assert (r.train_country, r.eval_country) == ("us", "fr") and r.fit_rows > 300 and r.macro_f05 > 0.9
