@@ -21,6 +21,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -33,9 +34,9 @@ SLACK = 0.04
 #: Chunks whose ids a worker remembers in a task, and how many of them it keeps then: those it met first, as the frequent
 #: ones are met early.
 MEMO, KEEP = 500_000, 200_000
+#: Other chunks given to the library at once.
+SLICE = 2000
 ONE_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
-#: White space for Python alone: texts with it are encoded whole.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0᠎​﻿]")
 
 
 class Encoder:
@@ -94,9 +95,10 @@ class Encoder:
         plain = list(map(ONE_WORD.fullmatch, chunks))
         words = [c for c, m in zip(chunks, plain, strict=True) if m]
         other = [c for c, m in zip(chunks, plain, strict=True) if not m]
-        if other:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            self._add(other, np.array([i for x in ids for i in x], np.uint32), np.array(list(map(len, ids)), np.int64))
+        for at in range(0, len(other), SLICE):  # the library's encodings are large beside their ids
+            some = other[at : at + SLICE]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, np.array([i for x in ids for i in x], np.uint32), np.array(list(map(len, ids)), np.int64))
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             ids = np.array(self._of_words(some) if self.lowers else self._whole(" ".join(some)), np.uint32)
@@ -106,24 +108,25 @@ class Encoder:
                 raise ValueError("the tokenizer does not mark the ends of words")
             self._add(some, ids, np.diff(cut[last], prepend=0))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks: list[str] = []
-        sizes = []
-        for text in texts:
-            own = [] if ODD_SPACE.search(text) else text.split()
-            sizes.append(len(own))
-            chunks += own
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Chunks are what ASCII white space parts, which every rule of the tokenizer does too; they are
+        split and numbered in Arrow, so that only distinct ones become Python strings."""
         if len(self.index) > MEMO:
             self.forget()
-        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
-        if len(new := np.flatnonzero(at < 0).tolist()):
-            self._learn(list(dict.fromkeys(chunks[i] for i in new)))
-            at[new] = [self.index[chunks[i]] for i in new]
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        coded = parts.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(new := np.flatnonzero(known < 0).tolist()):
+            self._learn([chunks[i] for i in new])
+            known[new] = [self.index[chunks[i]] for i in new]
+        at = known[coded.indices.to_numpy()] if len(chunks) else np.zeros(0, np.int64)
         n = self.length[at]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].tolist()
-        return [ids[a:b] if k or not ODD_SPACE.search(t) else np.array(self._whole(t), np.uint32) for t, k, a, b in zip(texts, sizes, bounds[:-1], bounds[1:], strict=True)]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(2)
@@ -208,8 +211,7 @@ def _packed(path: str, capacity: int, separator: int, with_ids: bool):
         kind = None
         for batch in batches:
             kind, done = batch.schema.field("doc_id").type, []
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(texts), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text")), strict=True):
                 ids = np.append(ids, np.uint32(separator)).astype("<u4")
                 at = 0
                 for n in cuts(len(ids), capacity):
