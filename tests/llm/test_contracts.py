@@ -851,3 +851,69 @@ def test_pipeline(spark, docs, empty, sf):
     toxic = [i for i in marks if marks[i]]
     assert sum(i in gone for i in toxic) >= 0.85 * len(toxic) and sum(i in gone for i in marks if not marks[i]) <= 0.01 * len(marks)
     assert c.run(spark, sf).count() > 0
+
+
+def test_stages_do_what_their_operators_say(spark, sf):
+    """Every stage on its predecessor's rows, against plain Python over the same rows."""
+    import corpus_pipeline as c
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(rng.randint(20, 120))]
+        rows.append((i, " ".join(words)))
+        if i % 4 == 0:  # copies, exact and near
+            rows += [(100 + i, " ".join(words)), (200 + i, " ".join([*words[:-1], "edit"]))]
+    rows += [(300 + i, f"{rows[i][1]} call Mrs Jean Doe {i} at {i:02d}x@mail.com from 10.0.0.{i} password=______") for i in range(1, 12, 2)]
+    rows += [(None, "no id at all here"), (None, None), (901, ""), (902, None), (7, rows[9][1])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}" if i != 3 else None, len(t or ""), "mine") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, text_key string")
+    stages = dict(c.STAGES)
+    model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = stages["toxicity"](spark, docs, sf).cache()
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, t) for i, t in rows if not model.judge(t)["predicted"])
+
+    once = stages["near duplicates"](spark, kept, sf).cache()
+    own = [(r.doc_id, r.text) for r in kept.collect()]
+    sets = [frozenset(simhash.shingles(t, 5)) for _, t in own]
+    alike = [(a, b) for b in range(len(own)) for a in range(b) if (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0]
+    tops = joined(len(own), alike)
+    firsts = {top: min((own[i][0] is None, own[i][0] or 0) for i in range(len(own)) if tops[i] == top) for top in set(tops)}
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in once.collect()) == Counter(firsts.values())
+
+    private = stages["personal data"](spark, once, sf).cache()
+    texts = [(r.doc_id, r.text) for r in once.collect()]
+    key = surrogates.session_key(spark)
+    moves = plain_moves(sorted({(k, e) for _, t in texts for _, _, k, e in pii_detect.detect(t)}), key)
+    want = Counter((i, surrogates.rewrite(t, key, moves)["text"]) for i, t in texts)
+    assert moves and Counter((r.doc_id, r.text) for r in private.collect()) == want and private.columns == docs.columns
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in private.collect())
+
+    mixed = stages["mixing"](spark, private, sf).cache()
+    sums = Counter()
+    for r in mixing.mixture(private.select("doc_id", "text", "source")).collect():
+        sums[r.doc_id, r.source] += 1
+    assert Counter((r.doc_id, r.source or "") for r in mixed.collect()) == sums and mixed.columns == docs.columns
+
+    packed = stages["packing"](spark, mixed, sf)
+    tokenizer = Tokenizer.from_file(WORD)
+    lengths = Counter()
+    for r in mixed.collect():
+        lengths[r.doc_id] += len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+    assert {r[0]: r[1] for r in packed.groupBy("doc_id").agg(F.sum("length")).collect()} == dict(lengths)
+
+
+def test_a_text_of_many_megabytes(written_docs):
+    """Each operator's work on one text, in seconds and in pieces."""
+    text = " ".join(f"word{i % 5000} river." for i in range(400_000))  # 6 MB
+    began = time.monotonic()
+    assert len(list(simhash.hashed(text, 5))) > 10 and simhash.fingerprint(text)
+    assert len(near_duplicates.smallest(near_duplicates.all_hashes(text, 5))) == near_duplicates.FULL
+    assert pii_detect.detect(text) == []
+    model = language_id.train_languages(written_docs[0])
+    assert model.identify([text])[0]["lang_pred"] == "en"
+    ids = packing.Encoder(WORD).encode(pa.array([text, None]))
+    assert len(ids[0]) > 800_000 and len(ids[1]) == 0 and sum(packing.cuts(len(ids[0]), 2048)) == len(ids[0])
+    assert toxicity.NoisyOr().judge(text)["n_sentences"] == 400_000
+    assert len(quality_gam.statistics(text)) == len(quality_gam.FEATURES)
+    assert sum(token_counts.splitter(BYTE).counts(text)[0].values()) > 1_000_000
+    assert time.monotonic() - began < 120
