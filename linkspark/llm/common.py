@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Bound the Arrow batches by rows and by bytes, as some texts are very long."""
+    """Bound the Arrow batches by rows and by bytes, as some texts are very long. This holds for the session from here on, as
+    plans are run later than they are made; it changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 

@@ -223,8 +223,8 @@ class Languages:
 
 def train_languages(docs: DataFrame, folds: int = 4, out_fold: int = 2, per_language: int = 4000, penalty: float = 12.0) -> Languages:
     """Learn from text and lang of the documents whose id's fold is not ``out_fold``: about ``per_language`` of each
-    language at most, drawn by a hash of the text, so that the same rows give the same model however they are dealt. Rows
-    without a lang or a text teach nothing. The model has BUCKETS numbers for each distinct lang."""
+    language at most, drawn by a hash of the text, so that the same rows give the same model however they are dealt. Copies
+    of a text teach once, rows without a lang or a text nothing. The model has BUCKETS numbers for each distinct lang."""
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != out_fold))
@@ -234,6 +234,7 @@ def train_languages(docs: DataFrame, folds: int = 4, out_fold: int = 2, per_lang
         return Languages()
     limits = spark.createDataFrame([(n, hash_limit(sizes[n], per_language)) for n in names], "lang string, upto long")
     sample = known.join(F.broadcast(limits), "lang").where(F.xxhash64("text", F.lit("lang")) <= F.col("upto")).select("lang", "text")
+    sample = sample.distinct()  # copies teach once, however many there are
     index = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

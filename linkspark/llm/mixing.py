@@ -88,7 +88,15 @@ def source_plan(rows: DataFrame, budget: float, repetition: float, entropy: floa
     ``rows`` has source, tokens, h.
     """
     bins = rows.groupBy("source", F.expr(f"CAST(floor(h / {UNIT}D * {BINS}) AS INT)").alias("bin")).agg(F.sum("tokens").alias("n"))
-    upto = written(bins.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bin"))), "bins")
+    bins = written(bins.withColumn("place", F.expr(f"bin DIV {BINS // PLACES}")), "sums")
+    # running sums inside each place, and over the places before it: no task sees all bins of a source
+    places = bins.groupBy("source", "place").agg(F.sum("n").alias("m"))
+    earlier = F.sum("m").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    before = places.select("source", "place", F.coalesce(earlier, F.lit(0)).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("source", "place").orderBy("bin"))
+    upto = bins.withColumn("inside", inside).join(before, ["source", "place"])
+    upto = written(upto.select("source", "bin", "n", (F.col("before") + F.col("inside")).alias("upto")), "bins")
+    forget(bins)
     up_to_place = [F.coalesce(F.max(F.when(F.col("bin") < (p + 1) * (BINS // PLACES), F.col("upto"))), F.lit(0)) for p in range(PLACES)]
     places = F.array(F.lit(0).cast("long"), *up_to_place)
     sources = written(upto.groupBy("source").agg(F.sum("n").alias("t"), places.alias("places")), "sources")

@@ -176,7 +176,7 @@ def alike_links(candidates: DataFrame, sets: DataFrame, similarity: float) -> Da
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of at most COMMON shingles that PICK of ``docs`` (text_key, text) have most often, and how often."""
+    """Hashes (sorted) of at most COMMON shingles that PICK of ``docs`` (KEY, text) have most often, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +184,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
                 own = smallest(all_hashes(text, words), SKETCH)
                 yield pa.RecordBatch.from_pydict({"h": pa.array(own.view(np.int64), pa.int64())})
 
-    sample = bounded_sample(docs.select("text_key", "text"), F.col("text_key"), PICK).select("text")
+    sample = bounded_sample(docs.select(*KEY, "text"), F.struct(*KEY), PICK).select("text")
     counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
     top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = np.array(top["h"], np.int64).view(np.uint64), np.array(top["n"], np.int64)

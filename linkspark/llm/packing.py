@@ -33,7 +33,7 @@ from linkspark.llm.common import small_batches
 SLACK = 0.04
 #: Chunks whose ids a worker remembers in a task, and how many of them it keeps then: those it met first, as the frequent
 #: ones are met early.
-MEMO, KEEP = 500_000, 200_000
+MEMO, KEEP = 250_000, 150_000
 #: Other chunks given to the library at once.
 SLICE = 2000
 ONE_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")

@@ -107,13 +107,16 @@ def fit_noisy_or(bags: list[tuple[int, int, list[list[int]]]], n_features: int,
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of either label a feature is."""
+    """In how many documents of either label a feature is, some documents at a time: they have many features."""
     for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            counts[label > 0].update({f for w in set(WORDS.findall((text or "").lower())) for f in features(w)})
-        names = list(counts[0] | counts[1])
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "neg": pa.array([counts[0][f] for f in names], pa.int64()), "pos": pa.array([counts[1][f] for f in names], pa.int64())})
+        for at in range(0, len(batch), 200):
+            part = batch.slice(at, 200)
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
+                counts[label > 0].update({f for w in set(WORDS.findall((text or "").lower())) for f in features(w)})
+            names = list(counts[0] | counts[1])
+            neg, pos = (pa.array([c[f] for f in names], pa.int64()) for c in counts)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), neg, pos], ["feature", "neg", "pos"])
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, out_fold: int = 0, max_documents: int = 12_000, max_features: int = 20_000, least_documents: int = 5, least_z: float = 3.5) -> NoisyOr:
