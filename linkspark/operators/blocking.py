@@ -135,11 +135,13 @@ def pass_spec(config: dict) -> str:
 
 @dataclass
 class Index:
-    """What a search needs of the records that it looks in: postings (term, view, entity_id, row, weight), IDF, sizes."""
+    """What a search needs of the records that it looks in: postings (term, view, entity_id, row, weight), IDF, sizes of
+    countries, ids (entity_id)."""
 
     postings: DataFrame
     idf: DataFrame
     sizes: DataFrame
+    ids: DataFrame
 
 
 def built_index(records: DataFrame, views: list[str], variants: bool = True) -> Index:
@@ -147,7 +149,7 @@ def built_index(records: DataFrame, views: list[str], variants: bool = True) ->
     rows = index_rows(records, variants)
     counts = term_counts(rows, views)
     idf = idf_table(counts, rows)
-    return Index(weighted(counts, idf), idf, country_sizes(rows))
+    return Index(weighted(counts, idf), idf, country_sizes(rows), records.select("entity_id").distinct())
 
 
 def pass_views(spec: str) -> list[str]:
@@ -163,23 +165,30 @@ def neighbours(queries: DataFrame, index: DataFrame | Index, spec: str, budget:
     passes, views = parse_passes(spec), pass_views(spec)
     if not isinstance(index, Index):
         index = built_index(index, views, variants)
-    postings = index.postings.where(F.col("view").isin(views))
-    postings = postings.select("term", F.col("entity_id").alias("index_id"), F.col("row").alias("index_row"), F.col("weight").alias("y"))
+    # products are many: they carry 64-bit hashes of the ids, and only what ranks high meets its ids again
+    key = F.xxhash64("entity_id")
+    postings = index.postings.where(F.col("view").isin(views)).select("term", key.alias("i"), F.col("row").alias("ir"), F.col("weight").alias("y"))
     own = weighted(term_counts(index_rows(queries, query_variants), views, tokens=True), index.idf, index.sizes)
-    asked = budgeted(own, budget).select("term", "view", F.col("entity_id").alias("query_id"), F.col("row").alias("query_row"), F.col("weight").alias("x"))
+    asked = budgeted(own, budget).select("term", "view", key.alias("q"), F.col("row").alias("qr"), F.col("weight").alias("x"))
     # one pass over the postings gives all views, and the views give all passes
     sums = [F.sum(F.when(F.col("view") == v, F.col("x") * F.col("y"))).alias(v) for v in views]
-    scored = asked.join(postings, "term").groupBy("query_id", "query_row", "index_id", "index_row").agg(*sums)
+    scored = asked.join(postings, "term").groupBy("q", "qr", "i", "ir").agg(*sums)
 
-    def of_pass(name: str, ws: dict[str, float], k: int) -> Column:
+    def of_pass(number: int, ws: dict[str, float]) -> Column:
         score = reduce(lambda a, b: a + b, [F.coalesce(F.col(v), F.lit(0.0)) * w for v, w in ws.items()])
         found = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in ws])
-        return F.struct(F.lit(name).alias("pass"), F.lit(k).alias("k"), score.alias("score"), found.alias("found"))
-
-    long = scored.select("query_id", "index_id", F.explode(F.array(*[of_pass(*p) for p in passes])).alias("p")).where("p.found")
-    best = long.groupBy("query_id", "index_id", "p.pass", "p.k").agg(F.round(F.max("p.score"), DIGITS).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "pass").orderBy(F.desc("score"), "index_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select("query_id", "index_id", "pass", "score", "rank")
+        return F.struct(F.lit(number).alias("n"), score.alias("score"), found.alias("found"))
+
+    long = scored.select("q", "i", F.explode(F.array(*[of_pass(n, ws) for n, (_, ws, _) in enumerate(passes)])).alias("p")).where("p.found")
+    best = long.groupBy("q", "i", "p.n").agg(F.round(F.max("p.score"), DIGITS).alias("score"))
+    depth = F.element_at(F.array(*[F.lit(k) for _, _, k in passes]), F.col("n") + 1)
+    # ties of the last place all stay, until ids decide
+    near = best.withColumn("place", F.rank().over(Window.partitionBy("q", "n").orderBy(F.desc("score")))).where(F.col("place") <= max(k for _, _, k in passes))
+    near = near.where(F.col("place") <= depth)
+    ids = [df.select(F.col("entity_id").alias(name)).distinct().withColumn(h, F.xxhash64(name)) for df, name, h in ((queries, "query_id", "q"), (index.ids, "index_id", "i"))]
+    named = near.join(ids[0], "q").join(ids[1], "i").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "n").orderBy(F.desc("score"), "index_id")))
+    name = F.element_at(F.array(*[F.lit(label) for label, _, _ in passes]), F.col("n") + 1)
+    return named.where(F.col("rank") <= depth).select("query_id", "index_id", name.alias("pass"), "score", "rank")
 
 
 def wide_pairs(long: DataFrame, spec: str, best: bool = False) -> DataFrame:

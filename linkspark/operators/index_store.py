@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from linkspark.operators.blocking import Index, country_sizes, idf_table, index_rows, term_counts, weighted
 
 #: Changes whenever features do.
-FEATURE_VERSION = 2
+FEATURE_VERSION = 3
 #: Stated, as folder names such as country=1 would be read as numbers.
 SCHEMAS = {
     "postings": "entity_id string, row int, term long, df long, weight double, country string, view string",
     "idf": "term long, df long, n long, idf double, country string, view string",
     "sizes": "country string, n long",
+    "ids": "entity_id string",
 }
 
 
@@ -42,6 +43,7 @@ def build_index(records: DataFrame, path: str, views: list[str], variants: bool
     idf_table(counts, rows).write.mode("overwrite").partitionBy("country", "view").parquet(f"{path}/idf")
     idf = spark.read.parquet(f"{path}/idf")
     weighted(counts, idf).write.mode("overwrite").partitionBy("country", "view").parquet(f"{path}/postings")
+    records.select("entity_id").distinct().write.mode("overwrite").parquet(f"{path}/ids")
     country_sizes(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
     spark.createDataFrame([(json.dumps(wanted),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")  # last: a broken build has none
     return True
