@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import text as tx
+from linkspark.operators.search import best_by_blocks
 
 DIGITS = 6
 
@@ -165,22 +166,12 @@ def neighbours(queries: DataFrame, index: DataFrame | Index, spec: str, budget:
     passes, views = parse_passes(spec), pass_views(spec)
     if not isinstance(index, Index):
         index = built_index(index, views, variants)
-    # products are many: they carry 64-bit hashes of the ids, and only what ranks high meets its ids again
-    key = F.xxhash64("entity_id")
-    postings = index.postings.where(F.col("view").isin(views)).select("term", key.alias("i"), F.col("row").alias("ir"), F.col("weight").alias("y"))
+    postings = index.postings.where(F.col("view").isin(views)).select("entity_id", "row", "country", "view", "term", "weight")
     own = weighted(term_counts(index_rows(queries, query_variants), views, tokens=True), index.idf, index.sizes)
-    asked = budgeted(own, budget).select("term", "view", key.alias("q"), F.col("row").alias("qr"), F.col("weight").alias("x"))
-    # one pass over the postings gives all views, and the views give all passes
-    sums = [F.sum(F.when(F.col("view") == v, F.col("x") * F.col("y"))).alias(v) for v in views]
-    scored = asked.join(postings, "term").groupBy("q", "qr", "i", "ir").agg(*sums)
-
-    def of_pass(number: int, ws: dict[str, float]) -> Column:
-        score = reduce(lambda a, b: a + b, [F.coalesce(F.col(v), F.lit(0.0)) * w for v, w in ws.items()])
-        found = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in ws])
-        return F.struct(F.lit(number).alias("n"), score.alias("score"), found.alias("found"))
-
-    long = scored.select("q", "i", F.explode(F.array(*[of_pass(n, ws) for n, (_, ws, _) in enumerate(passes)])).alias("p")).where("p.found")
-    best = long.groupBy("q", "i", "p.n").agg(F.round(F.max("p.score"), DIGITS).alias("score"))
+    asked = budgeted(own, budget).select("entity_id", "row", "country", "view", "term", "weight")
+    n_index = index.sizes.agg(F.sum("n")).first()[0] or 0
+    found = best_by_blocks(asked, postings, views, [(ws, k) for _, ws, k in passes], queries.count(), n_index)
+    best = found.select("q", "i", "n", F.round("score", DIGITS).alias("score"))
     depth = F.element_at(F.array(*[F.lit(k) for _, _, k in passes]), F.col("n") + 1)
     # ties of the last place all stay, until ids decide
     near = best.withColumn("place", F.rank().over(Window.partitionBy("q", "n").orderBy(F.desc("score")))).where(F.col("place") <= max(k for _, _, k in passes))
