@@ -34,3 +34,10 @@ def test_large_classes_come_apart(spark):
     a = spark.range(n).select(F.concat(F.lit("S1-"), "id").alias("entity_id"))
     both = classes(a.withColumn("k", F.lit(1)), ["k"])
     assert both.count() == 1 and expanded(both.select("entity_id"), both, "entity_id").distinct().count() == n
+
+
+def test_key_lists_are_made_once_per_class(spark, keyed):
+    a, b, wanted = keyed
+    entities = spark.createDataFrame([(f"S1-{i}",) for i in [*range(40), 99]], "entity_id string")
+    got = {r[0]: r[1] for r in bk.key_lists(entities, a, b, "ids").collect()}
+    assert got == {f"S1-{i}": ",".join(sorted(t for s, t in wanted if s == f"S1-{i}")) for i in [*range(40), 99]}
