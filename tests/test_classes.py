@@ -41,3 +41,11 @@ def test_key_lists_are_made_once_per_class(spark, keyed):
     entities = spark.createDataFrame([(f"S1-{i}",) for i in [*range(40), 99]], "entity_id string")
     got = {r[0]: r[1] for r in bk.key_lists(entities, a, b, "ids").collect()}
     assert got == {f"S1-{i}": ",".join(sorted(t for s, t in wanted if s == f"S1-{i}")) for i in [*range(40), 99]}
+
+
+def test_key_pairs_are_counted_without_making_them(spark, keyed):
+    a, b, wanted = keyed
+    count = bk.key_pair_count(a, b)
+    assert count.collect()[0][0] == len(wanted) and "source1_id" not in exchanges(count)
+    links = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-7"), ("S1-2", "S2-3"), ("S1-50", "S2-1")], "source1_id string, target_id string")
+    assert {(r[0], r[1]) for r in bk.key_found(links, a, b).where("hit = 1").collect()} == wanted & {(r[0], r[1]) for r in links.collect()}
