@@ -49,3 +49,17 @@ def test_key_pairs_are_counted_without_making_them(spark, keyed):
     assert count.collect()[0][0] == len(wanted) and "source1_id" not in exchanges(count)
     links = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-7"), ("S1-2", "S2-3"), ("S1-50", "S2-1")], "source1_id string, target_id string")
     assert {(r[0], r[1]) for r in bk.key_found(links, a, b).where("hit = 1").collect()} == wanted & {(r[0], r[1]) for r in links.collect()}
+
+
+def test_noise_of_counted_pairs_is_that_of_pairs(spark, sf):
+    from linkspark.operators import diagnostics as dg
+    from linkspark.plans import fixtures as fx
+
+    rows = fx.parts(spark, sf).where("country <= 'size 3'")
+    rows = rows.unionByName(rows.withColumn("entity_id", F.concat("entity_id", F.lit("-2"))))
+    a, b = (rows.select(F.col("entity_id").alias(i), *[F.col(c).alias(f"{n}_{s}") for c, n in (("business_name", "name"), ("business_address", "address"), ("country", "country"))]) for i, s in (("source1_id", "a"), ("target_id", "b")))
+    pairs, counted = fx.part_pairs(rows).join(a, "source1_id").join(b, "target_id"), fx.part_pair_counts(rows)
+    for made, multiplied in zip(dg.pair_counts(pairs), counted, strict=True):
+        assert {tuple(sorted(r.asDict().items())) for r in made.collect()} == {tuple(sorted(r.asDict().items())) for r in multiplied.collect()}
+        assert "source1_id" not in multiplied._jdf.queryExecution().executedPlan().toString()
+    assert dg.noise_profile(*counted).first().pairs == pairs.count() > 0
