@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linkspark.operators import blocking as bk
 from linkspark.operators.classes import SLICE, classes, expanded
+from linkspark.plans import queries as q
 
 KEYS = "entity_id string, kind string, country string, key string"
 
@@ -13,6 +14,18 @@ def exchanges(df) -> str:
     return "\n".join(x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
 
 
+def same_as_sql(spark, folder, name):
+    import duckdb
+
+    con, df = duckdb.connect(), q.QUERIES[name](spark, folder)
+    for t in ("part", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    found = con.execute(q.SQL[name])
+    names = [d[0] for d in found.description]
+    shown = lambda data: sorted(tuple(repr(float(x)) if isinstance(x, int | float) and not isinstance(x, bool) else str(x) for x in r) for r in data)
+    assert shown(df.select(*names).collect()) == shown(found.fetchall())
+
+
 @pytest.fixture(scope="module")
 def keyed(spark):
     left = [(f"S1-{i}", k, "x", f"{i % m}") for i in range(40) for k, m in (("a", 3), ("b", 5))]
@@ -63,3 +76,21 @@ def test_noise_of_counted_pairs_is_that_of_pairs(spark, sf):
         assert {tuple(sorted(r.asDict().items())) for r in made.collect()} == {tuple(sorted(r.asDict().items())) for r in multiplied.collect()}
         assert "source1_id" not in multiplied._jdf.queryExecution().executedPlan().toString()
     assert dg.noise_profile(*counted).first().pairs == pairs.count() > 0
+
+
+@pytest.fixture(scope="module")
+def tripled(sf, tmp_path_factory):
+    """Parts and customers three times, with keys shifted by multiples of three: nine times the pairs, of the same texts."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("tripled")
+    for table, key, some in (("part", "p_partkey", "p_size <= 8"), ("customer", "c_custkey", "true")):
+        duckdb.sql(f"COPY (SELECT * REPLACE ({key} + 30000 * i AS {key}) FROM '{sf}/{table}.parquet', range(3) r(i) WHERE {some}) TO '{folder}/{table}.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["fuzzy_ratios", "partial_ratios", "text_similarities", "idf_overlap"])
+def test_texts_of_copies_are_compared_once(spark, tripled, name):
+    same_as_sql(spark, tripled, name)
+    made = q._sides(spark, tripled)
+    assert 0 < made.count() * 9 <= q.QUERIES[name](spark, tripled).count()
