@@ -96,7 +96,7 @@ def test_texts_of_copies_are_compared_once(spark, tripled, name):
     assert 0 < made.count() * 9 <= q.QUERIES[name](spark, tripled).count()
 
 
-@pytest.mark.parametrize("name", ["exact_cosines"])
+@pytest.mark.parametrize("name", ["token_features", "exact_cosines"])
 def test_features_of_copies_are_made_once(spark, tripled, name):
     same_as_sql(spark, tripled, name)
     plan = q.QUERIES[name](spark, tripled)._jdf.queryExecution().optimizedPlan().toString()
