@@ -96,8 +96,19 @@ def test_texts_of_copies_are_compared_once(spark, tripled, name):
     assert 0 < made.count() * 9 <= q.QUERIES[name](spark, tripled).count()
 
 
-@pytest.mark.parametrize("name", ["token_features", "exact_cosines"])
+@pytest.mark.parametrize("name", ["token_features", "exact_cosines", "pair_features_checked"])
 def test_features_of_copies_are_made_once(spark, tripled, name):
     same_as_sql(spark, tripled, name)
     plan = q.QUERIES[name](spark, tripled)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(_m1" in plan or "explode(members" in plan
+
+
+def test_ranks_count_the_copies(spark, tripled):
+    from linkspark.operators import features as ft
+    from linkspark.plans import fixtures as fx
+
+    rows = fx.parts(spark, tripled)
+    plain = ft.pair_features(fx.part_pairs(rows), fx.source1(rows), fx.targets(rows))
+    shown = ["source1_id", "target_id", "blend_rank", "name_token_set_rank", "blend_source_rank", "group_size", "cos_c1_ratio_to_best", "target_source3"]
+    got, wanted = (sorted(tuple(r) for r in df.select(*shown).collect()) for df in (q.q_pair_features(spark, tripled), plain))
+    assert got == wanted and got
