@@ -96,6 +96,13 @@ def test_texts_of_copies_are_compared_once(spark, tripled, name):
     assert 0 < made.count() * 9 <= q.QUERIES[name](spark, tripled).count()
 
 
+def test_names_are_compared_once(spark, tripled):
+    from linkspark.plans import fixtures as fx
+
+    names = fx.name_pairs(fx.parts(spark, tripled)).select("name_a", "name_b").distinct()
+    assert q._sides(spark, tripled).count() == names.count() > 0
+
+
 @pytest.mark.parametrize("name", ["token_features", "exact_cosines", "pair_features_checked"])
 def test_features_of_copies_are_made_once(spark, tripled, name):
     same_as_sql(spark, tripled, name)
