@@ -103,6 +103,28 @@ def test_names_are_compared_once(spark, tripled):
     assert q._sides(spark, tripled).count() == names.count() > 0
 
 
+@pytest.mark.parametrize("name", ["fuzzy_ratios", "partial_ratios"])
+def test_names_and_addresses_are_compared_apart(spark, tripled, name, monkeypatch):
+    from linkspark.operators import features as ft
+
+    made, some = [], ft.fuzzy_some
+    monkeypatch.setattr(ft, "fuzzy_some", lambda names, *sides: made.append({ft.FUZZY[n][1].split("_")[0] for n in names}) or some(names, *sides))
+    q.QUERIES[name](spark, tripled)
+    assert sorted(map(sorted, made)) == [["address"], ["name"]]
+
+
+def test_index_of_copies_is_that_of_all(spark, tripled):
+    from linkspark.plans import fixtures as fx
+
+    targets = fx.targets(fx.parts(spark, tripled))
+    targets = targets.withColumn("business_name", F.when(F.col("country") == "size 1", F.concat("business_name", F.lit(" dba other"))).otherwise(F.col("business_name")))
+    rows = bk.index_rows(targets, True)
+    for view, column in (("name", "business_name"), ("address", "business_address")):
+        whole, counted = bk.idf_table(bk.term_counts(rows, [view]), rows), bk.counted_index(fx.text_records(targets, column), [view]).idf
+        got, wanted = (sorted(tuple(r) for r in df.select("country", "view", "term", "df", "n").collect()) for df in (counted, whole))
+        assert got == wanted and got
+
+
 @pytest.mark.parametrize("name", ["token_features", "exact_cosines", "pair_features_checked"])
 def test_features_of_copies_are_made_once(spark, tripled, name):
     same_as_sql(spark, tripled, name)
